@@ -2,16 +2,18 @@
 
 Training counts every n-gram of orders 1 to ``ORDER`` of the training texts (in lower case, each
 text closed by one end token). An n-gram of at least ``floor`` occurrences is quantised to
-``q = 1 + log2(count / floor)`` and the filter gets the keys (n-gram, 1) to (n-gram, q). A query
-probes levels upward until one is missing; the last found gives the count. ``floor`` is a fixed share
-of the corpus (``SHARE`` of its tokens, at least one), so at most 1 / SHARE n-grams of an order
-reach it and twice as many keys: the filter that is broadcast has a proven bound at any size, and
-all sizes behave alike. Probabilities are interpolated,
+``q = 1 + floor(log(count / floor) / log(BASE))`` and the filter gets the keys (n-gram, 1) to
+(n-gram, q); likewise, for each context, the sum and the number of n-grams that reach the floor. A
+query probes levels upward until one is missing; the last found gives the count. ``floor`` is a
+fixed share of the corpus (``SHARE`` of its tokens, at least one), so at most 1 / SHARE n-grams of
+an order reach it, with at most 3.5 keys each: the filter that is broadcast has a proven bound at
+any size, and all sizes behave alike. With C(h) and T(h) the sum and number of those after h,
 
-    P(w | h) = (1 - weight_n) * P(w | shorter h) + weight_n * c(h w) / c(h),
+    P(w | h) = (c(h w) + (c(h) - C(h) + T(h)) * P(w | shorter h)) / (c(h) + T(h)),
 
-with one weight per order, by deleted interpolation; P(w) is the base's. Words below the floor that
-are not heavy count as the mean of such words.
+which sums to one up to quantisation: what the floor cuts off goes to the lower order, as does a
+share for new words. P(w) is the base's; words below the floor that are not heavy count as the mean
+of such words.
 
 The exact base score needs each token's exact count. Words of at least ``HEAVY`` of the tokens
 (at most 1 / HEAVY, and no longer than ``HEAVY_BYTES``) are broadcast; tokens of all others travel, as
@@ -37,18 +39,18 @@ from pyspark.sql import functions as F
 from ._runtime import durable, id_crc, partitions, read_table
 from ._words import CACHE_WORDS, MIX_1, STEP, mixed
 
-ORDER = 3
+ORDER = 2
 SHARE = 2.0**-22
 HEAVY, HEAVY_BYTES = 2.0**-21, 64
+BASE = 2.0**0.5
 BITS_PER_KEY, PROBES = 12, 5
-SEGMENTS = 64
-KEY_BITS = 48
+SEGMENT_BITS, CONTEXT_BITS = 6, 40
 ADD = 0.1
 END = b" "  # no word holds a space
 FLUSH_TOKENS = 3_000_000
 BLOCK_TOKENS = 400_000
-#: Training texts, in expectation, that choose the weights of the orders.
-SAMPLE = 1_000
+#: Kinds of keys in the filter besides the orders: what follows a context, summed and by number of words.
+FOLLOWED, FOLLOWERS = 64, 128
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -66,50 +68,53 @@ class Hashes(dict):
         return h
 
 
-def keys_of(h: np.ndarray, fresh: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the n-grams that end at each position and lie inside one text; the positions.
+def keys_of(h: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments and keys of the n-grams that end at each position and lie inside one text; the positions.
 
-    h: token hashes of texts, one after the other. fresh: a token's place in its text.
+    h: token hashes of texts, one after the other. place: a token's place in its text. A segment
+    holds all n-grams of a context; a key is the rest of the context's hash, then the last word's.
     """
-    at = np.flatnonzero(fresh >= n - 1)
-    key = h[at - (n - 1)]
-    for i in range(n - 2, -1, -1):
-        key = mixed(key + STEP) ^ h[at - i]
-    return mixed(key + np.uint64(n)) >> np.uint64(64 - KEY_BITS), at
+    at = np.flatnonzero(place >= n - 1)
+    if n == 1:
+        key = mixed(h + STEP)
+        return (key >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64), key, at
+    context = h[at - (n - 1)]
+    for i in range(n - 2, 0, -1):
+        context = mixed(context + STEP) ^ h[at - i]
+    context = mixed(context + np.uint64(n))
+    segment = (context >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64)
+    rest = (context << np.uint64(SEGMENT_BITS)) >> np.uint64(64 - CONTEXT_BITS)
+    return segment, (rest << np.uint64(64 - CONTEXT_BITS)) | (mixed(h[at]) >> np.uint64(CONTEXT_BITS)), at
 
 
 def joined(texts: list[list[bytes]], hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes of all texts, each token's place in its text, and the texts' sizes."""
     sizes = np.array([len(t) for t in texts], np.int64)
     h = np.fromiter((hashes[w] for t in texts for w in t), np.uint64, int(sizes.sum()))
-    fresh = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return h, fresh, sizes
+    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return h, place, sizes
 
 
-def key_blobs(parts: list[np.ndarray], order: int) -> Iterator[tuple]:
-    """Counted keys by segment: (order, segment, distances between sorted keys, counts)."""
-    key, n = np.unique(np.concatenate(parts), return_counts=True)
-    shift = np.uint64(KEY_BITS - SEGMENTS.bit_length() + 1)
-    edges = np.searchsorted(key >> shift, np.arange(SEGMENTS + 1, dtype=np.uint64))
-    for s in range(SEGMENTS):
-        part = key[edges[s] : edges[s + 1]]
-        if not len(part):
-            continue
-        inside = part - (np.uint64(s) << shift)
-        gaps = np.diff(inside, prepend=np.uint64(0))
-        kind = "<u4" if int(gaps.max()) < 1 << 32 else "<u8"
-        count = n[edges[s] : edges[s + 1]]
-        count_kind = "u1" if int(count.max()) < 256 else "<u4" if int(count.max()) < 1 << 32 else "<u8"
-        yield order, s, gaps.astype(kind).tobytes(), count.astype(count_kind).tobytes(), len(part)
+def key_blobs(parts: list[tuple[np.ndarray, np.ndarray]], order: int) -> Iterator[tuple]:
+    """Counted keys by segment: (order, segment, keys, counts, number). Bytes of like weight stand
+    together, so that those sorted keys share compress away."""
+    segment, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+    by = np.argsort(segment.astype(np.uint8), kind="stable")
+    key, edges = key[by], np.searchsorted(segment[by], np.arange((1 << SEGMENT_BITS) + 1))
+    for s in range(1 << SEGMENT_BITS):
+        if edges[s] < edges[s + 1]:
+            part, count = np.unique(key[edges[s] : edges[s + 1]], return_counts=True)
+            kind = "u1" if int(count.max()) < 256 else "<u4"
+            yield order, s, part.view("u1").reshape(-1, 8).T.tobytes(), count.astype(kind).tobytes(), len(part)
 
 
-def unpacked(gaps: bytes, counts: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    key = np.cumsum(np.frombuffer(gaps, "<u4" if len(gaps) == 4 * n else "<u8").astype(np.uint64))
-    return key, np.frombuffer(counts, {1: "u1", 4: "<u4", 8: "<u8"}[len(counts) // n]).astype(np.int64)
+def unpacked(keys: bytes, counts: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    key = np.ascontiguousarray(np.frombuffer(keys, "u1").reshape(8, n).T).view("<u8").ravel()
+    return key, np.frombuffer(counts, "u1" if len(counts) == n else "<u4").astype(np.int64)
 
 
-BLOB = pa.schema([("ord", pa.int32()), ("segment", pa.int32()), ("gaps", pa.binary()), ("counts", pa.binary()), ("n", pa.int64())])
-BLOB_SQL = "ord int, segment int, gaps binary, counts binary, n long"
+BLOB = pa.schema([("ord", pa.int32()), ("segment", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n", pa.int64())])
+BLOB_SQL = "ord int, segment int, keys binary, counts binary, n long"
 
 
 def counted(docs: DataFrame, order: int) -> DataFrame:
@@ -125,11 +130,11 @@ def counted(docs: DataFrame, order: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), BLOB, strict=True)], schema=BLOB)
 
         for b in batches:
-            h, fresh, _ = joined([tokens(t.as_py()) for t in b.column("text")], hashes)
+            h, place, _ = joined([tokens(t.as_py()) for t in b.column("text")], hashes)
             for n, p in parts.items():
-                key, _ = keys_of(h, fresh, n)
+                segment, key, _ = keys_of(h, place, n)
                 if len(key):
-                    p.append(key)
+                    p.append((segment, key))
             held += len(h)
             if held >= FLUSH_TOKENS:
                 yield flush()
@@ -140,37 +145,48 @@ def counted(docs: DataFrame, order: int) -> DataFrame:
     return docs.select("text").mapInArrow(count, BLOB_SQL)
 
 
-def summed(blobs: DataFrame, floor: float) -> DataFrame:
-    """Per order and segment: the keys that reach the floor and their levels."""
+def level_of(n: np.ndarray, unit: float) -> np.ndarray:
+    return (1 + np.floor(np.log(n / unit * (1 + 1e-12)) / np.log(BASE))).astype("u1")
+
 
+def summed(blobs: DataFrame, floor: float) -> DataFrame:
+    """Per order and segment: the keys that reach the floor, and of their contexts what follows, with levels."""
     import pandas as pd
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, n = zip(*(unpacked(g, c, k) for g, c, k in zip(pdf["gaps"], pdf["counts"], pdf["n"], strict=True)), strict=True)
-        key, at = np.unique(np.concatenate(key), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate(n)).astype(np.int64)
-        top = n >= floor
-        level = 1 + np.floor(np.log2(n[top] / floor)).astype(np.int64)
-        return pd.DataFrame({"ord": pdf["ord"].iloc[:1], "segment": pdf["segment"].iloc[:1], "keys": [key[top].astype("<u8").tobytes()], "levels": [level.astype("u1").tobytes()], "n_keys": [int(level.sum())]})
-
-    return blobs.groupBy("ord", "segment").applyInPandas(add, "ord int, segment int, keys binary, levels binary, n_keys long")
+        o, s = int(pdf["ord"].iloc[0]), int(pdf["segment"].iloc[0])
+        key, n = (np.concatenate(x) for x in zip(*(unpacked(*x) for x in zip(pdf["keys"], pdf["counts"], pdf["n"], strict=True)), strict=True))
+        by = np.argsort(key)
+        key, n = key[by], n[by]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        key, n = key[starts], np.add.reduceat(n, starts)
+        key, n = key[n >= floor], n[n >= floor]
+        rows = [(o, key, level_of(n, floor))]
+        if o > 1 and len(key):
+            context = key >> np.uint64(64 - CONTEXT_BITS)
+            starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+            rows.append((FOLLOWED + o, context[starts], level_of(np.add.reduceat(n, starts), floor)))
+            rows.append((FOLLOWERS + o, context[starts], level_of(np.diff(np.r_[starts, len(key)]), 1.0)))
+        return pd.DataFrame([(s, kind, k.astype("<u8").tobytes(), q.tobytes()) for kind, k, q in rows], columns=["segment", "kind", "keys", "levels"])
+
+    return blobs.groupBy("ord", "segment").applyInPandas(add, "segment int, kind int, keys binary, levels binary")
 
 
 class LogBloom:
-    """A Bloom filter of (key, level) pairs; each segment has its own slice of words."""
+    """A Bloom filter of (kind, key, level); each segment has its own slice of words."""
 
     def __init__(self, slices: dict[int, np.ndarray], floor: float):
         self.floor = floor
         self.bits = np.concatenate([slices[s] for s in sorted(slices)]) if slices else np.zeros(1, np.uint64)
-        self.sizes, self.starts = np.zeros(SEGMENTS, np.uint64), np.zeros(SEGMENTS, np.uint64)
+        self.sizes, self.starts = np.zeros(1 << SEGMENT_BITS, np.uint64), np.zeros(1 << SEGMENT_BITS, np.uint64)
         at = 0
         for s in sorted(slices):
             self.starts[s], self.sizes[s] = at, len(slices[s])
             at += len(slices[s])
 
-    def has(self, segment: np.ndarray, key: np.ndarray, level: int) -> np.ndarray:
+    def has(self, kind: int, segment: np.ndarray, key: np.ndarray, level: int) -> np.ndarray:
         words, start = self.sizes[segment], self.starts[segment]
-        one, two = probe_hashes(key, level)
+        one, two = probe_hashes(kind, key, level)
         live = np.flatnonzero(words > 0)
         for i in range(PROBES):
             h = one[live] + np.uint64(i) * two[live]
@@ -180,89 +196,76 @@ class LogBloom:
         found[live] = True
         return found
 
-    def levels(self, key: np.ndarray) -> np.ndarray:
-        """The last level found of each key, 0 if none; levels are probed upward until one is missing."""
-        out, live = np.zeros(len(key), np.int64), np.arange(len(key))
-        shift = np.uint64(KEY_BITS - SEGMENTS.bit_length() + 1)
-        segment = (key >> shift).astype(np.int64)
-        level = 1
+    def count(self, kind: int, segment: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Estimates: levels are probed upward until one is missing; the middle (by ratio) of the last found, or 0."""
+        level, live, q = np.zeros(len(key)), np.arange(len(key)), 1
         while len(live):
-            found = self.has(segment[live], key[live], level)
-            live = live[found]
-            out[live] = level
-            level += 1
-        return out
-
-    def counts(self, key: np.ndarray) -> np.ndarray:
-        """Estimated counts: the middle (by ratio) of the last level found, 0 if none."""
-        level = self.levels(key)
-        return np.where(level > 0, self.floor * 2.0 ** (level - 0.5), 0.0)
+            live = live[self.has(kind, segment[live], key[live], q)]
+            level[live] = q
+            q += 1
+        return np.where(level > 0, (1.0 if kind > FOLLOWERS else self.floor) * BASE ** (level - 0.5), 0.0)
 
 
-def probe_hashes(key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    one = mixed(key + np.uint64(level) * STEP)
+def probe_hashes(kind: int, key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    one = mixed(key ^ np.uint64((kind * 1024 + level) * int(STEP) % (1 << 64)))
     return one, mixed(one ^ MIX_1) | np.uint64(1)
 
 
 def slice_of(pdf):
-    """The words of one segment of the filter, from the keys of all orders."""
+    """The words of one segment of the filter, from the keys of all kinds."""
     import pandas as pd
 
-    n = int(pdf["n_keys"].sum())
-    size = max(1, -(-n * BITS_PER_KEY // 64))
-    bits, words = np.zeros(size, np.uint64), np.uint64(size)
-    for keys, levels, segment in zip(pdf["keys"], pdf["levels"], pdf["segment"], strict=True):
-        shift = np.uint64(KEY_BITS - SEGMENTS.bit_length() + 1)
-        key = np.frombuffer(keys, "<u8") + (np.uint64(segment) << shift)
-        level = np.frombuffer(levels, "u1")
+    levels = [np.frombuffer(x, "u1") for x in pdf["levels"]]
+    n = int(sum(int(x.sum(dtype=np.int64)) for x in levels))
+    words = np.uint64(max(1, -(-n * BITS_PER_KEY // 64)))
+    bits = np.zeros(int(words), np.uint64)
+    for kind, keys, level in zip(pdf["kind"], pdf["keys"], levels, strict=True):
+        key = np.frombuffer(keys, "<u8")
         for q in range(1, int(level.max(initial=0)) + 1):
-            one, two = probe_hashes(key[level >= q], q)
+            one, two = probe_hashes(int(kind), key[level >= q], q)
             for i in range(PROBES):
                 h = one + np.uint64(i) * two
                 np.bitwise_or.at(bits, ((h >> np.uint64(6)) % words).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-    return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "bits": [bits.tobytes()], "n_keys": [n]})
+    return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "bits": [bits.tobytes()]})
 
 
 class Model:
-    """What scoring needs: exact counts of heavy words, the filter, corpus totals and the weights of the orders."""
+    """What scoring needs: exact counts of heavy words, the filter, and corpus totals."""
 
     def __init__(self, heavy: dict[bytes, int], bloom: LogBloom, tokens: int, vocabulary: int, light_tokens: int, light_words: int):
         self.heavy, self.bloom, self.tokens, self.vocabulary = heavy, bloom, tokens, vocabulary
         self.light_mean = light_tokens / (light_words + 1.0)
-        self.weights = dict.fromkeys(range(2, ORDER + 1), 0.0)
 
     @property
     def denominator(self) -> float:
         return max(self.tokens + ADD * (self.vocabulary + 1), ADD)
 
-    def ratios(self, texts: list[list[bytes]], hashes: Hashes, less: int = 0) -> tuple:
-        """Token hashes, places and sizes; exact counts of heavy words (else -1); the share of each
-        token by order: P(w), then c(h w) / c(h). ``less`` occurrences are left out of the latter."""
-        h, fresh, sizes = joined(texts, hashes)
+    def logs(self, texts: list[list[bytes]], hashes: Hashes) -> tuple:
+        """Token hashes, the texts' sizes, exact counts of heavy words (else -1), log10 P of each token."""
+        h, place, sizes = joined(texts, hashes)
         # Each distinct word is looked up once.
         distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
         names = [w for t in texts for w in t]
         exact = np.array([self.heavy.get(names[i], -1) for i in first], np.float64)
         guess, rare = exact.copy(), np.flatnonzero(exact < 0)
-        guess[rare] = np.maximum(self.bloom.counts(keys_of(distinct[rare], np.zeros(len(rare), np.int64), 1)[0]), self.light_mean)
+        segment, key, _ = keys_of(distinct[rare], np.zeros(len(rare), np.int64), 1)
+        guess[rare] = np.maximum(self.bloom.count(1, segment, key), self.light_mean)
         history = guess[back]
-        shares = [(history + ADD) / self.denominator]
+        p = (history + ADD) / self.denominator
         for n in range(2, ORDER + 1):
-            key, at = keys_of(h, fresh, n)
-            both, inverse = np.unique(key, return_inverse=True)
-            before = history[at - 1]
-            seen = np.minimum(self.bloom.counts(both)[inverse], before)
-            share, history = np.zeros(len(h)), np.zeros(len(h))
-            share[at] = np.maximum(seen - less, 0) / np.maximum(before - less, 1)
+            segment, key, at = keys_of(h, place, n)
+            both, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            seen = self.bloom.count(n, segment[first], both)[inverse]
+            context, first, inverse = np.unique(key >> np.uint64(64 - CONTEXT_BITS), return_index=True, return_inverse=True)
+            followed = self.bloom.count(FOLLOWED + n, segment[first], context)[inverse]
+            followers = self.bloom.count(FOLLOWERS + n, segment[first], context)[inverse]
+            before = np.maximum(history[at - 1], 1.0)
+            # A context without followers was found by chance.
+            followed = np.where(followers > 0, np.minimum(followed, before), 0.0)
+            p[at] = (np.minimum(seen, followed) + (before - followed + followers) * p[at]) / (before + followers)
+            history = np.zeros(len(h))
             history[at] = seen
-            shares.append(share)
-        return h, fresh, sizes, exact[back], shares
-
-    def mixed(self, shares: list[np.ndarray], weights: dict[int, float]) -> np.ndarray:
-        p = shares[0]
-        for n, share in enumerate(shares[1:], 2):
-            p = (1 - weights[n]) * p + weights[n] * share
-        return np.log10(p)
+        return h, sizes, exact[back], np.log10(p)
 
 
 def per_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -302,37 +305,15 @@ def train(docs: DataFrame, folds: int = 10) -> tuple[Model, DataFrame]:
     floor = max(1.0, total * SHARE)
     n_light, c_light = counts.where(F.col("c") < floor).agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     kept = durable(summed(counted(training, ORDER), floor))
-    slices = kept.groupBy("segment").applyInPandas(slice_of, "segment int, bits binary, n_keys long")
+    slices = kept.groupBy("segment").applyInPandas(slice_of, "segment int, bits binary")
     bloom = LogBloom({r["segment"]: np.frombuffer(bytes(r["bits"]), np.uint64) for r in slices.toLocalIterator()}, floor)
-    model = Model(heavy, bloom, total, vocabulary, c_light, n_light)
-    model.weights = order_weights(training, model)
-    return model, counts
+    return Model(heavy, bloom, total, vocabulary, c_light, n_light), counts
 
 
 def is_heavy(total: int):
     return (F.col("c") >= total * HEAVY) & (F.length("word") <= HEAVY_BYTES)
 
 
-def order_weights(training: DataFrame, model: Model) -> dict[int, float]:
-    """Weights of the orders by deleted interpolation: those likeliest on a bounded sample of the
-    training texts, each occurrence left out of its own counts."""
-    grid = [(a, b) for a in (0.02, 0.1, 0.3, 0.6, 0.9) for b in (0.02, 0.1, 0.3, 0.6, 0.9)]
-    shared = training.sparkSession.sparkContext.broadcast(model)
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for b in batches:
-            if b.num_rows:
-                shares = shared.value.ratios([tokens(t.as_py()) for t in b.column("text")], hashes, less=1)[4]
-                sums = [float(shared.value.mixed(shares, dict(zip(range(2, ORDER + 1), w, strict=True))).sum()) for w in grid]
-                yield pa.RecordBatch.from_pydict({"choice": pa.array(range(len(grid)), pa.int32()), "fit": pa.array(sums, pa.float64())})
-
-    share = min(1.0, SAMPLE / max(1, training.count()))
-    some = training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    best = some.select("text").mapInArrow(fit, "choice int, fit double").groupBy("choice").agg(F.sum("fit").alias("fit")).orderBy(F.desc("fit"), "choice").first()
-    return dict(zip(range(2, ORDER + 1), grid[best["choice"]] if best else grid[0], strict=True))
-
-
 BLOCK = "part int, block int, segment int, hashes binary, docs binary, doc_id array<long>, n_tokens array<long>, known array<long>, base array<double>, score array<double>"
 
 
@@ -344,11 +325,11 @@ def scored_blocks(docs: DataFrame, model: Model, segments: int) -> DataFrame:
 
     def block_rows(ids: list, texts: list[list[bytes]], part: int, block: int, hashes: Hashes) -> pa.RecordBatch:
         model = shared.value
-        h, _, sizes, exact, shares = model.ratios(texts, hashes)
+        h, sizes, exact, logs = model.logs(texts, hashes)
         heavy = exact >= 0
         base = per_text(np.where(heavy, np.log10((np.maximum(exact, 0) + ADD) / model.denominator), 0.0), sizes)
         known = per_text(heavy.astype(np.int64), sizes)
-        score = per_text(model.mixed(shares, model.weights), sizes)
+        score = per_text(logs, sizes)
         rows = [(part, block, -1, None, None, ids, sizes, known, base, score)]
         doc = np.repeat(np.arange(len(sizes), dtype="<u4"), sizes)[~heavy]
         light = h[~heavy]
