@@ -1,13 +1,14 @@
 """Toxicity by non-negative positive-unlabelled learning (numpy).
 
-The classifier is logistic over the presence of words (runs of letters, lower case). It learns from
+The classifier is logistic over the presence of features: words (runs of letters, lower case) and
+their beginnings of ``PREFIXES`` letters, so that inflected forms share evidence. It learns from
 confirmed toxic texts (positives) and texts without regard to their label (unlabelled), both bounded
 samples taken by hash, with the corrected risk
 
     R = prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)]);
 
-when the second part of a batch turns negative, the step goes up that part instead. Its vocabulary
-is made of the words whose share among positives exceeds that among unlabelled texts most surely.
+when the second part turns negative, the step goes up that part instead. Its vocabulary
+is made of the features whose share among positives exceeds that among unlabelled texts most surely.
 
 Defined results: null and empty texts score by the bias alone; whole texts are read; repeated rows
 score alike; a null id counts as the empty text when folds are drawn; without a positive every score
@@ -29,7 +30,8 @@ from ._runtime import id_crc, read_table
 
 #: Bounds of the samples that training sees (the corpus is always scored whole).
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
-VOCABULARY = 1_024
+VOCABULARY = 512
+PREFIXES = (4, 5, 6)
 CACHE_WORDS = 400_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -38,25 +40,32 @@ def word_set(text: str | None) -> set[str]:
     return set(LETTERS.findall((text or "").lower()))
 
 
+def features(word: str) -> list[int]:
+    """Hashes of a word and its beginnings."""
+    return [xxhash.xxh32_intdigest(word), *(xxhash.xxh32_intdigest(word[:n], seed=n) for n in PREFIXES if len(word) > n)]
+
+
 class Model:
-    """Weights of words, by hash, and a bias; words are looked up once."""
+    """Weights of features, by hash, and a bias; words are looked up once."""
 
     def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.own: dict[str, float] = {}
+        self.own: dict[str, tuple[int, ...]] = {}
 
-    def weight(self, word: str) -> float:
-        x = self.own.get(word)
-        if x is None:
+    def known(self, word: str) -> tuple[int, ...]:
+        """The features of a word that have a weight."""
+        found = self.own.get(word)
+        if found is None:
             if len(self.own) > CACHE_WORDS:
                 self.own.clear()
-            x = self.own[word] = self.weights.get(xxhash.xxh3_64_intdigest(word), 0.0)
-        return x
+            found = self.own[word] = tuple(f for f in features(word) if f in self.weights)
+        return found
 
     def score(self, text: str | None) -> float:
         if not self.weights:
             return 0.0
-        z = self.bias + sum(sorted(map(self.weight, word_set(text))))
+        present = {f for w in word_set(text) for f in self.known(w)}
+        z = self.bias + sum(sorted(self.weights[f] for f in present))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
@@ -66,15 +75,16 @@ def sample(docs: DataFrame, most: int, total: int, seed: int) -> DataFrame:
     return docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
-def word_ids(docs: DataFrame) -> list[np.ndarray]:
-    """Distinct word hashes of each row's text."""
+def feature_ids(docs: DataFrame) -> list[np.ndarray]:
+    """Distinct feature hashes of each row's text; equal rows count once."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [np.array([xxhash.xxh3_64_intdigest(w) for w in sorted(word_set(t.as_py()))], np.uint64).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_pydict({"words": pa.array(rows, pa.binary())})
+            rows = [np.unique(np.array([f for w in word_set(t.as_py()) for f in features(w)], "<u4")).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_pydict({"ids": pa.array(rows, pa.binary())})
 
-    return [np.frombuffer(bytes(r[0]), np.uint64) for r in docs.select("text").mapInArrow(hashed, "words binary").toLocalIterator()]
+    distinct = {bytes(r[0]) for r in docs.select("text").mapInArrow(hashed, "ids binary").toLocalIterator()}
+    return [np.frombuffer(x, "<u4") for x in sorted(distinct) if x]
 
 
 def matrix(rows: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
@@ -89,9 +99,9 @@ def matrix(rows: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
 def vocabulary_of(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int) -> np.ndarray:
     """The words most surely commoner among positives, sorted by hash."""
     words, n_p = np.unique(np.concatenate(positive), return_counts=True)
-    seen, n_u = np.unique(np.concatenate(unlabelled), return_counts=True) if unlabelled else (np.empty(0, np.uint64), np.empty(0, np.int64))
-    at = np.minimum(np.searchsorted(seen, words), max(0, len(seen) - 1))
-    u = np.where(seen[at] == words, n_u[at], 0) if len(seen) else np.zeros(len(words))
+    seen, n_u = np.unique(np.concatenate(unlabelled), return_counts=True)
+    at = np.minimum(np.searchsorted(seen, words), len(seen) - 1)
+    u = np.where(seen[at] == words, n_u[at], 0)
     p_p, p_u = n_p / len(positive), (u + 0.5) / (len(unlabelled) + 1)
     pooled = (n_p + u) / (len(positive) + len(unlabelled))
     z = (p_p - p_u) / np.sqrt(pooled * (1 - pooled) * (1 / len(positive) + 1 / max(1, len(unlabelled))) + 1e-12)
@@ -99,30 +109,27 @@ def vocabulary_of(positive: list[np.ndarray], unlabelled: list[np.ndarray], most
     return np.sort(words[keep[np.argsort(-z[keep], kind="stable")[:most]]])
 
 
-def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.05, decay: float = 1e-4, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk with the logistic loss (Adam)."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    w = np.zeros(xp.shape[1] + 1)
-    w[-1] = np.log(prior / (1 - prior))
-    m, v, t = np.zeros_like(w), np.zeros_like(w), 0
+def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk with the logistic loss (Adam on the whole sample).
+
+    Small batches would make the second part negative by chance alone and undo what was learnt.
+    """
     xp, xu = (np.hstack([x, np.ones((len(x), 1), np.float32)]) for x in (xp, xu))
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    for _ in range(epochs):
-        order = rng.permutation(len(xu))
-        for start in range(0, len(order), batch):
-            u = xu[order[start : start + batch]]
-            p = xp[rng.integers(0, len(xp), min(batch, len(xp)))]
-            zp, zu = p @ w, u @ w
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            of_negative = sigmoid(zu) @ u / len(u) - prior * (sigmoid(zp) @ p) / len(p)
-            if negative < 0:
-                g = -of_negative
-            else:
-                g = prior * ((sigmoid(zp) - 1) @ p) / len(p) + of_negative
-            g = g + decay * np.r_[w[:-1], 0.0]
-            t += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    w, decay = np.zeros(xp.shape[1]), 0.2 / len(xp)
+    w[-1] = np.log(prior / (1 - prior))
+    m, v = np.zeros_like(w), np.zeros_like(w)
+
+    def sigmoid(z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+    for t in range(1, steps + 1):
+        zp, zu = (x @ w.astype(np.float32) for x in (xp, xu))
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        of_negative = sigmoid(zu) @ xu / len(xu) - prior * (sigmoid(zp) @ xp) / len(xp)
+        g = -of_negative if negative < 0 else prior * ((sigmoid(zp) - 1) @ xp) / len(xp) + of_negative
+        g = g + decay * np.r_[w[:-1], 0.0]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
@@ -138,9 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, prior: float | Non
         return Model({}, 0.0)
     prior = prior if prior is not None else min(max(n_toxic / n_labelled, 1e-4), 0.9)
     positive = usable.join(toxic.where("toxic = 1"), "doc_id", "left_semi")
-    p = word_ids(sample(positive, MAX_POSITIVE, n_toxic, 1))
-    u = word_ids(sample(usable, MAX_UNLABELLED, usable.count(), 2))
-    if not sum(map(len, p)) or not u:
+    p = feature_ids(sample(positive, MAX_POSITIVE, n_toxic, 1))
+    u = feature_ids(sample(usable, MAX_UNLABELLED, usable.count(), 2))
+    if not p or not u:
         return Model({}, 0.0)
     vocabulary = vocabulary_of(p, u, VOCABULARY)
     w, bias = fit_nnpu(matrix(p, vocabulary), matrix(u, vocabulary), prior)
