@@ -12,7 +12,10 @@ ignored. ``sequence_id`` numbers sequences inside a group, the group in the high
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,43 +29,78 @@ from ._runtime import durable, read_table
 LENGTH = 2048
 OPEN_BINS = 1024
 GROUP_SEQUENCES = 2048
-CACHE_WORDS = 200_000
+#: Entries after which a worker's caches start anew; they bound memory, not what is encoded.
+CACHE_WORDS = 400_000
+LATIN, SIGNS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f", r"!-&(-/:-@\[-`{-~"
+PLAIN, RUNS = re.compile(f"[{LATIN}{SIGNS}]+"), re.compile(f"[{LATIN}]+|[{SIGNS}]+")
+#: How byte-level vocabularies write bytes: printable ones as they are, the others from code point 256 on.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = [chr(b) if b in PRINTABLE else chr(256 + sum(x not in PRINTABLE for x in range(b))) for b in range(256)]
+NOT_SPACE = frozenset("\x1c\x1d\x1e\x1f")
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 class WordIds(dict):
-    """Word -> its token ids. The tokenizer's pattern never crosses white space, so words are encoded alone."""
+    """Word -> its token ids (unsigned 32-bit, little-endian).
+
+    The tokenizer's pattern never crosses white space, so words are encoded alone. Words of Latin
+    letters and ASCII punctuation without apostrophes are cut where the pattern cuts them, so that
+    a letter run is encoded once whatever its case and the punctuation around it.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces: dict[str, bytes] = {}
+
+    def encoded(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= CACHE_WORDS:
+                self.pieces.clear()
+            written = "".join([BYTES[b] for b in piece.encode()])
+            ids = self.pieces[piece] = array("I", [t.id for t in self.tokenize(written)]).tobytes()
+        return ids
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        ids = self[word] = self.tokenizer.encode(word, add_special_tokens=False).ids
+        if PLAIN.fullmatch(word):
+            ids = b"".join([self.piece(x.lower()) for x in RUNS.findall(word)])
+        else:
+            ids = self.encoded(word)
+        self[word] = ids
         return ids
 
-    def of(self, text: str) -> list[int]:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # split() cuts here, the tokenizer doesn't
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        for ids in map(self.__getitem__, text.split()):
-            out += ids
-        return out
+    def of(self, text: str) -> bytes:
+        # split() cuts at some characters where the tokenizer doesn't; its special tokens are found in whole texts.
+        if not NOT_SPACE.isdisjoint(text) or any(x in text for x in self.special):
+            return self.encoded(text)
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """A worker's encoder, kept from task to task."""
+    return WordIds(path)
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, length: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer_path)
+        encode, end = word_ids(tokenizer_path).of, array("I", [end_id]).tobytes()
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = np.array([*ids_of.of(text.as_py() or ""), end_id], dtype="<u4")
-                for piece, start in enumerate(range(0, len(ids), length)):
-                    part = ids[start : start + length]
-                    for column, value in zip(out, (doc, piece, start, len(part), zlib.crc32(part.tobytes())), strict=True):
+                ids = encode(text.as_py() or "") + end
+                for piece, start in enumerate(range(0, len(ids), 4 * length)):
+                    part = ids[start : start + 4 * length]
+                    for column, value in zip(out, (doc, piece, start // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(value)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
