@@ -11,8 +11,8 @@ when the second part turns negative, the step goes up that part instead. Its voc
 is made of the features whose share among positives exceeds that among unlabelled texts most surely.
 
 Defined results: null and empty texts score by the bias alone; whole texts are read; repeated rows
-score alike; a null id counts as the empty text when folds are drawn; without a positive every score
-is 0; no rows give no rows. Extra columns are ignored; labels, lang, source and ids are no input.
+score alike; a null id counts as the empty text when folds are drawn; without positives that stand out
+every score is 0; no rows give no rows. Extra columns are ignored; labels, lang, source and ids are no input.
 """
 
 from __future__ import annotations
@@ -76,15 +76,16 @@ def sample(docs: DataFrame, most: int, total: int, seed: int) -> DataFrame:
 
 
 def feature_ids(docs: DataFrame) -> list[np.ndarray]:
-    """Distinct feature hashes of each row's text; equal rows count once."""
+    """Distinct feature hashes of each row's text; equal texts count once."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [np.unique(np.array([f for w in word_set(t.as_py()) for f in features(w)], "<u4")).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_pydict({"ids": pa.array(rows, pa.binary())})
+            texts = [t.as_py() or "" for t in b.column("text")]
+            rows = [np.unique(np.array([f for w in word_set(t) for f in features(w)], "<u4")).tobytes() for t in texts]
+            yield pa.RecordBatch.from_pydict({"name": pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), "ids": pa.array(rows, pa.binary())})
 
-    distinct = {bytes(r[0]) for r in docs.select("text").mapInArrow(hashed, "ids binary").toLocalIterator()}
-    return [np.frombuffer(x, "<u4") for x in sorted(distinct) if x]
+    distinct = {bytes(r[0]): bytes(r[1]) for r in docs.select("text").mapInArrow(hashed, "name binary, ids binary").toLocalIterator()}
+    return [np.frombuffer(x, "<u4") for _, x in sorted(distinct.items()) if x]
 
 
 def matrix(rows: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
@@ -150,6 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, prior: float | Non
     if not p or not u:
         return Model({}, 0.0)
     vocabulary = vocabulary_of(p, u, VOCABULARY)
+    if not len(vocabulary):
+        return Model({}, 0.0)
     w, bias = fit_nnpu(matrix(p, vocabulary), matrix(u, vocabulary), prior)
     return Model(dict(zip(vocabulary.tolist(), w.tolist(), strict=True)), bias)
 
