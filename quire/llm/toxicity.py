@@ -69,10 +69,10 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def sample(docs: DataFrame, most: int, total: int, seed: int) -> DataFrame:
-    """``most`` of ``total`` rows in expectation (all, if fewer), by a hash of id and text: the same rows at every run."""
+def sample(rows: DataFrame, most: int, total: int, seed: int) -> DataFrame:
+    """``most`` of ``total`` rows in expectation (all, if fewer), by a hash of the id: the same rows at every run."""
     share = min(1.0, most / max(1, total))
-    return docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
 def feature_ids(docs: DataFrame) -> list[np.ndarray]:
@@ -145,8 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, prior: float | Non
     if not n_toxic:
         return Model({}, 0.0)
     prior = prior if prior is not None else min(max(n_toxic / n_labelled, 1e-4), 0.9)
-    positive = usable.join(toxic.where("toxic = 1"), "doc_id", "left_semi")
-    p = feature_ids(sample(positive, MAX_POSITIVE, n_toxic, 1))
+    # Ids are sampled before their texts are fetched, so what is broadcast is bounded by the sample.
+    chosen = sample(toxic.where("toxic = 1").select("doc_id"), MAX_POSITIVE, n_toxic, 1)
+    p = feature_ids(usable.join(F.broadcast(chosen), "doc_id", "left_semi"))
     u = feature_ids(sample(usable, MAX_UNLABELLED, usable.count(), 2))
     if not p or not u:
         return Model({}, 0.0)
