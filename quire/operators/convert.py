@@ -7,6 +7,8 @@ Documents are parsed where they are rendered and where ids and headings are read
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +41,8 @@ class Books:
     assets: DataFrame
     files: DataFrame
     issues: DataFrame
+    navigation: DataFrame
+    targets: DataFrame
 
 
 def elements(documents: DataFrame) -> DataFrame:
@@ -144,6 +148,7 @@ def rendered(parts: DataFrame) -> DataFrame:
 
     parts: book_id, output_path, front, parts (array of what each document needs).
     """
+    from ..functions.recover import recover
     from ..functions.render import normalised, render_body
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +158,7 @@ def rendered(parts: DataFrame) -> DataFrame:
                 whole, anchors, source = Node("body"), {}, ""
                 for p in pieces or ():
                     body = sliced(body_of(parse(p["html"])), p["start_id"], p["end_id"])
+                    recover(body, json.loads(p["found"] or "{}"))
                     links, images = dict(p["links"] or ()), dict(p["images"] or ())
                     for n in list(body.elements()):
                         if n.tag == "a" and n.attrs.get("href") in links:
@@ -174,8 +180,12 @@ def rendered(parts: DataFrame) -> DataFrame:
     return parts.select(KEY, "output_path", "front", "parts").mapInArrow(run, "book_id string, path string, text string")
 
 
-def convert(archives: DataFrame, strict: bool = False) -> Books:
-    """Convert archives (book_id, content). Broken or protected ones give issues and no files."""
+def convert(archives: DataFrame, strict: bool = False, recovered: DataFrame | None = None) -> Books:
+    """Convert archives (book_id, content). Broken or protected ones give issues and no files.
+
+    recovered (book_id, href, items), as ``operators.ocr`` decides it, replaces images by what was
+    found in them.
+    """
     members = settled(E.members(archives))
     faults = E.archive_issues(archives, members)
     usable = E.without_drm(members)
@@ -207,9 +217,16 @@ def convert(archives: DataFrame, strict: bool = False) -> Books:
     image_map = T.resolve_assets(images, assets).where("asset IS NOT NULL").groupBy(KEY, F.col("source").alias("path")).agg(F.map_from_entries(F.collect_list(F.struct("src", "asset"))).alias("images"))
     anchor_map = targets.where("anchor IS NOT NULL").groupBy(KEY, "path").agg(F.map_from_entries(F.collect_list(F.struct("fragment", "anchor"))).alias("anchors"))
 
+    occurrences = T.resolve_assets(images, assets).where("asset IS NOT NULL").select(KEY, "source", "src", "href")
+    if recovered is None:
+        found_map = occurrences.select(KEY, F.col("source").alias("path"), F.lit("").alias("found")).limit(0)
+    else:
+        met = occurrences.join(recovered.select(KEY, "href", "items"), [KEY, "href"])
+        found_map = met.groupBy(KEY, F.col("source").alias("path")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("src", "items")))).alias("found"))
+
     parts = sections.select(KEY, "section_id", "output_path", F.posexplode("sources").alias("i", "s")).select(KEY, "output_path", "i", F.col("s.href").alias("path"), "s.start_id", "s.end_id")
-    held = parts.join(documents, [KEY, "path"], "left").join(link_map, [KEY, "path"], "left").join(image_map, [KEY, "path"], "left").join(anchor_map, [KEY, "path"], "left")
-    gathered = held.groupBy(KEY, "output_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.struct("path", "start_id", "end_id", "html", "links", "images", "anchors").alias("part"))), lambda a, b: F.when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).otherwise(0)), lambda x: x["part"]).alias("parts"))
+    held = parts.join(documents, [KEY, "path"], "left").join(link_map, [KEY, "path"], "left").join(image_map, [KEY, "path"], "left").join(anchor_map, [KEY, "path"], "left").join(found_map, [KEY, "path"], "left")
+    gathered = held.groupBy(KEY, "output_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.struct("path", "start_id", "end_id", "html", "links", "images", "anchors", "found").alias("part"))), lambda a, b: F.when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).otherwise(0)), lambda x: x["part"]).alias("parts"))
     source = F.transform("sources", lambda s: F.struct(F.concat_ws("#", s["href"], s["start_id"]).alias("href"), s["start_id"].alias("fragment")))
     front = D.front_matter(F.col("section_id"), F.col("title"), F.col("type"), F.col("order_no"), source)
     pages = rendered(sections.withColumn("front", front).select(KEY, "output_path", "front").join(gathered, [KEY, "output_path"]))
@@ -228,19 +245,47 @@ def convert(archives: DataFrame, strict: bool = False) -> Books:
     ):
         issues = issues.unionByName(more)
     issues = settled(R.strict(issues) if strict else issues)
-    return Books(meta, sections, assets, pages, issues)
+    return Books(meta, sections, assets, pages, issues, nav, targets)
+
+
+def contents(books: Books) -> DataFrame:
+    """book_id, markdown, json: nav united with ncx as a tree; a book without either lists its sections."""
+    first = F.element_at("sources", 1)
+    sections = books.sections.select(KEY, F.concat_ws("#", first["href"], first["start_id"]).alias("source"), "section_id", "type", "output_path", F.col("order_no").alias("order"), "title")
+    nodes = M.toc_nodes(S.toc_union(books.navigation.where("tree IN ('nav', 'ncx')")), sections, books.targets)
+    nodes = nodes.select(KEY, F.when(F.col("tree") == "nav", 0).otherwise(1).alias("rank"), "ord", "key", "parent_key", "title", "type", "section_id", "target")
+    listed = sections.join(nodes.select(KEY).distinct(), KEY, "left_anti")
+    listed = listed.select(KEY, F.lit(2).alias("rank"), F.col("order").alias("ord"), F.col("section_id").alias("key"), F.lit("").alias("parent_key"), "title", "type", "section_id", F.col("output_path").alias("target"))
+
+    def tree(pdf):
+        below = defaultdict(list)
+        for row in pdf.sort_values(["rank", "ord"]).to_dict("records"):
+            below[row["parent_key"]].append(row)
+        lines, seen = ["# Contents", ""], set()
+
+        def built(parent: str, depth: int) -> list[dict]:
+            out = []
+            for r in below[parent]:
+                lines.append("  " * depth + (f"- [{r['title']}]({r['target']})" if r["target"] else f"- {r['title']}"))
+                again = (parent, r["key"]) in seen or depth > 100
+                seen.add((parent, r["key"]))
+                out.append({"title": r["title"], "type": r["type"], "section_id": r["section_id"], "href": r["target"], "provenance": "inferred" if r["rank"] == 2 else "nav+ncx", "children": [] if again or r["key"] == parent else built(r["key"], depth + 1)})
+            return out
+
+        nodes = built("", 0)
+        text = json.dumps({"schema_version": 1, "nodes": nodes}, indent=2, sort_keys=True) + "\n"
+        return pdf[[KEY]].iloc[:1].assign(markdown="\n".join(lines) + "\n", json=text)
+
+    return nodes.unionByName(listed).groupBy(KEY).applyInPandas(tree, "book_id string, markdown string, json string")
 
 
 def book_files(books: Books) -> DataFrame:
     """All text files of book directories: book_id, path, text."""
     listed = books.sections.select(KEY, F.col("order_no").alias("order"), "section_id", "type", "title", F.col("output_path").alias("path"))
     manifest = M.book_manifest(books.metadata.select(KEY, "title", "authors"), listed).select(KEY, F.lit("book.json").alias("path"), F.col("book_json").alias("text"))
-    line = F.concat(F.lit("- ["), "title", F.lit("]("), "output_path", F.lit(")"))
-    contents = books.sections.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("order_no", line.alias("line")))).alias("lines"))
-    toc_md = contents.select(KEY, F.lit("toc.md").alias("path"), F.concat(F.lit("# Contents\n\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
-    node = F.struct("order_no", F.struct("title", "type", "section_id", F.col("output_path").alias("href"), F.lit("inferred").alias("provenance"), F.array().cast("array<string>").alias("children")).alias("node"))
-    nodes = books.sections.groupBy(KEY).agg(F.sort_array(F.collect_list(node)).alias("nodes"))
-    toc_json = nodes.select(KEY, F.lit("toc.json").alias("path"), M.pretty_json(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.transform("nodes", lambda x: x["node"]).alias("nodes")))).alias("text"))
+    made = contents(books)
+    toc_md = made.select(KEY, F.lit("toc.md").alias("path"), F.col("markdown").alias("text"))
+    toc_json = made.select(KEY, F.lit("toc.json").alias("path"), F.col("json").alias("text"))
     first = books.sections.groupBy(KEY).agg(F.min_by(F.struct("title", "output_path"), "order_no").alias("f"))
     index = books.metadata.join(first, KEY, "left")
     from ..functions.text import description_markdown

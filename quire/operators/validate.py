@@ -53,8 +53,9 @@ def anchors(files: DataFrame, book: str = "book_id") -> DataFrame:
     return files.select(book, "path", F.explode(F.regexp_extract_all("text", F.lit(ANCHOR), F.lit(1))).alias("anchor"))
 
 
-def link_issues(files: DataFrame, book: str = "book_id") -> DataFrame:
-    found = links(files, book)
+def link_issues(files: DataFrame, book: str = "book_id", sources: DataFrame | None = None) -> DataFrame:
+    """Links of ``sources`` (by default all files) that leave the book, or point at no file or no anchor."""
+    found = links(files if sources is None else sources, book)
     there = files.select(book, F.col("path").alias("target"))
     inside = found.where("target IS NOT NULL")
     missing = inside.join(there, [book, "target"], "left_anti")
@@ -125,7 +126,7 @@ def validate(books: DataFrame, sections: DataFrame, files: DataFrame, book: str
         issue(repeated(sections, [book, "path"], "n"), "error", "VALIDATE_DUP_PATH", "path", book),
         issue(absent(sections, files, book), "error", "VALIDATE_MISSING_SECTION", "path", book),
         front_matter_mismatch(sections, files, book),
-        link_issues(files.join(sections.select(book, "path").distinct(), [book, "path"], "left_semi"), book),
+        link_issues(files, book, files.join(sections.select(book, "path").distinct(), [book, "path"], "left_semi")),
         issue(refs, "error", "VALIDATE_FOOTNOTE_MISSING", "path", book),
         issue(footnote_duplicates(files, book), "error", "VALIDATE_FOOTNOTE_DUPLICATE", "path", book),
     ):

@@ -58,6 +58,9 @@ def test_books_become_checked_directories(spark, tmp_path):
     assert json.loads(files["one", "book.json"])["authors"] == ["Ann"]
     codes = {(r["book_id"], r["code"]) for r in made.issues.collect()}
     assert {("bad", "INGEST_NOT_ZIP"), ("locked", "INGEST_DRM"), ("one", "LINK_UNRESOLVED"), ("one", "LINK_SCHEME_DROPPED")} <= codes
+    toc = json.loads(files["one", "toc.json"])
+    assert [(n["title"], n["section_id"], n["provenance"]) for n in toc["nodes"]] == [("Chapter 1", "sec-001", "nav+ncx"), ("Two", "sec-002", "nav+ncx")]
+    assert files["one", "toc.md"] == "# Contents\n\n- [Chapter 1](content/001-chapter-chapter-1.md)\n- [Two](content/002-chapter-two.md)\n"
     assert C.checked(made).collect() == []
     assert bookdir.write_directories(C.book_files(made), str(tmp_path)).agg(F.count("*")).first()[0] == len(files)
     back = {(r["book_id"], r["path"]): r["text"] for r in bookdir.read_directories(spark, str(tmp_path)).collect()}
@@ -79,6 +82,12 @@ def test_splits_and_merges(spark):
     assert "# Start" in start and "more" in start and ("merged", "content/003-chapter-other.md") not in files
 
 
+def test_images_give_way_to_what_was_found(spark):
+    one = book([("c", "c.xhtml", '<h1>Hi</h1><p><img src="i/p.png"/></p>')], [("Hi", "c.xhtml")], extra=[("pic", "i/p.png", "image/png", "", b"png")])
+    found = spark.sql("SELECT 'one' AS book_id, 'EPUB/i/p.png' AS href, array(named_struct('label', 'text', 'content', 'Found words', 'kind', 'text')) AS items")
+    assert "# Hi\n\nFound words" in texts(converted(spark, {"one": one}, recovered=found))["one", "content/001-chapter-hi.md"]
+
+
 def test_external_entities_are_refused(spark):
     evil = b'<!DOCTYPE x [<!ENTITY e SYSTEM "file:///etc/passwd">]><package><metadata><title>&e;</title></metadata></package>'
     assert "root:" not in E.xml_tree(evil).text()

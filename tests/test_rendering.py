@@ -74,3 +74,19 @@ def test_deep_and_broken_markup_is_borne():
     r = random.Random(1)
     for _ in range(200):
         render("".join(r.choice(["<p>", "</p>", "<li>", "<table>", "<tr>", "<td", ">", "&amp;", "&#0;", "x", "<ul>", "</div>", "<!--", '"', "<a href="]) for _ in range(40)))
+
+
+def test_recovered_images():
+    from quire.functions.dom import body_of
+    from quire.functions.recover import recover, safe_table
+    from quire.functions.render import render_body
+
+    text, formula = {"kind": "text", "content": "Words", "label": "text"}, {"kind": "formula", "content": "a+b", "label": "formula"}
+    table = {"kind": "table", "content": '<table onclick="x"><tr><th style="y">A</th></tr><tr><td colspan="1001"><script>z</script><u>1</u></td></tr></table>', "label": "table"}
+    found = {"a": [text], "b": [formula], "c": [table], "d": [{"kind": "table", "content": "no table", "label": "table"}], "e": [{"kind": "text", "content": "Cap", "label": "figure_title"}, text]}
+    body = body_of(parse('<p id="k"><img src="a"></p><p>x <img src="b"> y <img src="a"></p><p><img src="c"></p><p><img src="d"></p><figure><img src="e"><figcaption>Own</figcaption></figure><p><img src="none"></p>'))
+    done = recover(body, found)
+    assert done == [("a", "IMAGE_CONVERTED"), ("b", "IMAGE_CONVERTED"), ("a", "IMAGE_PRESERVED_CONTEXT"), ("c", "IMAGE_CONVERTED"), ("d", "IMAGE_CONVERSION_UNSAFE"), ("e", "IMAGE_CONVERTED")]
+    out = render_body(body)
+    assert out.startswith("Words\n\nx $a+b$ y ![](a)") and "| A |\n| --- |\n| 1 |" in out and "Cap" not in out and "Own" in out and "![](none)" in out
+    assert M.markup_of(safe_table(table["content"])) == "<table><tr><th>A</th></tr><tr><td>1</td></tr></table>"
