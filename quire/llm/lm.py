@@ -47,8 +47,9 @@ BITS_PER_KEY, PROBES = 12, 5
 SEGMENT_BITS, CONTEXT_BITS = 6, 40
 ADD = 0.1
 END = b" "  # no word holds a space
-FLUSH_TOKENS = 3_000_000
-BLOCK_TOKENS = 400_000
+CHUNK_TOKENS = 200_000
+FLUSH_TOKENS = 1_500_000
+BLOCK_TOKENS = 200_000
 #: Kinds of keys in the filter besides the orders: what follows a context, summed and by number of words.
 FOLLOWED, FOLLOWERS = 64, 128
 
@@ -99,7 +100,7 @@ def key_blobs(parts: list[tuple[np.ndarray, np.ndarray]], order: int) -> Iterato
     """Counted keys by segment: (order, segment, keys, counts, number). Bytes of like weight stand
     together, so that those sorted keys share compress away."""
     segment, key = (np.concatenate(x) for x in zip(*parts, strict=True))
-    by = np.argsort(segment.astype(np.uint8), kind="stable")
+    by = np.argsort(segment, kind="stable")
     key, edges = key[by], np.searchsorted(segment[by], np.arange((1 << SEGMENT_BITS) + 1))
     for s in range(1 << SEGMENT_BITS):
         if edges[s] < edges[s + 1]:
@@ -117,6 +118,20 @@ BLOB = pa.schema([("ord", pa.int32()), ("segment", pa.int32()), ("keys", pa.bina
 BLOB_SQL = "ord int, segment int, keys binary, counts binary, n long"
 
 
+def token_chunks(columns: Iterator[pa.Array]) -> Iterator[list[list[bytes]]]:
+    """Tokens of consecutive texts, about ``CHUNK_TOKENS`` at a time, so that memory doesn't follow the batch."""
+    texts, held = [], 0
+    for column in columns:
+        for text in column:
+            texts.append(tokens(text.as_py()))
+            held += len(texts[-1])
+            if held >= CHUNK_TOKENS:
+                yield texts
+                texts, held = [], 0
+    if texts:
+        yield texts
+
+
 def counted(docs: DataFrame, order: int) -> DataFrame:
     """Blobs of the n-gram keys of orders 1 to ``order`` and their counts, as tasks gather them."""
 
@@ -129,13 +144,13 @@ def counted(docs: DataFrame, order: int) -> DataFrame:
                 p.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), BLOB, strict=True)], schema=BLOB)
 
-        for b in batches:
-            h, place, _ = joined([tokens(t.as_py()) for t in b.column("text")], hashes)
+        for texts in token_chunks(b.column("text") for b in batches):
+            h, place, sizes = joined(texts, hashes)
             for n, p in parts.items():
                 segment, key, _ = keys_of(h, place, n)
                 if len(key):
-                    p.append((segment, key))
-            held += len(h)
+                    p.append((segment.astype(np.uint8), key))
+            held += int(sizes.sum())
             if held >= FLUSH_TOKENS:
                 yield flush()
                 held = 0
