@@ -7,7 +7,8 @@ match ended, ``\\G``), which finds the same matches without backtracking or resc
 The method: every base span is a protected entity. Terms (runs of letters) inside a window of
 ``window`` code points around it co-occur with it. For entity e and term t,
 ``P(e|t) = n(e, t) / n(t)`` over all occurrences of t in the corpus, and the pointwise information
-``log2(P(e|t) / P(e))`` says how strongly t reveals e. A term seen in at least ``support`` different
+``log2(P(e|t) / P(e))`` says how strongly t reveals e, P(e) being the share of all term occurrences
+that lie in e's windows. A term seen in at least ``support`` different
 windows of e whose P(e|t) and information reach their thresholds is a disclosing term: from
 ``p_remove`` on it is removed, below that generalised.
 
@@ -114,7 +115,7 @@ def term_rows(docs: DataFrame, *columns: str) -> DataFrame:
 def disclosing_terms(docs: DataFrame, found: DataFrame, support: int, p_min: float, bits: float) -> DataFrame:
     """Terms that reveal an entity: term, entity, p (P(entity|term)), information in bits."""
     windows = found.select(F.explode("contexts").alias("c")).select("c.entity", "c.around").groupBy("entity", "around").agg(F.count(F.lit(1)).alias("times"))
-    total = windows.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    total = docs.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(TERM))), F.lit(0))).first()[0]
     words = windows.select("entity", "times", F.explode(F.array_distinct(F.regexp_extract_all("around", F.lit(TERM), F.lit(0)))).alias("term"))
     pairs = words.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("both")).where(F.col("kinds") >= support)
     pairs = durable(pairs)
@@ -124,7 +125,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int, p_min: flo
         counts = term_rows(docs).join(small, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     else:
         counts = term_rows(docs).groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(candidates, "term", "left_semi")
-    entities = windows.groupBy("entity").agg(F.sum("times").alias("of_entity"))
+    near = F.col("times") * F.regexp_count("around", F.lit(TERM))
+    entities = windows.groupBy("entity").agg(F.greatest(F.sum(near), F.lit(1)).alias("of_entity"))
     scored = pairs.join(counts, "term").join(entities, "entity")
     scored = scored.withColumn("p", F.least(F.col("both") / F.col("n"), F.lit(1.0)))
     scored = scored.withColumn("information", F.log2(F.col("p") / (F.col("of_entity") / F.lit(float(max(total, 1))))))

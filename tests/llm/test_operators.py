@@ -308,22 +308,25 @@ def test_pii_base_spans_equal_brute_force(spark):
         assert got == brute_spans(texts[x["doc_id"]]), texts[x["doc_id"]]
 
 
+def revealing_rows():
+    rows = [(i, f"{x}{x} meet Zaphod {x}{x} at z@hq.org please common word", "s") for i, x in enumerate("abcdefgh")]
+    rows += [(100 + i, f"common words please meet at noon {i} word", "s") for i in range(400)]
+    return rows + [(900, "Zaphod was here, Zaphod!", "s"), (None, None, None)]
+
+
 def test_pii_terms_that_reveal_an_entity(spark):
-    rows = [(i, f"filler{i} meet Zaphod zz{i} at z@hq.org please common{i % 5} word", "s") for i in range(8)]
-    rows += [(100 + i, f"common words please meet at noon {i} word", "s") for i in range(200)] + [(400, "Zaphod was here, Zaphod!", "s"), (None, None, None)]
-    df = docs_of(spark, rows).withColumn("spans", F.lit("clash"))
+    df = docs_of(spark, revealing_rows()).withColumn("spans", F.lit("clash"))
     got = {x["doc_id"]: x for x in pii.find_pii(df).collect()}
-    assert [(s["start"], s["end"]) for s in got[400]["term_spans"]] == [(0, 6), (17, 23)]
+    assert [(s["start"], s["end"]) for s in got[900]["term_spans"]] == [(0, 6), (17, 23)]
     assert all(len(got[i]["term_spans"]) == 1 for i in range(8)) and not got[100]["term_spans"]
     clean = {x["doc_id"]: x["sanitised"] for x in pii.sanitise(df).collect()}
-    assert clean[0] == "filler0 meet [TERM] zz0 at [EMAIL] please common0 word"
-    assert clean[400] == "[TERM] was here, [TERM]!"
+    assert clean[0] == "aa meet [TERM] aa at [EMAIL] please common word"
+    assert clean[900] == "[TERM] was here, [TERM]!"
     assert pii.find_pii(df.limit(0)).count() == 0 and pii.find_pii(awkward(spark)).count() == 10
 
 
 def test_pii_ways_beyond_the_broadcast_bound_agree(spark, monkeypatch):
-    rows = [(i, f"filler{i} meet Zaphod zz{i} at z@hq.org now", "s") for i in range(8)] + [(50, "Zaphod Zaphod", "s")]
-    df = docs_of(spark, rows)
+    df = docs_of(spark, revealing_rows())
     want = sorted(map(str, pii.find_pii(df).select("doc_id", "term_spans").collect()))
     monkeypatch.setattr(pii, "BROADCAST_CHARS", 0)
     assert sorted(map(str, pii.find_pii(df).select("doc_id", "term_spans").collect())) == want
