@@ -90,11 +90,11 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     """``docs`` without the rows whose text another row (or an earlier batch) has; all columns stay as they are."""
     own = index or DigestIndex(docs.sparkSession, f"quire_digests_{uuid.uuid4().hex}")
     decided = dedup_batch(docs, own, id_col, text_col)
-    stays = durable(decided.where("kept").select("digest", F.col("doc_id").alias("__stays")).distinct())
+    stays = durable(decided.where("kept").select(F.col("digest").alias("__key"), F.col("doc_id").alias("__stays")).distinct())
     if index is None:
         own.drop()
     keyed = docs.withColumn("__digest", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)))
-    match = (F.col("__digest") == F.col("digest")) & F.col(id_col).eqNullSafe(F.col("__stays"))
+    match = (F.col("__digest") == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__stays"))
     kept = keyed.join(stays, match, "left_semi")
     return kept.dropDuplicates(["__digest", id_col]).drop("__digest")
 

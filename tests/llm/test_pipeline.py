@@ -12,15 +12,15 @@ def test_stages(spark, tmp_path):
     from quire.llm import toxicity
 
     r = random.Random(6)
-    base = [" ".join(f"w{r.randrange(900)}" for _ in range(80)) for _ in range(120)]
+    base = [" ".join("".join(r.choice("abcdefghij") for _ in range(3)) for _ in range(80)) for _ in range(120)]
     rows = [(i, t, "en", f"s{i % 4}", len(t)) for i, t in enumerate(base)]
     rows += [(200 + i, base[i], "en", "s0", 1) for i in range(30)]  # copies; the larger id stays
     rows += [(300 + i, base[40 + i] + " tail", "en", "s1", 1) for i in range(20)]  # near copies
-    rows += [(400 + i, f"scum {base[60 + i]} x{i} y{i}".replace(" w1", " v1"), "en", "s2", 1) for i in range(40)]
+    rows += [(400 + i, f"scum {base[60 + i][:200]}", "en", "s2", 1) for i in range(40)]
     rows += [(None, None, None, None, None), (None, None, None, None, None)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(rows, schema).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
-    labels = [(i, 0) for i in range(0, 120, 2)] + [(400 + i, 1) for i in range(40)]
+    labels = [(x[0], int(x[0] >= 400)) for x in rows if x[0] is not None]
     spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     labelled = spark.read.parquet(str(tmp_path / "labels.parquet"))
@@ -29,7 +29,7 @@ def test_stages(spark, tmp_path):
     clean = c.drop_toxic(spark, docs, str(tmp_path))
     model = toxicity.train(docs, labelled)
     assert ids(clean) == sorted(str(x[0]) for x in rows if model.score(x[1]) < 0.5)
-    assert clean.columns == docs.columns and sum(x["doc_id"] is not None and x["doc_id"] >= 400 for x in clean.collect()) < 8
+    assert clean.columns == docs.columns and clean.count() >= 165 and sum(x["doc_id"] is not None and x["doc_id"] >= 400 for x in clean.collect()) < 8
 
     plain = spark.createDataFrame([x for x in rows if x[0] is None or x[0] < 400], schema)
     unique = c.drop_exact_copies(spark, plain, str(tmp_path))
@@ -37,6 +37,8 @@ def test_stages(spark, tmp_path):
     assert ids(unique) == sorted([*(str(i) for i in range(30, 120)), *(str(200 + i) for i in range(30)), *(str(300 + i) for i in range(20)), "None"])
     apart = c.drop_near_copies(spark, unique, str(tmp_path))
     assert ids(apart) == sorted([*(str(i) for i in range(30, 120)), *(str(200 + i) for i in range(30)), "None"])
-    assert apart.columns == docs.columns and c.mix_sources(spark, apart, str(tmp_path)).columns == docs.columns
+    assert apart.columns == docs.columns
+    mixed = c.mix_sources(spark, apart, str(tmp_path))
+    assert mixed.columns == docs.columns and 100 < mixed.count() < 250
     packed = c.run(spark, str(tmp_path))
     assert packed.count() > 0 and "sequence_id" in packed.columns
