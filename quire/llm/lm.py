@@ -1,19 +1,22 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Training counts every n-gram of orders 1 to ``ORDER`` of the training texts (in lower case, each
-text closed by one end token). An n-gram of at least ``floor`` occurrences is quantised to
-``q = 1 + floor(log(count / floor) / log(BASE))`` and the filter gets the keys (n-gram, 1) to
-(n-gram, q); likewise, for each context, the sum and the number of n-grams that reach the floor. A
-query probes levels upward until one is missing; the last found gives the count. ``floor`` is a
-fixed share of the corpus (``SHARE`` of its tokens, at least one), so at most 1 / SHARE n-grams of
-an order reach it, with at most 3.5 keys each: the filter that is broadcast has a proven bound at
-any size, and all sizes behave alike. With C(h) and T(h) the sum and number of those after h,
+text closed by one end token). Every n-gram, from one occurrence on, is quantised to
+``q = 1 + floor(log(count) / log(BASE))`` and the filter gets the keys (n-gram, 1) to (n-gram, q);
+likewise, for each context, the sum and the number of n-grams after it. A query probes levels upward
+until one is missing; the last found gives the count. With C(h) and T(h) the sum and number of those
+after h,
 
     P(w | h) = (c(h w) + (c(h) - C(h) + T(h)) * P(w | shorter h)) / (c(h) + T(h)),
 
-which sums to one up to quantisation: what the floor cuts off goes to the lower order, as does a
-share for new words. P(w) is the base's; words below the floor that are not heavy count as the mean
-of such words.
+which sums to one up to quantisation: a share for new words goes to the lower order. P(w) is the
+base's.
+
+The filter grows with the corpus. Its segments (more of them for more tokens, so that each stays
+small) are broadcast in turns of at most ``TURN_BYTES``. Where one turn holds them all, blocks of
+texts are scored at once. Otherwise a block first writes down which keys it asks for, by turn; each
+turn answers its keys with levels; then the block is scored with the answers, a portion of the
+texts after the other.
 
 The exact base score needs each token's exact count. Words of at least ``HEAVY`` of the tokens
 (at most 1 / HEAVY, and no longer than ``HEAVY_BYTES``) are broadcast; tokens of all others travel, as
@@ -27,8 +30,10 @@ columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +45,16 @@ from ._runtime import durable, id_crc, partitions, read_table
 from ._words import CACHE_WORDS, MIX_1, STEP, mixed
 
 ORDER = 2
-SHARE = 2.0**-22
 HEAVY, HEAVY_BYTES = 2.0**-21, 64
 BASE = 2.0**0.5
 BITS_PER_KEY, PROBES = 12, 5
 SEGMENT_BITS, CONTEXT_BITS = 6, 40
+#: Above 2^SEGMENT_BITS times so many tokens there are more segments; 2^16 at most, as segments are stored in two bytes.
+SEGMENT_TOKENS, MOST_BITS = 1 << 22, 16
+#: Bytes of the filter that are broadcast at once (a single larger segment is a turn of its own).
+TURN_BYTES = 128_000_000
+#: Where there are several turns, so many portions of the texts are scored one after the other, so that what they ask for stays small.
+PORTIONS = 8
 ADD = 0.1
 END = b" "  # no word holds a space
 CHUNK_TOKENS = 200_000
@@ -69,7 +79,7 @@ class Hashes(dict):
         return h
 
 
-def keys_of(h: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def keys_of(h: np.ndarray, place: np.ndarray, n: int, bits: int = SEGMENT_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segments and keys of the n-grams that end at each position and lie inside one text; the positions.
 
     h: token hashes of texts, one after the other. place: a token's place in its text. A segment
@@ -78,16 +88,21 @@ def keys_of(h: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     at = np.flatnonzero(place >= n - 1)
     if n == 1:
         key = mixed(h + STEP)
-        return (key >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64), key, at
+        return (key >> np.uint64(64 - bits)).astype(np.int64), key, at
     context = h[at - (n - 1)]
     for i in range(n - 2, 0, -1):
         context = mixed(context + STEP) ^ h[at - i]
     context = mixed(context + np.uint64(n))
-    segment = (context >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64)
-    rest = (context << np.uint64(SEGMENT_BITS)) >> np.uint64(64 - CONTEXT_BITS)
+    segment = (context >> np.uint64(64 - bits)).astype(np.int64)
+    rest = (context << np.uint64(bits)) >> np.uint64(64 - CONTEXT_BITS)
     return segment, (rest << np.uint64(64 - CONTEXT_BITS)) | (mixed(h[at]) >> np.uint64(CONTEXT_BITS)), at
 
 
+def segment_bits(total: int) -> int:
+    """Bits of a segment's number for so many tokens."""
+    return min(max(SEGMENT_BITS, (max(total - 1, 0) // SEGMENT_TOKENS).bit_length()), MOST_BITS)
+
+
 def joined(texts: list[list[bytes]], hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes of all texts, each token's place in its text, and the texts' sizes."""
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -96,13 +111,13 @@ def joined(texts: list[list[bytes]], hashes: Hashes) -> tuple[np.ndarray, np.nda
     return h, place, sizes
 
 
-def key_blobs(parts: list[tuple[np.ndarray, np.ndarray]], order: int) -> Iterator[tuple]:
+def key_blobs(parts: list[tuple[np.ndarray, np.ndarray]], order: int, bits: int = SEGMENT_BITS) -> Iterator[tuple]:
     """Counted keys by segment: (order, segment, keys, counts, number). Bytes of like weight stand
     together, so that those sorted keys share compress away."""
     segment, key = (np.concatenate(x) for x in zip(*parts, strict=True))
     by = np.argsort(segment, kind="stable")
-    key, edges = key[by], np.searchsorted(segment[by], np.arange((1 << SEGMENT_BITS) + 1))
-    for s in range(1 << SEGMENT_BITS):
+    key, edges = key[by], np.searchsorted(segment[by], np.arange((1 << bits) + 1))
+    for s in range(1 << bits):
         if edges[s] < edges[s + 1]:
             part, count = np.unique(key[edges[s] : edges[s + 1]], return_counts=True)
             kind = "u1" if int(count.max()) < 256 else "<u4"
@@ -132,14 +147,14 @@ def token_chunks(columns: Iterator[pa.Array]) -> Iterator[list[list[bytes]]]:
         yield texts
 
 
-def counted(docs: DataFrame, order: int) -> DataFrame:
+def counted(docs: DataFrame, order: int, bits: int = SEGMENT_BITS) -> DataFrame:
     """Blobs of the n-gram keys of orders 1 to ``order`` and their counts, as tasks gather them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, parts, held = Hashes(), {n: [] for n in range(1, order + 1)}, 0
 
         def flush() -> pa.RecordBatch:
-            rows = [r for n, p in parts.items() if p for r in key_blobs(p, n)]
+            rows = [r for n, p in parts.items() if p for r in key_blobs(p, n, bits)]
             for p in parts.values():
                 p.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), BLOB, strict=True)], schema=BLOB)
@@ -147,9 +162,9 @@ def counted(docs: DataFrame, order: int) -> DataFrame:
         for texts in token_chunks(b.column("text") for b in batches):
             h, place, sizes = joined(texts, hashes)
             for n, p in parts.items():
-                segment, key, _ = keys_of(h, place, n)
+                segment, key, _ = keys_of(h, place, n, bits)
                 if len(key):
-                    p.append((segment.astype(np.uint8), key))
+                    p.append((segment.astype(np.uint16), key))
             held += int(sizes.sum())
             if held >= FLUSH_TOKENS:
                 yield flush()
@@ -190,10 +205,10 @@ def summed(blobs: DataFrame, floor: float) -> DataFrame:
 class LogBloom:
     """A Bloom filter of (kind, key, level); each segment has its own slice of words."""
 
-    def __init__(self, slices: dict[int, np.ndarray], floor: float):
+    def __init__(self, slices: dict[int, np.ndarray], floor: float, bits: int = SEGMENT_BITS):
         self.floor = floor
         self.bits = np.concatenate([slices[s] for s in sorted(slices)]) if slices else np.zeros(1, np.uint64)
-        self.sizes, self.starts = np.zeros(1 << SEGMENT_BITS, np.uint64), np.zeros(1 << SEGMENT_BITS, np.uint64)
+        self.sizes, self.starts = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
         at = 0
         for s in sorted(slices):
             self.starts[s], self.sizes[s] = at, len(slices[s])
@@ -211,14 +226,33 @@ class LogBloom:
         found[live] = True
         return found
 
-    def count(self, kind: int, segment: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Estimates: levels are probed upward until one is missing; the middle (by ratio) of the last found, or 0."""
-        level, live, q = np.zeros(len(key)), np.arange(len(key)), 1
-        while len(live):
+    def levels(self, kind: int, segment: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Levels are probed upward until one is missing; the last found, or 0."""
+        level, live, q = np.zeros(len(key), "u1"), np.arange(len(key)), 1
+        while len(live) and q < 256:
             live = live[self.has(kind, segment[live], key[live], q)]
             level[live] = q
             q += 1
-        return np.where(level > 0, (1.0 if kind > FOLLOWERS else self.floor) * BASE ** (level - 0.5), 0.0)
+        return level
+
+    def count(self, kind: int, segment: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Estimates: the middle (by ratio) of the level, or 0."""
+        return estimates(self.levels(kind, segment, key), 1.0 if kind > FOLLOWERS else self.floor)
+
+
+def estimates(level: np.ndarray, unit: float = 1.0) -> np.ndarray:
+    return np.where(level > 0, unit * BASE ** (level - 0.5), 0.0)
+
+
+class Asked:
+    """Stands in for a filter's counts and writes down what is asked: kind, segments, keys."""
+
+    def __init__(self):
+        self.all: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+    def __call__(self, kind: int, segment: np.ndarray, key: np.ndarray) -> np.ndarray:
+        self.all.append((kind, segment, key))
+        return np.zeros(len(key))
 
 
 def probe_hashes(kind: int, key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,42 +279,48 @@ def slice_of(pdf):
 
 
 class Model:
-    """What scoring needs: exact counts of heavy words, the filter, and corpus totals."""
+    """What scoring needs: exact counts of heavy words, corpus totals, and the turn of each segment of the filter."""
 
-    def __init__(self, heavy: dict[bytes, int], bloom: LogBloom, tokens: int, vocabulary: int, light_tokens: int, light_words: int):
-        self.heavy, self.bloom, self.tokens, self.vocabulary = heavy, bloom, tokens, vocabulary
-        self.light_mean = light_tokens / (light_words + 1.0)
+    def __init__(self, heavy: dict[bytes, int], tokens: int, vocabulary: int, bits: int, turns: np.ndarray):
+        self.heavy, self.tokens, self.vocabulary, self.bits, self.turns = heavy, tokens, vocabulary, bits, turns
+        #: The whole filter, where it is one turn.
+        self.bloom: LogBloom | None = None
 
     @property
     def denominator(self) -> float:
         return max(self.tokens + ADD * (self.vocabulary + 1), ADD)
 
-    def logs(self, texts: list[list[bytes]], hashes: Hashes) -> tuple:
-        """Token hashes, the texts' sizes, exact counts of heavy words (else -1), log10 P of each token."""
-        h, place, sizes = joined(texts, hashes)
-        # Each distinct word is looked up once.
-        distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
+    def exact(self, texts: list[list[bytes]], first: np.ndarray) -> np.ndarray:
+        """Exact counts of the words at some positions; -1 if not heavy."""
         names = [w for t in texts for w in t]
-        exact = np.array([self.heavy.get(names[i], -1) for i in first], np.float64)
-        guess, rare = exact.copy(), np.flatnonzero(exact < 0)
-        segment, key, _ = keys_of(distinct[rare], np.zeros(len(rare), np.int64), 1)
-        guess[rare] = np.maximum(self.bloom.count(1, segment, key), self.light_mean)
-        history = guess[back]
-        p = (history + ADD) / self.denominator
-        for n in range(2, ORDER + 1):
-            segment, key, at = keys_of(h, place, n)
-            both, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-            seen = self.bloom.count(n, segment[first], both)[inverse]
-            context, first, inverse = np.unique(key >> np.uint64(64 - CONTEXT_BITS), return_index=True, return_inverse=True)
-            followed = self.bloom.count(FOLLOWED + n, segment[first], context)[inverse]
-            followers = self.bloom.count(FOLLOWERS + n, segment[first], context)[inverse]
-            before = np.maximum(history[at - 1], 1.0)
-            # A context without followers was found by chance.
-            followed = np.where(followers > 0, np.minimum(followed, before), 0.0)
-            p[at] = (np.minimum(seen, followed) + (before - followed + followers) * p[at]) / (before + followers)
-            history = np.zeros(len(h))
-            history[at] = seen
-        return h, sizes, exact[back], np.log10(p)
+        return np.array([self.heavy.get(names[i], -1) for i in first], np.int64)
+
+
+def logs(distinct: np.ndarray, back: np.ndarray, place: np.ndarray, exact: np.ndarray, denominator: float, bits: int, count) -> np.ndarray:
+    """log10 P of each token. ``distinct``: hashes of the distinct words, ``back``: which of them a
+    token is, ``exact``: their counts, see :meth:`Model.exact`; ``count(kind, segments, keys)``
+    gives the filter's estimates, and what is asked does not depend on what it gives."""
+    h = distinct[back]
+    # Each distinct word is looked up once.
+    guess, rare = exact.astype(np.float64), np.flatnonzero(exact < 0)
+    segment, key, _ = keys_of(distinct[rare], np.zeros(len(rare), np.int64), 1, bits)
+    guess[rare] = count(1, segment, key)
+    history = guess[back]
+    p = (history + ADD) / denominator
+    for n in range(2, ORDER + 1):
+        segment, key, at = keys_of(h, place, n, bits)
+        both, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        seen = count(n, segment[first], both)[inverse]
+        context, first, inverse = np.unique(key >> np.uint64(64 - CONTEXT_BITS), return_index=True, return_inverse=True)
+        followed = count(FOLLOWED + n, segment[first], context)[inverse]
+        followers = count(FOLLOWERS + n, segment[first], context)[inverse]
+        before = np.maximum(history[at - 1], 1.0)
+        # A context without followers was found by chance.
+        followed = np.where(followers > 0, np.minimum(followed, before), 0.0)
+        p[at] = (np.minimum(seen, followed) + (before - followed + followers) * p[at]) / (before + followers)
+        history = np.zeros(len(h))
+        history[at] = seen
+    return np.log10(p)
 
 
 def per_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -311,41 +351,71 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word binary, h long, c long").groupBy("word", "h").agg(F.sum("c").alias("c"))
 
 
-def train(docs: DataFrame, folds: int = 10) -> tuple[Model, DataFrame]:
-    """The model of the texts whose id is not held out, and the exact counts of all its words."""
+def train(docs: DataFrame, folds: int = 10) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of the texts whose id is not held out, the filter's slices, and the exact counts of all its words."""
     training = docs.where(id_crc("doc_id", folds) != 0)
     counts = durable(word_counts(training))
     total, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     heavy = {bytes(r["word"]): r["c"] for r in counts.where(is_heavy(total)).select("word", "c").toLocalIterator()}
-    floor = max(1.0, total * SHARE)
-    n_light, c_light = counts.where(F.col("c") < floor).agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    kept = durable(summed(counted(training, ORDER), floor))
-    slices = kept.groupBy("segment").applyInPandas(slice_of, "segment int, bits binary")
-    bloom = LogBloom({r["segment"]: np.frombuffer(bytes(r["bits"]), np.uint64) for r in slices.toLocalIterator()}, floor)
-    return Model(heavy, bloom, total, vocabulary, c_light, n_light), counts
+    bits = segment_bits(total)
+    kept = summed(counted(training, ORDER, bits), 1.0)
+    slices = durable(kept.groupBy("segment").applyInPandas(slice_of, "segment int, bits binary"))
+    sizes = {r["segment"]: r["size"] for r in slices.select("segment", F.length("bits").alias("size")).toLocalIterator()}
+    return Model(heavy, total, vocabulary, bits, turns_of(sizes, bits)), slices, counts
+
+
+def turns_of(sizes: dict[int, int], bits: int) -> np.ndarray:
+    """The turn of each segment: as many segments in a row as ``TURN_BYTES`` hold."""
+    turns, turn, held = np.zeros(1 << bits, np.int64), 0, 0
+    for s in range(1 << bits):
+        size = sizes.get(s, 0)
+        if held and held + size > TURN_BYTES:
+            turn, held = turn + 1, 0
+        turns[s], held = turn, held + size
+    return turns
+
+
+def filter_of(slices: DataFrame, model: Model, turn: int) -> LogBloom:
+    first, last = np.flatnonzero(model.turns == turn)[[0, -1]]
+    rows = slices.where(F.col("segment").between(int(first), int(last))).toLocalIterator()
+    return LogBloom({r["segment"]: np.frombuffer(bytes(r["bits"]), np.uint64) for r in rows}, 1.0, model.bits)
 
 
 def is_heavy(total: int):
     return (F.col("c") >= total * HEAVY) & (F.length("word") <= HEAVY_BYTES)
 
 
+#: Segments from -2 down are turns: keys that a block asks for (hashes), their segments (docs), and how many of each kind (n_tokens).
+#: Segment -1 is the block itself, with its token hashes and exact counts if it is yet to be scored.
 BLOCK = "part int, block int, segment int, hashes binary, docs binary, doc_id array<long>, n_tokens array<long>, known array<long>, base array<double>, score array<double>"
 
 
 def scored_blocks(docs: DataFrame, model: Model, segments: int) -> DataFrame:
-    """Per block of texts: one row of totals, and by segment of the hash its tokens that are not heavy."""
+    """Per block of texts: one row of totals, by segment of the hash its tokens that are not heavy, and
+    (if the model has no filter yet) by turn what it asks for."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c.split()[0] for c in BLOCK.split(", ")]
     types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())]
 
     def block_rows(ids: list, texts: list[list[bytes]], part: int, block: int, hashes: Hashes) -> pa.RecordBatch:
         model = shared.value
-        h, sizes, exact, logs = model.logs(texts, hashes)
+        h, place, sizes = joined(texts, hashes)
+        distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
+        counts = model.exact(texts, first)
+        asked = Asked()
+        score = per_text(logs(distinct, back, place, counts, model.denominator, model.bits, model.bloom.count if model.bloom else asked), sizes)
+        exact = counts[back]
         heavy = exact >= 0
         base = per_text(np.where(heavy, np.log10((np.maximum(exact, 0) + ADD) / model.denominator), 0.0), sizes)
         known = per_text(heavy.astype(np.int64), sizes)
-        score = per_text(logs, sizes)
-        rows = [(part, block, -1, None, None, ids, sizes, known, base, score)]
+        if model.bloom:
+            rows = [(part, block, -1, None, None, ids, sizes, known, base, score)]
+        else:
+            rows = [(part, block, -1, h.astype("<u8").tobytes(), counts.astype("<i8").tobytes(), ids, sizes, known, base, None)]
+            for turn in range(int(model.turns.max()) + 1):
+                some = [(key[own], segment[own]) for _, segment, key in asked.all for own in [model.turns[segment] == turn]]
+                key, segment = (np.concatenate(x) for x in zip(*some, strict=True))
+                rows.append((part, block, -2 - turn, key.astype("<u8").tobytes(), segment.astype("<u2").tobytes(), None, [len(k) for k, _ in some], None, None, None))
         doc = np.repeat(np.arange(len(sizes), dtype="<u4"), sizes)[~heavy]
         light = h[~heavy]
         segment = (light % np.uint64(segments)).astype(np.int64)
@@ -379,6 +449,59 @@ def scored_blocks(docs: DataFrame, model: Model, segments: int) -> DataFrame:
     return docs.mapInArrow(score, BLOCK)
 
 
+def answered(asked: DataFrame, bloom: LogBloom) -> DataFrame:
+    """part, block, segment (the turn's), levels: of the keys that blocks ask a turn for."""
+    shared = asked.sparkSession.sparkContext.broadcast(bloom)
+    kinds = [1, *(k + n for n in range(2, ORDER + 1) for k in (0, FOLLOWED, FOLLOWERS))]
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("segment", pa.int32()), ("levels", pa.binary())])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            levels = []
+            for keys, segments, sizes in zip(b.column("hashes"), b.column("docs"), b.column("n_tokens"), strict=True):
+                key, segment = np.frombuffer(keys.as_buffer(), "<u8"), np.frombuffer(segments.as_buffer(), "<u2")
+                edges = np.r_[0, np.cumsum(np.array(sizes.as_py(), np.int64))]
+                parts = [shared.value.levels(k, segment[i:j], key[i:j]) for k, i, j in zip(kinds, edges[:-1], edges[1:], strict=True)]
+                levels.append(np.concatenate(parts).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("block"), b.column("segment"), pa.array(levels, pa.binary())], schema=schema)
+
+    out = durable(asked.select("part", "block", "segment", "hashes", "docs", "n_tokens").mapInArrow(answer, "part int, block int, segment int, levels binary"))
+    shared.destroy()
+    return out
+
+
+def scores_by_turns(blocks: DataFrame, slices: DataFrame, model: Model) -> DataFrame:
+    """part, block, score: blocks scored with the answers of all turns."""
+    import pandas as pd
+
+    turns, bits, denominator = model.turns, model.bits, model.denominator
+    rows = blocks.where("turn = -1 AND segment = -1").select("part", "block", "segment", F.lit(None).cast("binary").alias("levels"), "hashes", "docs", "n_tokens")
+    for turn in range(int(turns.max()) + 1):
+        levels = answered(blocks.where(F.col("turn") == turn), filter_of(slices, model, turn))
+        rows = rows.unionByName(levels, allowMissingColumns=True)
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf["segment"] == -1].iloc[0]
+        given = {-2 - s: np.frombuffer(x, "u1") for s, x in zip(pdf["segment"], pdf["levels"], strict=True) if s < -1}
+        at = dict.fromkeys(given, 0)
+
+        def count(kind: int, segment: np.ndarray, key: np.ndarray) -> np.ndarray:
+            level, turn = np.zeros(len(key), "u1"), turns[segment]
+            for t in given:
+                mine = np.flatnonzero(turn == t)
+                level[mine] = given[t][at[t] : at[t] + len(mine)]
+                at[t] += len(mine)
+            return estimates(level)
+
+        h, exact, sizes = np.frombuffer(own["hashes"], "<u8"), np.frombuffer(own["docs"], "<i8"), np.asarray(own["n_tokens"], np.int64)
+        place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        distinct, back = np.unique(h, return_inverse=True)
+        out = per_text(logs(distinct, back, place, exact, denominator, bits, count), sizes)
+        return pd.DataFrame({"part": [own["part"]], "block": [own["block"]], "late": [out]})
+
+    return rows.groupBy("part", "block").applyInPandas(score, "part int, block int, late array<double>")
+
+
 def light_sums(blocks: DataFrame, counts: DataFrame, total: int, denominator: float, segments: int) -> DataFrame:
     """part, block, base, known: what the words that are not heavy add to each text of a block."""
     import pandas as pd
@@ -418,11 +541,33 @@ def light_sums(blocks: DataFrame, counts: DataFrame, total: int, denominator: fl
 def score_documents(docs: DataFrame, folds: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model, counts = train(docs, folds)
-    segments = partitions(docs.sparkSession)
-    blocks = durable(scored_blocks(docs, model, segments))
+    spark = docs.sparkSession
+    model, slices, counts = train(docs, folds)
+    segments = partitions(spark)
+    if not model.turns.any():
+        model.bloom = filter_of(slices, model, 0)
+        return scored_rows(durable(scored_blocks(docs, model, segments)), counts, model, segments, folds)
+    portions = [docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(PORTIONS)) == i) for i in range(PORTIONS)]
+    return reduce(DataFrame.unionByName, [scored_by_turns(some, slices, counts, model, segments, folds) for some in portions])
+
+
+def scored_by_turns(docs: DataFrame, slices: DataFrame, counts: DataFrame, model: Model, segments: int, folds: int) -> DataFrame:
+    spark = docs.sparkSession
+    # By turn, so that a turn reads its own keys only.
+    path = f"{spark.sparkContext.getCheckpointDir()}/quire-lm-{uuid.uuid4().hex}"
+    scored_blocks(docs, model, segments).withColumn("turn", F.greatest(-2 - F.col("segment"), F.lit(-1))).write.partitionBy("turn").parquet(path)
+    blocks = spark.read.schema(f"{BLOCK}, turn int").parquet(path)
+    late = durable(scores_by_turns(blocks, slices, model))
+    whole = blocks.where("turn = -1").drop("turn").join(late, ["part", "block"], "left").withColumn("score", F.col("late")).drop("late")
+    out = durable(scored_rows(whole, counts, model, segments, folds))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
+
+
+def scored_rows(blocks: DataFrame, counts: DataFrame, model: Model, segments: int, folds: int) -> DataFrame:
     more = light_sums(blocks, counts, model.tokens, model.denominator, segments).select("part", "block", F.col("base").alias("more_base"), F.col("known").alias("more_known"))
-    whole = blocks.where("segment < 0").join(more, ["part", "block"], "left")
+    whole = blocks.where("segment = -1").join(more, ["part", "block"], "left")
     rows = whole.select("more_base", "more_known", F.posexplode(F.arrays_zip("doc_id", "n_tokens", "known", "base", "score")).alias("i", "r"))
     return rows.select(
         "r.doc_id",

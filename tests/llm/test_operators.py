@@ -388,6 +388,36 @@ def test_log_bloom_counts_are_near(spark):
     assert (bloom.count(1, stranger[0], stranger[1]) > 0).mean() < 0.02
 
 
+def test_lm_keeps_single_ngrams_in_a_large_corpus(spark):
+    filler = " ".join(["of the"] * 100_000)
+    rows = [(i, filler, "s") for i in range(1, 30)] + [(50, "lone pair", "s")]
+    held = {i for i, _, _ in rows if binascii.crc32(str(i).encode()) % 10 == 0}
+    assert 50 not in held
+    model, slices, _ = lm.train(docs_of(spark, rows))
+    assert model.tokens > 1 << 22
+    bloom = lm.filter_of(slices, model, 0)
+    h, place, _ = lm.joined([lm.tokens("lone pair")], lm.Hashes())
+    for n in (1, 2):
+        segment, key, _ = lm.keys_of(h, place, n, model.bits)
+        assert (bloom.count(n, segment, key) > 0).all()
+
+
+def test_lm_scores_alike_in_many_turns(spark, monkeypatch):
+    r = random.Random(12)
+    rows = [(i, " ".join(f"w{min(int(r.paretovariate(0.7)), 5000)}" for _ in range(r.randint(0, 60))), "s") for i in range(500)]
+    want = sorted(map(str, lm.score_documents(docs_of(spark, rows)).collect()))
+    monkeypatch.setattr(lm, "TURN_BYTES", 9000)
+    monkeypatch.setattr(lm, "PORTIONS", 2)
+    model, _, _ = lm.train(docs_of(spark, rows))
+    assert 0 < model.turns.max() < 9
+    assert sorted(map(str, lm.score_documents(docs_of(spark, rows)).collect())) == want
+    monkeypatch.setattr(lm, "SEGMENT_TOKENS", 64)
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 700)
+    assert lm.segment_bits(model.tokens) > lm.SEGMENT_BITS
+    got = lm.score_documents(docs_of(spark, rows)).collect()
+    assert len(got) == len(rows) and all(math.isfinite(x["score"]) for x in got)
+
+
 # token counts ---------------------------------------------------------------------------------
 
 
