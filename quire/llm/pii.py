@@ -8,8 +8,8 @@ The method: every base span is a protected entity. Terms (runs of letters) insid
 ``window`` code points around it co-occur with it. For entity e and term t,
 ``P(e|t) = n(e, t) / n(t)`` over all occurrences of t in the corpus, and the pointwise information
 ``log2(P(e|t) / P(e))`` says how strongly t reveals e, P(e) being the share of all term occurrences
-that lie in e's windows. A term seen in at least ``support`` different
-windows of e whose P(e|t) and information reach their thresholds is a disclosing term: from
+that lie in e's windows. A term seen in at least ``support``
+windows of e, alike (copies) or not, whose P(e|t) and information reach their thresholds is a disclosing term: from
 ``p_remove`` on it is removed, below that generalised.
 
 Defined results: a null text is empty (no spans); a null id keeps its row; repeated rows get equal
@@ -117,7 +117,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int, p_min: flo
     windows = found.select(F.explode("contexts").alias("c")).select("c.entity", "c.around").groupBy("entity", "around").agg(F.count(F.lit(1)).alias("times"))
     total = docs.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(TERM))), F.lit(0))).first()[0]
     words = windows.select("entity", "times", F.explode(F.array_distinct(F.regexp_extract_all("around", F.lit(TERM), F.lit(0)))).alias("term"))
-    pairs = words.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("both")).where(F.col("kinds") >= support)
+    pairs = words.groupBy("entity", "term").agg(F.sum("times").alias("both")).where(F.col("both") >= support)
     pairs = durable(pairs)
     candidates = pairs.select("term").distinct()
     small = bounded(candidates)

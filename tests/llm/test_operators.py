@@ -332,6 +332,13 @@ def test_pii_ways_beyond_the_broadcast_bound_agree(spark, monkeypatch):
     assert sorted(map(str, pii.find_pii(df).select("doc_id", "term_spans").collect())) == want
 
 
+def test_pii_copied_passages_disclose(spark):
+    rows = [(i, "call on Zaphod at 9, z@hq.org, as always", "s") for i in range(5)] + [(9, "Zaphod was here", "s")]
+    rows += [(100 + i, f"call on us at 9 as always {i}", "s") for i in range(400)]
+    got = {x["doc_id"]: [(s["start"], s["end"]) for s in x["term_spans"]] for x in pii.find_pii(docs_of(spark, rows)).collect()}
+    assert got[9] == [(0, 6)] and got[0] == [(8, 14)] and not got[100]
+
+
 # language model -------------------------------------------------------------------------------
 
 
