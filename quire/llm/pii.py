@@ -91,8 +91,13 @@ def context(text: Column, span: Column, window: int) -> Column:
     """The letters around a span, addresses blanked and words cut by the window's edges left out."""
     before = F.substring(text, F.greatest(span["start"] - window, F.lit(0)) + 1, F.least(span["start"], F.lit(window)))
     after = F.substring(text, span["end"] + 1, F.lit(window))
+    # The characters just outside: a letter there means that the window cuts a word.
+    left = F.when(span["start"] > window, F.substring(text, span["start"] - window, F.lit(1))).otherwise("")
+    right = F.substring(text, span["end"] + window + 1, F.lit(1))
+    before = F.when(left.rlike(r"\p{L}"), F.regexp_replace(before, r"^\p{L}++", "")).otherwise(before)
+    after = F.when(right.rlike(r"\p{L}"), F.regexp_replace(after, r"\p{L}++$", "")).otherwise(after)
     blank = lambda x: F.regexp_replace(x, PATTERNS["email"], " ")
-    return F.concat(blank(F.regexp_replace(before, r"^\p{L}++", "")), F.lit(" "), blank(F.regexp_replace(after, r"\p{L}++$", "")))
+    return F.concat(blank(before), F.lit(" "), blank(after))
 
 
 def found_in(docs: DataFrame, window: int) -> DataFrame:

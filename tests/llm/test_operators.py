@@ -339,6 +339,18 @@ def test_pii_copied_passages_disclose(spark):
     assert got[9] == [(0, 6)] and got[0] == [(8, 14)] and not got[100]
 
 
+def test_pii_whole_words_at_the_edges_count(spark):
+    mail, pad = "z@x.org", " " + "- " * 39
+    texts = ["Zorblax: " + mail, f"write to {mail} Zorblax", f"- Zorblax{pad[:-7]} {mail} {pad[:-7]}Zorblax -", f"xZorblax{pad[:-6]}{mail}{pad[:-6]}Zorblaxx"]
+    found = pii.found_in(pii.with_key(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]), "doc_id", "text"), 80).collect()
+    words = {x["doc_id"]: re.findall(r"[A-Za-z]+", x["contexts"][0]["around"]) for x in found}
+    assert words == {0: ["Zorblax"], 1: ["write", "to", "Zorblax"], 2: ["Zorblax", "Zorblax"], 3: []}
+    rows = [(i, f"Quux: q@x.org number {i}", "s") for i in range(5)] + [(50 + i, f"number {i} to r@x.org Blarg", "s") for i in range(5)]
+    rows += [(100 + i, f"to number {i} again", "s") for i in range(400)]
+    spans = {x["doc_id"]: [(s["start"], s["end"]) for s in x["term_spans"]] for x in pii.find_pii(docs_of(spark, rows)).collect()}
+    assert spans[0] == [(0, 4)] and spans[50] == [(20, 25)]
+
+
 # language model -------------------------------------------------------------------------------
 
 
