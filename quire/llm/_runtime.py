@@ -26,6 +26,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs``, dealt out where they come in fewer partitions than there are cores (a small file is one partition)."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores, F.xxhash64(*docs.columns))
+
+
 def id_crc(column: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -60,3 +66,25 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator
             start = i
     if held:
         yield pa.Table.from_batches(held)
+
+
+#: A key that holds more than this share of the rows is joined by broadcast: at most 1 / share such keys exist.
+HOT_SHARE = 1e-4
+
+
+def join_unique(rows: DataFrame, table: DataFrame, on: list[str], times: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row for each key, no null keys): an inner join that bears hot keys.
+
+    ``times`` has the keys and ``n``, how many rows each has (counted here by default). Keys with a
+    large share of the rows, whose number is bounded by that share, are broadcast; the others meet
+    their row by shuffle, at most that share of the rows in one task.
+    """
+    counted = times if times is not None else rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = counted.where(F.col("n") > max(total * HOT_SHARE, 1_000)).select(*on)
+    columns = [*rows.columns, *(c for c in table.columns if c not in on)]
+    if hot.isEmpty():
+        return rows.join(table, on).select(*columns)
+    hot = durable(hot)
+    few = F.broadcast(durable(table.join(F.broadcast(hot), on, "left_semi")))
+    return rows.join(few, on).select(*columns).unionByName(rows.join(F.broadcast(hot), on, "left_anti").join(table, on).select(*columns))

@@ -2,234 +2,267 @@
 
 Training counts every n-gram of orders 1 to ``ORDER`` of the training texts (in lower case, each
 text closed by one end token). Every n-gram, from one occurrence on, is quantised to
-``q = 1 + floor(log(count) / log(BASE))`` and the filter gets the keys (n-gram, 1) to (n-gram, q);
-likewise, for each context, the sum and the number of n-grams after it. A query probes levels upward
-until one is missing; the last found gives the count. With C(h) and T(h) the sum and number of those
-after h,
+``q = 1 + floor(log2(count))`` and the filter gets the keys (n-gram, 1) to (n-gram, q); likewise,
+for each context, the sum and the number of n-grams after it. A query probes levels upward until one
+is missing; the last found gives the count. With C(h) and T(h) the sum and number of those after h,
 
     P(w | h) = (c(h w) + (c(h) - C(h) + T(h)) * P(w | shorter h)) / (c(h) + T(h)),
 
 which sums to one up to quantisation: a share for new words goes to the lower order. P(w) is the
 base's.
 
-The filter grows with the corpus. Its segments (more of them for more tokens, so that each stays
-small) are broadcast in turns of at most ``TURN_BYTES``. Where one turn holds them all, blocks of
-texts are scored at once. Otherwise a block first writes down which keys it asks for, by turn; each
-turn answers its keys with levels; then the block is scored with the answers, a portion of the
-texts after the other.
+N-grams are dealt by context into segments, whose number follows the bytes read, so that a task's
+share of the counts and of the filter stays the same at every size. Filters of at most
+``FILTER_BYTES`` are broadcast and probed where the texts are. A larger filter stays in its segments:
+a block of texts sends each segment the keys it asks for and gets levels back, by shuffle. Both ways
+give the same scores; nothing is left out of either.
 
 The exact base score needs each token's exact count. Words of at least ``HEAVY`` of the tokens
-(at most 1 / HEAVY, and no longer than ``HEAVY_BYTES``) are broadcast; tokens of all others travel, as
-64-bit hashes packed by segment, to the segment's counts, and come back as sums per text.
+(at most 1 / HEAVY of them, 16 bytes each) are broadcast; tokens of all others travel, as 64-bit
+hashes packed by segment, to the segment's counts, and come back as sums per text.
 
-Defined results: a null text is empty and has one token, the end; words that only look like the end
-token are ordinary words; a null id counts as the empty text when folds are drawn; repeated rows
-score alike; an empty training set gives N = 0 and all words unknown; no rows give no rows. Extra
-columns are ignored.
+Defined results: words are told apart by 64-bit hashes; a null text is empty and has one token, the
+end; words that only look like the end token are ordinary words; a null id counts as the empty text
+when folds are drawn; repeated rows score alike; an empty training set gives N = 0 and all words
+unknown; no rows give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._runtime import durable, id_crc, partitions, read_table
-from ._words import CACHE_WORDS, MIX_1, STEP, mixed
+from ._runtime import durable, id_crc, read_table, spread
+from ._words import MIX_1, STEP, mixed, slices, word_hashes
 
 ORDER = 2
-HEAVY, HEAVY_BYTES = 2.0**-21, 64
-BASE = 2.0**0.5
-BITS_PER_KEY, PROBES = 12, 5
-SEGMENT_BITS, CONTEXT_BITS = 6, 40
-#: Above 2^SEGMENT_BITS times so many tokens there are more segments; 2^16 at most, as segments are stored in two bytes.
-SEGMENT_TOKENS, MOST_BITS = 1 << 22, 16
-#: Bytes of the filter that are broadcast at once (a single larger segment is a turn of its own).
-TURN_BYTES = 128_000_000
-#: Where there are several turns, so many portions of the texts are scored one after the other, so that what they ask for stays small.
-PORTIONS = 8
+HEAVY = 2.0**-21
+BITS_PER_KEY, PROBES = 10, 5
+#: A segment per so many bytes of text, in powers of two, 2^SEGMENT_BITS at least; CONTEXT_BITS of a key are its context.
+SEGMENT_BITS, MOST_BITS, SEGMENT_BYTES, CONTEXT_BITS = 6, 24, 1 << 25, 40
+#: A filter of up to so many bytes is broadcast.
+FILTER_BYTES = 144_000_000
 ADD = 0.1
-END = b" "  # no word holds a space
-CHUNK_TOKENS = 200_000
-FLUSH_TOKENS = 1_500_000
-BLOCK_TOKENS = 200_000
+END = np.uint64(0x5EED0FE2D0000001)  # the end token's hash
+#: Bytes of text that are hashed, that are counted and that are scored at once.
+CHUNK_BYTES, FLUSH_BYTES, BLOCK_BYTES = 1 << 20, 1 << 24, 3 << 19
 #: Kinds of keys in the filter besides the orders: what follows a context, summed and by number of words.
 FOLLOWED, FOLLOWERS = 64, 128
+KINDS = [1, *(k + n for n in range(2, ORDER + 1) for k in (0, FOLLOWED, FOLLOWERS))]
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words, A-Z in lower case, and the end token."""
-    out = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    out.append(END)
-    return out
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes of all texts, one after the other (words, A-Z in lower case, and the end), each token's place in its text, and the texts' sizes."""
+    words, n = word_hashes(column, lower=True)
+    sizes = n + 1
+    ends = np.cumsum(sizes)
+    h = np.empty(len(words) + len(n), np.uint64)
+    word = np.ones(len(h), bool)
+    word[ends - 1] = False
+    h[word], h[ends - 1] = words, END
+    return h, np.arange(len(h)) - np.repeat(ends - sizes, sizes), sizes
 
 
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+def context_of(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the ``n`` tokens up to each position."""
+    out = h[at - (n - 1)]
+    for i in range(n - 2, -1, -1):
+        out = mixed(out + STEP) ^ h[at - i]
+    return mixed(out + np.uint64(n + 1))
 
 
-def keys_of(h: np.ndarray, place: np.ndarray, n: int, bits: int = SEGMENT_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segments and keys of the n-grams that end at each position and lie inside one text; the positions.
+def split_context(context: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A context's segment, and its bits in keys."""
+    return (context >> np.uint64(64 - bits)).astype(np.int64), (context << np.uint64(bits)) >> np.uint64(64 - CONTEXT_BITS)
 
-    h: token hashes of texts, one after the other. place: a token's place in its text. A segment
-    holds all n-grams of a context; a key is the rest of the context's hash, then the last word's.
-    """
-    at = np.flatnonzero(place >= n - 1)
+
+def keys_of(h: np.ndarray, place: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments and keys of the n-grams that end at each position and lie inside one text; the positions."""
     if n == 1:
         key = mixed(h + STEP)
-        return (key >> np.uint64(64 - bits)).astype(np.int64), key, at
-    context = h[at - (n - 1)]
-    for i in range(n - 2, 0, -1):
-        context = mixed(context + STEP) ^ h[at - i]
-    context = mixed(context + np.uint64(n))
-    segment = (context >> np.uint64(64 - bits)).astype(np.int64)
-    rest = (context << np.uint64(bits)) >> np.uint64(64 - CONTEXT_BITS)
+        return (key >> np.uint64(64 - bits)).astype(np.int64), key, np.arange(len(h))
+    at = np.flatnonzero(place >= n - 1)
+    segment, rest = split_context(context_of(h, at - 1, n - 1), bits)
     return segment, (rest << np.uint64(64 - CONTEXT_BITS)) | (mixed(h[at]) >> np.uint64(CONTEXT_BITS)), at
 
 
-def segment_bits(total: int) -> int:
-    """Bits of a segment's number for so many tokens."""
-    return min(max(SEGMENT_BITS, (max(total - 1, 0) // SEGMENT_TOKENS).bit_length()), MOST_BITS)
+def segment_bits(n_bytes: int) -> int:
+    """Bits of a segment's number for so many bytes of text."""
+    return min(max(SEGMENT_BITS, (max(n_bytes - 1, 0) // SEGMENT_BYTES).bit_length()), MOST_BITS)
+
 
+def planes(key: np.ndarray) -> bytes:
+    """Sorted keys, bytes of like weight together, so that those they share compress away."""
+    return np.ascontiguousarray(key, "<u8").view("u1").reshape(-1, 8).T.tobytes()
 
-def joined(texts: list[list[bytes]], hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of all texts, each token's place in its text, and the texts' sizes."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    h = np.fromiter((hashes[w] for t in texts for w in t), np.uint64, int(sizes.sum()))
-    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return h, place, sizes
 
+def unplaned(keys: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(keys, "u1").reshape(8, n).T).view("<u8").ravel()
 
-def key_blobs(parts: list[tuple[np.ndarray, np.ndarray]], order: int, bits: int = SEGMENT_BITS) -> Iterator[tuple]:
-    """Counted keys by segment: (order, segment, keys, counts, number). Bytes of like weight stand
-    together, so that those sorted keys share compress away."""
+
+def key_blobs(parts: list[tuple[np.ndarray, np.ndarray]], order: int, bits: int) -> Iterator[tuple]:
+    """Counted keys by segment: (order, segment, keys, counts, number)."""
     segment, key = (np.concatenate(x) for x in zip(*parts, strict=True))
-    by = np.argsort(segment, kind="stable")
-    key, edges = key[by], np.searchsorted(segment[by], np.arange((1 << bits) + 1))
-    for s in range(1 << bits):
-        if edges[s] < edges[s + 1]:
-            part, count = np.unique(key[edges[s] : edges[s + 1]], return_counts=True)
-            kind = "u1" if int(count.max()) < 256 else "<u4"
-            yield order, s, part.view("u1").reshape(-1, 8).T.tobytes(), count.astype(kind).tobytes(), len(part)
+    # Stable sorts of 16-bit numbers are radix sorts; then each segment's keys are sorted alone.
+    by = np.argsort(segment.astype(np.uint16) if bits <= 16 else segment, kind="stable")
+    segment, key = segment[by], key[by]
+    edges = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1], True])
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        part, n = np.unique(key[i:j], return_counts=True)
+        yield order, int(segment[i]), planes(part), n.astype("u1" if int(n.max()) < 256 else "<u4").tobytes(), len(part)
 
 
 def unpacked(keys: bytes, counts: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    key = np.ascontiguousarray(np.frombuffer(keys, "u1").reshape(8, n).T).view("<u8").ravel()
-    return key, np.frombuffer(counts, "u1" if len(counts) == n else "<u4").astype(np.int64)
+    return unplaned(keys, n), np.frombuffer(counts, "u1" if len(counts) == n else "<u4").astype(np.int64)
 
 
 BLOB = pa.schema([("ord", pa.int32()), ("segment", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n", pa.int64())])
 BLOB_SQL = "ord int, segment int, keys binary, counts binary, n long"
 
 
-def token_chunks(columns: Iterator[pa.Array]) -> Iterator[list[list[bytes]]]:
-    """Tokens of consecutive texts, about ``CHUNK_TOKENS`` at a time, so that memory doesn't follow the batch."""
-    texts, held = [], 0
-    for column in columns:
-        for text in column:
-            texts.append(tokens(text.as_py()))
-            held += len(texts[-1])
-            if held >= CHUNK_TOKENS:
-                yield texts
-                texts, held = [], 0
-    if texts:
-        yield texts
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def counted(docs: DataFrame, order: int, bits: int = SEGMENT_BITS) -> DataFrame:
+def counted(docs: DataFrame, order: int, bits: int) -> DataFrame:
     """Blobs of the n-gram keys of orders 1 to ``order`` and their counts, as tasks gather them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, parts, held = Hashes(), {n: [] for n in range(1, order + 1)}, 0
+        parts: dict[int, list] = {n: [] for n in range(1, order + 1)}
+        held = 0
 
         def flush() -> pa.RecordBatch:
             rows = [r for n, p in parts.items() if p for r in key_blobs(p, n, bits)]
             for p in parts.values():
                 p.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), BLOB, strict=True)], schema=BLOB)
-
-        for texts in token_chunks(b.column("text") for b in batches):
-            h, place, sizes = joined(texts, hashes)
-            for n, p in parts.items():
-                segment, key, _ = keys_of(h, place, n, bits)
-                if len(key):
-                    p.append((segment.astype(np.uint16), key))
-            held += int(sizes.sum())
-            if held >= FLUSH_TOKENS:
-                yield flush()
-                held = 0
+            return batch_of(rows, BLOB)
+
+        for b in batches:
+            for _, some in slices(b.column("text"), CHUNK_BYTES):
+                h, place, _ = tokens(some)
+                for n, p in parts.items():
+                    segment, key, _ = keys_of(h, place, n, bits)
+                    if len(key):
+                        p.append((segment.astype(np.uint32), key))
+                held += 8 * len(h)
+                if held >= FLUSH_BYTES:
+                    yield flush()
+                    held = 0
         if held:
             yield flush()
 
     return docs.select("text").mapInArrow(count, BLOB_SQL)
 
 
-def level_of(n: np.ndarray, unit: float) -> np.ndarray:
-    return (1 + np.floor(np.log(n / unit * (1 + 1e-12)) / np.log(BASE))).astype("u1")
+def level_of(n: np.ndarray) -> np.ndarray:
+    """1 + floor(log2(n)), exactly."""
+    return np.frexp(n.astype(np.float64))[1].astype("u1")
 
 
-def summed(blobs: DataFrame, floor: float) -> DataFrame:
-    """Per order and segment: the keys that reach the floor, and of their contexts what follows, with levels."""
-    import pandas as pd
+#: Middle (by ratio) of the counts of each level.
+MIDDLE = np.r_[0.0, np.sqrt(2.0 ** np.arange(64) * (2.0 ** np.arange(1, 65) - 1))]
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        o, s = int(pdf["ord"].iloc[0]), int(pdf["segment"].iloc[0])
-        key, n = (np.concatenate(x) for x in zip(*(unpacked(*x) for x in zip(pdf["keys"], pdf["counts"], pdf["n"], strict=True)), strict=True))
-        by = np.argsort(key)
-        key, n = key[by], n[by]
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        key, n = key[starts], np.add.reduceat(n, starts)
-        key, n = key[n >= floor], n[n >= floor]
-        rows = [(o, key, level_of(n, floor))]
+
+def added(pdf, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of one order and their counts, summed over blobs, in order of key."""
+    own = pdf[pdf["ord"] == order]
+    if not len(own):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    key, n = (np.concatenate(x) for x in zip(*(unpacked(*x) for x in zip(own["keys"], own["counts"], own["n"], strict=True)), strict=True))
+    by = np.argsort(key)
+    key, n = key[by], n[by]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[starts], np.add.reduceat(n, starts)
+
+
+def leveled(pdf, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Kinds, keys and levels of one segment: its n-grams and what follows each of its contexts."""
+    for o in range(1, order + 1):
+        key, n = added(pdf, o)
+        yield o, key, level_of(n)
         if o > 1 and len(key):
             context = key >> np.uint64(64 - CONTEXT_BITS)
             starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-            rows.append((FOLLOWED + o, context[starts], level_of(np.add.reduceat(n, starts), floor)))
-            rows.append((FOLLOWERS + o, context[starts], level_of(np.diff(np.r_[starts, len(key)]), 1.0)))
-        return pd.DataFrame([(s, kind, k.astype("<u8").tobytes(), q.tobytes()) for kind, k, q in rows], columns=["segment", "kind", "keys", "levels"])
+            yield FOLLOWED + o, context[starts], level_of(np.add.reduceat(n, starts))
+            yield FOLLOWERS + o, context[starts], level_of(np.diff(np.r_[starts, len(key)]))
+
+
+def bits_of(kinds: list[tuple[int, np.ndarray, np.ndarray]], per_key: int = BITS_PER_KEY) -> np.ndarray:
+    """The bytes of one segment of the filter."""
+    n = sum(int(level.sum(dtype=np.int64)) for _, _, level in kinds)
+    size = max(1, -(-n * per_key // 64)) * 64
+    flags = np.zeros(size, bool)
+    for kind, key, level in kinds:
+        for q in range(1, int(level.max(initial=0)) + 1):
+            one, two = probe_hashes(kind, key[level >= q], q)
+            for i in range(PROBES):
+                flags[places(one, two, i, size)] = True
+    return np.packbits(flags, bitorder="little")
 
-    return blobs.groupBy("ord", "segment").applyInPandas(add, "segment int, kind int, keys binary, levels binary")
+
+def probe_hashes(kind: int, key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    one = mixed(key ^ np.uint64((kind * 1024 + level) * int(STEP) % (1 << 64)))
+    return one, mixed(one ^ MIX_1) | np.uint64(1)
+
+
+def places(one: np.ndarray, two: np.ndarray, i: int, size) -> np.ndarray:
+    """The ``i``-th probe of each key among ``size`` (below 2^32) bits."""
+    return (((one + np.uint64(i) * two) >> np.uint64(32)) * (np.uint64(size) if np.isscalar(size) else size)) >> np.uint64(32)
+
+
+SEGMENT_SQL = "segment int, bits binary, keys binary, counts binary, n long, tokens long"
+
+
+def segments_of(blobs: DataFrame, order: int = ORDER) -> DataFrame:
+    """Per segment: its slice of the filter; the keys of its words, sorted, and their exact counts."""
+    import pandas as pd
+
+    per_key = BITS_PER_KEY
+
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, n = added(pdf, 1)
+        bits = bits_of(list(leveled(pdf, order)), per_key)
+        row = (int(pdf["segment"].iloc[0]), bits.tobytes(), key.astype("<u8").tobytes(), n.astype("<i8").tobytes(), len(key), int(n.sum()))
+        return pd.DataFrame([row], columns=["segment", "bits", "keys", "counts", "n", "tokens"])
+
+    return blobs.groupBy("segment").applyInPandas(make, SEGMENT_SQL)
 
 
 class LogBloom:
-    """A Bloom filter of (kind, key, level); each segment has its own slice of words."""
+    """A Bloom filter of (kind, key, level); each segment has its own slice of bytes."""
 
-    def __init__(self, slices: dict[int, np.ndarray], floor: float, bits: int = SEGMENT_BITS):
-        self.floor = floor
-        self.bits = np.concatenate([slices[s] for s in sorted(slices)]) if slices else np.zeros(1, np.uint64)
-        self.sizes, self.starts = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+    def __init__(self, slices: dict[int, np.ndarray], bits: int):
+        self.bits = np.concatenate([slices[s] for s in sorted(slices)]) if slices else np.zeros(1, np.uint8)
+        self.sizes, self.starts = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
         at = 0
         for s in sorted(slices):
-            self.starts[s], self.sizes[s] = at, len(slices[s])
+            self.starts[s], self.sizes[s] = at, 8 * len(slices[s])
             at += len(slices[s])
 
     def has(self, kind: int, segment: np.ndarray, key: np.ndarray, level: int) -> np.ndarray:
-        words, start = self.sizes[segment], self.starts[segment]
+        """Positions of the keys that are there."""
         one, two = probe_hashes(kind, key, level)
-        live = np.flatnonzero(words > 0)
+        size, start = self.sizes[segment], self.starts[segment]
+        live = None
         for i in range(PROBES):
-            h = one[live] + np.uint64(i) * two[live]
-            word = start[live] + (h >> np.uint64(6)) % words[live]
-            live = live[(self.bits[word] >> (h & np.uint64(63))) & np.uint64(1) == 1]
-        found = np.zeros(len(key), bool)
-        found[live] = True
-        return found
+            at = places(one, two, i, size)
+            hit = (self.bits[start + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+            if live is None:
+                hit &= size > 0
+            new = np.flatnonzero(hit)
+            live = new if live is None else live[new]
+            one, two, size, start = one[new], two[new], size[new], start[new]
+        return live
 
     def levels(self, kind: int, segment: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Levels are probed upward until one is missing; the last found, or 0."""
         level, live, q = np.zeros(len(key), "u1"), np.arange(len(key)), 1
-        while len(live) and q < 256:
+        while len(live) and q < len(MIDDLE):
             live = live[self.has(kind, segment[live], key[live], q)]
             level[live] = q
             q += 1
@@ -237,63 +270,67 @@ class LogBloom:
 
     def count(self, kind: int, segment: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Estimates: the middle (by ratio) of the level, or 0."""
-        return estimates(self.levels(kind, segment, key), 1.0 if kind > FOLLOWERS else self.floor)
-
-
-def estimates(level: np.ndarray, unit: float = 1.0) -> np.ndarray:
-    return np.where(level > 0, unit * BASE ** (level - 0.5), 0.0)
+        return MIDDLE[self.levels(kind, segment, key)]
 
 
 class Asked:
-    """Stands in for a filter's counts and writes down what is asked: kind, segments, keys."""
+    """Stands in for a filter's counts and writes down what is asked, by segment: keys and how many of each kind.
+
+    What follows a context is asked by the context's n-grams, whose keys hold it.
+    """
 
     def __init__(self):
-        self.all: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.keys: dict[int, list[np.ndarray]] = {}
 
     def __call__(self, kind: int, segment: np.ndarray, key: np.ndarray) -> np.ndarray:
-        self.all.append((kind, segment, key))
+        for s, _, own in by_segment(segment, key):
+            self.keys.setdefault(s, []).append((kind, key[own]))
         return np.zeros(len(key))
 
 
-def probe_hashes(kind: int, key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    one = mixed(key ^ np.uint64((kind * 1024 + level) * int(STEP) % (1 << 64)))
-    return one, mixed(one ^ MIX_1) | np.uint64(1)
+def by_segment(segment: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(segment, number, positions in order of key) of each segment among ``segment``."""
+    order = np.lexsort((key, segment))
+    edges = np.flatnonzero(np.r_[True, np.diff(segment[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        yield int(segment[order[i]]), int(j - i), order[i:j]
 
 
-def slice_of(pdf):
-    """The words of one segment of the filter, from the keys of all kinds."""
-    import pandas as pd
+class Given:
+    """Gives the answers to what :class:`Asked` wrote down, asked again in the same order."""
 
-    levels = [np.frombuffer(x, "u1") for x in pdf["levels"]]
-    n = int(sum(int(x.sum(dtype=np.int64)) for x in levels))
-    words = np.uint64(max(1, -(-n * BITS_PER_KEY // 64)))
-    bits = np.zeros(int(words), np.uint64)
-    for kind, keys, level in zip(pdf["kind"], pdf["keys"], levels, strict=True):
-        key = np.frombuffer(keys, "<u8")
-        for q in range(1, int(level.max(initial=0)) + 1):
-            one, two = probe_hashes(int(kind), key[level >= q], q)
-            for i in range(PROBES):
-                h = one + np.uint64(i) * two
-                np.bitwise_or.at(bits, ((h >> np.uint64(6)) % words).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-    return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "bits": [bits.tobytes()]})
+    def __init__(self, answers: dict[int, np.ndarray]):
+        self.answers, self.at = answers, dict.fromkeys(answers, 0)
+
+    def __call__(self, kind: int, segment: np.ndarray, key: np.ndarray) -> np.ndarray:
+        level = np.zeros(len(key), "u1")
+        for s, n, own in by_segment(segment, key):
+            level[own] = self.answers[s][self.at[s] : self.at[s] + n]
+            self.at[s] += n
+        return MIDDLE[level]
 
 
 class Model:
-    """What scoring needs: exact counts of heavy words, corpus totals, and the turn of each segment of the filter."""
+    """What scoring needs: exact counts of heavy words (by key), corpus totals, and the filter, if it is broadcast."""
 
-    def __init__(self, heavy: dict[bytes, int], tokens: int, vocabulary: int, bits: int, turns: np.ndarray):
-        self.heavy, self.tokens, self.vocabulary, self.bits, self.turns = heavy, tokens, vocabulary, bits, turns
-        #: The whole filter, where it is one turn.
-        self.bloom: LogBloom | None = None
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, n_tokens: int, vocabulary: int, bits: int, bloom: LogBloom | None):
+        self.keys, self.counts, self.tokens, self.vocabulary, self.bits, self.bloom = keys, counts, n_tokens, vocabulary, bits, bloom
 
     @property
     def denominator(self) -> float:
         return max(self.tokens + ADD * (self.vocabulary + 1), ADD)
 
-    def exact(self, texts: list[list[bytes]], first: np.ndarray) -> np.ndarray:
-        """Exact counts of the words at some positions; -1 if not heavy."""
-        names = [w for t in texts for w in t]
-        return np.array([self.heavy.get(names[i], -1) for i in first], np.int64)
+    def exact(self, key: np.ndarray) -> np.ndarray:
+        """Exact counts of words by key; -1 if not heavy."""
+        return looked_up(self.keys, self.counts, key, -1)
+
+
+def looked_up(keys: np.ndarray, values: np.ndarray, key: np.ndarray, none: int) -> np.ndarray:
+    """Values of ``key`` in a table sorted by ``keys``."""
+    if not len(keys):
+        return np.full(len(key), none, np.int64)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return np.where(keys[at] == key, values[at], none)
 
 
 def logs(distinct: np.ndarray, back: np.ndarray, place: np.ndarray, exact: np.ndarray, denominator: float, bits: int, count) -> np.ndarray:
@@ -301,25 +338,27 @@ def logs(distinct: np.ndarray, back: np.ndarray, place: np.ndarray, exact: np.nd
     token is, ``exact``: their counts, see :meth:`Model.exact`; ``count(kind, segments, keys)``
     gives the filter's estimates, and what is asked does not depend on what it gives."""
     h = distinct[back]
-    # Each distinct word is looked up once.
     guess, rare = exact.astype(np.float64), np.flatnonzero(exact < 0)
     segment, key, _ = keys_of(distinct[rare], np.zeros(len(rare), np.int64), 1, bits)
     guess[rare] = count(1, segment, key)
-    history = guess[back]
-    p = (history + ADD) / denominator
+    p = (guess[back] + ADD) / denominator
+    # Each distinct n-gram is looked up once: the representatives of the lower order's and their counts.
+    which, times, seen_at = back, guess, np.zeros(len(distinct), np.int64)
+    seen_at[back[::-1]] = np.arange(len(back))[::-1]
     for n in range(2, ORDER + 1):
-        segment, key, at = keys_of(h, place, n, bits)
-        both, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        seen = count(n, segment[first], both)[inverse]
-        context, first, inverse = np.unique(key >> np.uint64(64 - CONTEXT_BITS), return_index=True, return_inverse=True)
-        followed = count(FOLLOWED + n, segment[first], context)[inverse]
-        followers = count(FOLLOWERS + n, segment[first], context)[inverse]
-        before = np.maximum(history[at - 1], 1.0)
+        segment, rest = split_context(context_of(h, np.maximum(seen_at, n - 2), n - 1), bits)
+        followed = count(FOLLOWED + n, segment, rest)
+        followers = count(FOLLOWERS + n, segment, rest)
+        before = np.maximum(times, 1.0)
         # A context without followers was found by chance.
         followed = np.where(followers > 0, np.minimum(followed, before), 0.0)
-        p[at] = (np.minimum(seen, followed) + (before - followed + followers) * p[at]) / (before + followers)
-        history = np.zeros(len(h))
-        history[at] = seen
+        segment, key, at = keys_of(h, place, n, bits)
+        both, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        seen = count(n, segment[first], both)
+        own = which[at - 1]
+        p[at] = (np.minimum(seen[inverse], followed[own]) + (before[own] - followed[own] + followers[own]) * p[at]) / (before[own] + followers[own])
+        which, times, seen_at = np.zeros(len(h), np.int64), seen, at[first]
+        which[at] = inverse
     return np.log10(p)
 
 
@@ -328,256 +367,162 @@ def per_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.cumsum(sizes) - sizes) if len(values) else np.zeros(0)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (binary), h (its hash), c: exact counts of all tokens."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            h = np.array([xxhash.xxh3_64_intdigest(w) for w in c], np.uint64).astype(np.int64)
-            r = pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.binary()), pa.array(h), pa.array(list(c.values()), pa.int64())], names=["word", "h", "c"])
-            c.clear()
-            return r
-
-        for b in batches:
-            for t in b.column("text"):
-                c.update(tokens(t.as_py()))
-                if len(c) > CACHE_WORDS:
-                    yield out()
-        if c:
-            yield out()
-
-    return docs.select("text").mapInArrow(count, "word binary, h long, c long").groupBy("word", "h").agg(F.sum("c").alias("c"))
-
-
-def train(docs: DataFrame, folds: int = 10) -> tuple[Model, DataFrame, DataFrame]:
-    """The model of the texts whose id is not held out, the filter's slices, and the exact counts of all its words."""
+def train(docs: DataFrame, folds: int = 10) -> tuple[Model, DataFrame]:
+    """The model of the texts whose id is not held out, and its segments (exact counts and slices of the filter)."""
     training = docs.where(id_crc("doc_id", folds) != 0)
-    counts = durable(word_counts(training))
-    total, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    heavy = {bytes(r["word"]): r["c"] for r in counts.where(is_heavy(total)).select("word", "c").toLocalIterator()}
-    bits = segment_bits(total)
-    kept = summed(counted(training, ORDER, bits), 1.0)
-    slices = durable(kept.groupBy("segment").applyInPandas(slice_of, "segment int, bits binary"))
-    sizes = {r["segment"]: r["size"] for r in slices.select("segment", F.length("bits").alias("size")).toLocalIterator()}
-    return Model(heavy, total, vocabulary, bits, turns_of(sizes, bits)), slices, counts
-
-
-def turns_of(sizes: dict[int, int], bits: int) -> np.ndarray:
-    """The turn of each segment: as many segments in a row as ``TURN_BYTES`` hold."""
-    turns, turn, held = np.zeros(1 << bits, np.int64), 0, 0
-    for s in range(1 << bits):
-        size = sizes.get(s, 0)
-        if held and held + size > TURN_BYTES:
-            turn, held = turn + 1, 0
-        turns[s], held = turn, held + size
-    return turns
-
-
-def filter_of(slices: DataFrame, model: Model, turn: int) -> LogBloom:
-    first, last = np.flatnonzero(model.turns == turn)[[0, -1]]
-    rows = slices.where(F.col("segment").between(int(first), int(last))).toLocalIterator()
-    return LogBloom({r["segment"]: np.frombuffer(bytes(r["bits"]), np.uint64) for r in rows}, 1.0, model.bits)
-
-
-def is_heavy(total: int):
-    return (F.col("c") >= total * HEAVY) & (F.length("word") <= HEAVY_BYTES)
-
-
-#: Segments from -2 down are turns: keys that a block asks for (hashes), their segments (docs), and how many of each kind (n_tokens).
-#: Segment -1 is the block itself, with its token hashes and exact counts if it is yet to be scored.
-BLOCK = "part int, block int, segment int, hashes binary, docs binary, doc_id array<long>, n_tokens array<long>, known array<long>, base array<double>, score array<double>"
-
-
-def scored_blocks(docs: DataFrame, model: Model, segments: int) -> DataFrame:
-    """Per block of texts: one row of totals, by segment of the hash its tokens that are not heavy, and
-    (if the model has no filter yet) by turn what it asks for."""
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = segment_bits(n_bytes)
+    segments = durable(segments_of(counted(training, ORDER, bits)))
+    total, vocabulary, size = segments.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("tokens"), F.col("n"), F.length("bits")))).first()
+    parts = [(np.frombuffer(bytes(r["k"]), "<u8"), np.frombuffer(bytes(r["c"]), "<i8")) for r in segments.select("keys", "counts").mapInArrow(heavy_in(total * HEAVY), "k binary, c binary").toLocalIterator()]
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    by = np.argsort(keys)
+    bloom = None
+    if size <= FILTER_BYTES:
+        bloom = LogBloom({r["segment"]: np.frombuffer(bytes(r["bits"]), np.uint8) for r in segments.select("segment", "bits").toLocalIterator()}, bits)
+    return Model(keys[by], counts[by], total, vocabulary, bits, bloom), segments
+
+
+def heavy_in(least: float):
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for keys, counts in zip(b.column("keys"), b.column("counts"), strict=True):
+                key, n = np.frombuffer(keys.as_buffer(), "<u8"), np.frombuffer(counts.as_buffer(), "<i8")
+                rows.append((key[n >= least].tobytes(), n[n >= least].tobytes()))
+            if rows:
+                yield batch_of(rows, pa.schema([("k", pa.binary()), ("c", pa.binary())]))
+
+    return pick
+
+
+#: A block's own row has segment -1 and its ids, sizes and sums; rows of other segments hold light
+#: words (hashes as keys, and their texts' numbers) and, for a filter that is not broadcast, asked keys.
+BLOCK = pa.schema([
+    ("part", pa.int32()), ("block", pa.int32()), ("segment", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("asked", pa.binary()), ("n_asked", pa.list_(pa.int64())),
+    ("doc_id", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("score", pa.list_(pa.float64())),
+])
+BLOCK_SQL = "part int, block int, segment int, keys binary, docs binary, asked binary, n_asked array<long>, doc_id array<long>, n_tokens array<long>, known array<long>, base array<double>, score array<double>"
+
+
+def block_rows(ids: list, column: pa.Array, part: int, block: int, model: Model) -> list[tuple]:
+    h, place, sizes = tokens(column)
+    distinct, back = np.unique(h, return_inverse=True)
+    key = mixed(distinct + STEP)
+    counts = model.exact(key)
+    asked = Asked()
+    score = per_text(logs(distinct, back, place, counts, model.denominator, model.bits, model.bloom.count if model.bloom else asked), sizes)
+    exact = counts[back]
+    heavy = exact >= 0
+    base = per_text(np.where(heavy, np.log10((np.maximum(exact, 0) + ADD) / model.denominator), 0.0), sizes)
+    known = per_text(heavy.astype(np.int64), sizes)
+    doc = np.repeat(np.arange(len(sizes), dtype="<u4"), sizes)[~heavy]
+    light = key[back[~heavy]]
+    segment = (light >> np.uint64(64 - model.bits)).astype(np.int64)
+    rows = {s: [part, block, s, planes(light[own]), doc[own].tobytes(), None, None, None, None, None, None, None] for s, _, own in by_segment(segment, light)}
+    for s, keys in asked.keys.items():
+        row = rows.setdefault(s, [part, block, s, None, None, None, None, None, None, None, None, None])
+        row[5], row[6] = b"".join(planes(k) for _, k in keys), np.array([x for kind, k in keys for x in (kind, len(k))])
+    own = (part, block, -1, None, None, None, None, ids, sizes, known, base, score)
+    if not model.bloom:
+        # What is needed to score the block when the answers are there.
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        own = (part, block, -1, distinct.astype("<u8").tobytes(), squeeze(back.astype("<u4").view("u1").reshape(-1, 4).T.tobytes()), None, None, ids, sizes, known, base, None)
+    return [own, *rows.values()]
+
+
+def scored_blocks(docs: DataFrame, model: Model) -> DataFrame:
+    """Per block of texts: its own row, and by segment what it needs from there."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c.split()[0] for c in BLOCK.split(", ")]
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())]
-
-    def block_rows(ids: list, texts: list[list[bytes]], part: int, block: int, hashes: Hashes) -> pa.RecordBatch:
-        model = shared.value
-        h, place, sizes = joined(texts, hashes)
-        distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-        counts = model.exact(texts, first)
-        asked = Asked()
-        score = per_text(logs(distinct, back, place, counts, model.denominator, model.bits, model.bloom.count if model.bloom else asked), sizes)
-        exact = counts[back]
-        heavy = exact >= 0
-        base = per_text(np.where(heavy, np.log10((np.maximum(exact, 0) + ADD) / model.denominator), 0.0), sizes)
-        known = per_text(heavy.astype(np.int64), sizes)
-        if model.bloom:
-            rows = [(part, block, -1, None, None, ids, sizes, known, base, score)]
-        else:
-            rows = [(part, block, -1, h.astype("<u8").tobytes(), counts.astype("<i8").tobytes(), ids, sizes, known, base, None)]
-            for turn in range(int(model.turns.max()) + 1):
-                some = [(key[own], segment[own]) for _, segment, key in asked.all for own in [model.turns[segment] == turn]]
-                key, segment = (np.concatenate(x) for x in zip(*some, strict=True))
-                rows.append((part, block, -2 - turn, key.astype("<u8").tobytes(), segment.astype("<u2").tobytes(), None, [len(k) for k, _ in some], None, None, None))
-        doc = np.repeat(np.arange(len(sizes), dtype="<u4"), sizes)[~heavy]
-        light = h[~heavy]
-        segment = (light % np.uint64(segments)).astype(np.int64)
-        order = np.lexsort((light, segment))
-        light, doc, segment = light[order], doc[order], segment[order]
-        edges = np.searchsorted(segment, np.arange(segments + 1))
-        for s in range(segments):
-            if edges[s] < edges[s + 1]:
-                some = slice(edges[s], edges[s + 1])
-                rows.append((part, block, s, light[some].astype("<u8").tobytes(), doc[some].tobytes(), None, None, None, None, None))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        hashes, part, block = Hashes(), TaskContext.get().partitionId(), 0
-        ids: list = []
-        texts: list[list[bytes]] = []
-        held = 0
+        part, block = TaskContext.get().partitionId(), 0
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids.append(doc)
-                texts.append(tokens(text.as_py()))
-                held += len(texts[-1])
-                if held >= BLOCK_TOKENS:
-                    yield block_rows(ids, texts, part, block, hashes)
-                    block, ids, texts, held = block + 1, [], [], 0
-        if ids:
-            yield block_rows(ids, texts, part, block, hashes)
-
-    return docs.mapInArrow(score, BLOCK)
-
-
-def answered(asked: DataFrame, bloom: LogBloom) -> DataFrame:
-    """part, block, segment (the turn's), levels: of the keys that blocks ask a turn for."""
-    shared = asked.sparkSession.sparkContext.broadcast(bloom)
-    kinds = [1, *(k + n for n in range(2, ORDER + 1) for k in (0, FOLLOWED, FOLLOWERS))]
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("segment", pa.int32()), ("levels", pa.binary())])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            levels = []
-            for keys, segments, sizes in zip(b.column("hashes"), b.column("docs"), b.column("n_tokens"), strict=True):
-                key, segment = np.frombuffer(keys.as_buffer(), "<u8"), np.frombuffer(segments.as_buffer(), "<u2")
-                edges = np.r_[0, np.cumsum(np.array(sizes.as_py(), np.int64))]
-                parts = [shared.value.levels(k, segment[i:j], key[i:j]) for k, i, j in zip(kinds, edges[:-1], edges[1:], strict=True)]
-                levels.append(np.concatenate(parts).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("block"), b.column("segment"), pa.array(levels, pa.binary())], schema=schema)
-
-    out = durable(asked.select("part", "block", "segment", "hashes", "docs", "n_tokens").mapInArrow(answer, "part int, block int, segment int, levels binary"))
-    shared.destroy()
-    return out
-
-
-def scores_by_turns(blocks: DataFrame, slices: DataFrame, model: Model) -> DataFrame:
-    """part, block, score: blocks scored with the answers of all turns."""
-    import pandas as pd
+            for first, some in slices(b.column("text"), BLOCK_BYTES):
+                yield batch_of(block_rows(b.column("doc_id").slice(first, len(some)).to_pylist(), some, part, block, shared.value), BLOCK)
+                block += 1
 
-    turns, bits, denominator = model.turns, model.bits, model.denominator
-    rows = blocks.where("turn = -1 AND segment = -1").select("part", "block", "segment", F.lit(None).cast("binary").alias("levels"), "hashes", "docs", "n_tokens")
-    for turn in range(int(turns.max()) + 1):
-        levels = answered(blocks.where(F.col("turn") == turn), filter_of(slices, model, turn))
-        rows = rows.unionByName(levels, allowMissingColumns=True)
+    return docs.mapInArrow(score, BLOCK_SQL)
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["segment"] == -1].iloc[0]
-        given = {-2 - s: np.frombuffer(x, "u1") for s, x in zip(pdf["segment"], pdf["levels"], strict=True) if s < -1}
-        at = dict.fromkeys(given, 0)
 
-        def count(kind: int, segment: np.ndarray, key: np.ndarray) -> np.ndarray:
-            level, turn = np.zeros(len(key), "u1"), turns[segment]
-            for t in given:
-                mine = np.flatnonzero(turn == t)
-                level[mine] = given[t][at[t] : at[t] + len(mine)]
-                at[t] += len(mine)
-            return estimates(level)
+ANSWER_SQL = "part int, block int, segment int, base binary, known binary, levels binary"
 
-        h, exact, sizes = np.frombuffer(own["hashes"], "<u8"), np.frombuffer(own["docs"], "<i8"), np.asarray(own["n_tokens"], np.int64)
-        place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        distinct, back = np.unique(h, return_inverse=True)
-        out = per_text(logs(distinct, back, place, exact, denominator, bits, count), sizes)
-        return pd.DataFrame({"part": [own["part"]], "block": [own["block"]], "late": [out]})
 
-    return rows.groupBy("part", "block").applyInPandas(score, "part int, block int, late array<double>")
-
-
-def light_sums(blocks: DataFrame, counts: DataFrame, total: int, denominator: float, segments: int) -> DataFrame:
-    """part, block, base, known: what the words that are not heavy add to each text of a block."""
+def answered(blocks: DataFrame, segments: DataFrame, model: Model) -> DataFrame:
+    """Per block and segment: what its light words add to each text, and the levels of the keys it asks for."""
     import pandas as pd
 
-    table = counts.where(~is_heavy(total)).select("h", "c").withColumn("segment", F.expr(f"CAST(CAST(IF(h < 0, h + 18446744073709551616BD, h) AS DECIMAL(20, 0)) % {segments} AS INT)"))
-    held = blocks.where("segment >= 0").select("part", "block", "segment", "hashes", "docs")
+    denominator, with_filter = model.denominator, model.bloom is None
+    held = blocks.where("segment >= 0").select("part", "block", "segment", "keys", "docs", "asked", "n_asked")
+    table = segments.select("segment", F.col("keys").alias("known_keys"), "counts", *(["bits"] if with_filter else []))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        h = right["h"].to_numpy(np.int64).view(np.uint64) if len(right) else np.empty(0, np.uint64)
-        order = np.argsort(h)
-        h, c = h[order], right["c"].to_numpy(np.int64)[order] if len(right) else np.empty(0, np.int64)
+        known = np.frombuffer(right["known_keys"].iloc[0], "<u8") if len(right) else np.empty(0, np.uint64)
+        counts = np.frombuffer(right["counts"].iloc[0], "<i8") if len(right) else np.empty(0, np.int64)
+        bloom = LogBloom({0: np.frombuffer(right["bits"].iloc[0], np.uint8)} if with_filter and len(right) else {}, 1)
         out = []
-        for part, block, hashes, docs in zip(left["part"], left["block"], left["hashes"], left["docs"], strict=True):
-            x, doc = np.frombuffer(hashes, "<u8"), np.frombuffer(docs, "<u4")
-            n = np.zeros(len(x))
-            if len(h):
-                at = np.minimum(np.searchsorted(h, x), len(h) - 1)
-                n = np.where(h[at] == x, c[at], 0)
-            size = int(doc.max()) + 1
-            base = np.bincount(doc, weights=np.log10((n + ADD) / denominator), minlength=size)
-            known = np.bincount(doc, weights=n > 0, minlength=size)
-            out.append((part, block, base.astype("<f8").tobytes(), known.astype("<i8").tobytes()))
-        return pd.DataFrame(out, columns=["part", "block", "base", "known"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = max(len(x) for x in pdf["base"]) // 8
-        base, known = np.zeros(size), np.zeros(size, np.int64)
-        for b, k in sorted(zip(pdf["base"], pdf["known"], strict=True)):
-            base[: len(b) // 8] += np.frombuffer(b, "<f8")
-            known[: len(k) // 8] += np.frombuffer(k, "<i8")
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "block": pdf["block"].iloc[:1], "base": [base], "known": [known]})
-
-    met = held.groupBy("segment").cogroup(table.groupBy("segment")).applyInPandas(meet, "part int, block int, base binary, known binary")
-    return met.groupBy("part", "block").applyInPandas(add, "part int, block int, base array<double>, known array<long>")
+        for part, block, segment, keys, docs, asked, sizes in left.itertuples(index=False):
+            base = found = levels = None
+            if keys is not None:
+                doc = np.frombuffer(docs, "<u4")
+                n = looked_up(known, counts, unplaned(keys, len(doc)), 0)
+                base = np.bincount(doc, weights=np.log10((n + ADD) / denominator)).astype("<f8").tobytes()
+                found = np.bincount(doc, weights=n > 0).astype("<i8").tobytes()
+            if asked is not None:
+                at, parts = 0, []
+                for kind, size in np.asarray(sizes, np.int64).reshape(-1, 2).tolist():
+                    parts.append(bloom.levels(kind, np.zeros(size, np.int64), unplaned(asked[at : at + 8 * size], size)))
+                    at += 8 * size
+                levels = np.concatenate(parts).tobytes()
+            out.append((part, block, segment, base, found, levels))
+        return pd.DataFrame(out, columns=["part", "block", "segment", "base", "known", "levels"])
+
+    return held.groupBy("segment").cogroup(table.groupBy("segment")).applyInPandas(meet, ANSWER_SQL)
+
+
+DOCUMENT_SQL = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def finished(blocks: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
+    """Rows of documents, from each block's own row and the answers to it."""
+    import pandas as pd
+
+    late, denominator, bits = model.bloom is None, model.denominator, model.bits
+    shared = blocks.sparkSession.sparkContext.broadcast((model.keys, model.counts) if late else None)
+    own = blocks.where("segment = -1").select("part", "block", "segment", F.col("keys").alias("distinct"), F.col("docs").alias("back"), "doc_id", "n_tokens", F.col("known").alias("sure"), F.col("base").alias("part_base"), "score")
+
+    def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        block = left.iloc[0]
+        base, known, sizes = np.array(block["part_base"], np.float64), np.array(block["sure"], np.int64), np.asarray(block["n_tokens"], np.int64)
+        # In order of segment, so that sums of floats agree at every run.
+        right = right.sort_values("segment")
+        for b, k in zip(right["base"], right["known"], strict=True):
+            if b is not None:
+                base[: len(b) // 8] += np.frombuffer(b, "<f8")
+                known[: len(k) // 8] += np.frombuffer(k, "<i8")
+        score = block["score"]
+        if late:
+            heavy = Model(*shared.value, 0, 0, bits, None)
+            distinct = np.frombuffer(block["distinct"], "<u8")
+            back = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(block["back"]), "u1").reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+            place = np.arange(len(back)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            given = Given({s: np.frombuffer(x, "u1") for s, x in zip(right["segment"], right["levels"], strict=True) if x is not None})
+            score = per_text(logs(distinct, back, place, heavy.exact(mixed(distinct + STEP)), denominator, bits, given), sizes)
+        ids = pd.array([None if x is None or x != x else int(x) for x in block["doc_id"]], dtype="Int64")
+        return pd.DataFrame({"doc_id": ids, "n_tokens": sizes, "n_known": known, "base_score": base, "score": np.asarray(score, np.float64)})
+
+    return own.groupBy("part", "block").cogroup(answers.groupBy("part", "block")).applyInPandas(finish, DOCUMENT_SQL)
 
 
 def score_documents(docs: DataFrame, folds: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark = docs.sparkSession
-    model, slices, counts = train(docs, folds)
-    segments = partitions(spark)
-    if not model.turns.any():
-        model.bloom = filter_of(slices, model, 0)
-        return scored_rows(durable(scored_blocks(docs, model, segments)), counts, model, segments, folds)
-    portions = [docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(PORTIONS)) == i) for i in range(PORTIONS)]
-    return reduce(DataFrame.unionByName, [scored_by_turns(some, slices, counts, model, segments, folds) for some in portions])
-
-
-def scored_by_turns(docs: DataFrame, slices: DataFrame, counts: DataFrame, model: Model, segments: int, folds: int) -> DataFrame:
-    spark = docs.sparkSession
-    # By turn, so that a turn reads its own keys only.
-    path = f"{spark.sparkContext.getCheckpointDir()}/quire-lm-{uuid.uuid4().hex}"
-    scored_blocks(docs, model, segments).withColumn("turn", F.greatest(-2 - F.col("segment"), F.lit(-1))).write.partitionBy("turn").parquet(path)
-    blocks = spark.read.schema(f"{BLOCK}, turn int").parquet(path)
-    late = durable(scores_by_turns(blocks, slices, model))
-    whole = blocks.where("turn = -1").drop("turn").join(late, ["part", "block"], "left").withColumn("score", F.col("late")).drop("late")
-    out = durable(scored_rows(whole, counts, model, segments, folds))
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return out
-
-
-def scored_rows(blocks: DataFrame, counts: DataFrame, model: Model, segments: int, folds: int) -> DataFrame:
-    more = light_sums(blocks, counts, model.tokens, model.denominator, segments).select("part", "block", F.col("base").alias("more_base"), F.col("known").alias("more_known"))
-    whole = blocks.where("segment = -1").join(more, ["part", "block"], "left")
-    rows = whole.select("more_base", "more_known", F.posexplode(F.arrays_zip("doc_id", "n_tokens", "known", "base", "score")).alias("i", "r"))
-    return rows.select(
-        "r.doc_id",
-        (id_crc("r.doc_id", folds) == 0).alias("held_out"),
-        "r.n_tokens",
-        (F.col("r.known") + F.coalesce(F.get("more_known", F.col("i")), F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("r.base") + F.coalesce(F.get("more_base", F.col("i")), F.lit(0.0))).alias("base_score"),
-        "r.score",
-    )
+    docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    model, segments = train(docs, folds)
+    blocks = durable(scored_blocks(docs, model))
+    rows = finished(blocks, answered(blocks, segments, model), model)
+    return rows.select("doc_id", (id_crc("doc_id", folds) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
