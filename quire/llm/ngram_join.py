@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._runtime import durable, join_unique, partitions, read_table, sorted_groups, spread
+from ._runtime import durable, join_unique, partitions, read_table, sorted_groups, spread, unused
 from ._words import chained, slices, word_hashes
 
 GRAM, THRESHOLD = 5, 0.8
@@ -227,7 +227,7 @@ def groups_of(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, gram: int = GRAM, tolerance: float = TOLERANCE) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id of its group), copy_id (smallest id with
     the same grams), n_links (other documents of similarity ``threshold`` or more, copies included),
-    t (xxhash64 of the text)."""
+    t (xxhash64 of the text), group (the group's name, a digest)."""
     parts = partitions(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     source = spread(source.withColumn("t", F.xxhash64("text")))
@@ -252,9 +252,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     merged = classes.select("node", "copy_id", "copies").join(groups_of(linked), "node", "left").join(links, "node", "left")
     merged = durable(merged.select("node", "copy_id", "copies", F.coalesce("group", "node").alias("group"), F.coalesce("links", F.lit(0)).alias("links")))
     ids = merged.groupBy("group").agg(F.min("copy_id").alias("class_id"))
-    known = durable(join_unique(merged, ids, ["group"]).select("node", "copy_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n")))
-    return join_unique(rows.select("doc_id", "t", "node"), known.drop("n"), ["node"], known.select("node", "n")).select("doc_id", "class_id", "copy_id", "n_links", "t")
+    known = durable(join_unique(merged, ids, ["group"]).select("node", "group", "copy_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n")))
+    return join_unique(rows.select("doc_id", "t", "node"), known.drop("n"), ["node"], known.select("node", "n")).select("doc_id", "class_id", "copy_id", "n_links", "t", "group")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the smallest id (null last), then the smallest
+    hash of the text. A group is told by its texts, never by its ids; all columns stay as they are."""
+    number, stays, text = unused(docs.columns, "number", "stays", "t")
+    found = near_duplicates(docs, id_col, text_col, **options)
+    rows = found.groupBy("group", "doc_id", "t").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "n"))
+    kept = durable(rows.groupBy("group").agg(first.alias("s")).select(F.col("s.doc_id").alias(stays), F.col("s.t").alias(text), F.col("s.n").alias(number)))
+    match = F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col(f"k.{stays}")) & (F.xxhash64(f"d.`{text_col}`") == F.col(f"k.{text}"))
+    out = docs.alias("d").join(kept.alias("k"), match, "left_semi")
+    if not kept.where(F.col(number) > 1).isEmpty():  # rows that repeat both id and text
+        out = out.withColumn(text, F.xxhash64(text_col)).dropDuplicates([id_col, text]).drop(text)
+    return out
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("t")
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("t", "group")

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -68,19 +69,91 @@ def test_rounding_keeps_expectations():
     import pandas as pd
 
     n = 40
-    base = pd.DataFrame({"source_no": 0, "n": n, "bucket": 0, "doc_id": range(n), "size": [1 + 7 * i % 50 for i in range(n)], "base": 0, "p": 0.3, "copies": -1})
+    base = pd.DataFrame({"source_no": 0, "bucket": 0, "key": range(n), "doc_id": range(n), "t": 0, "size": [1 + 7 * i % 50 for i in range(n)], "times": 1, "base": 0, "p": 0.3, "copies": -1})
     got = np.mean([mixing.pair_up(base, seed, 0).sort_values("doc_id")["p"].to_numpy() for seed in range(1500)], axis=0)
     assert np.abs(got - 0.3).max() < 0.06
 
 
+def brute_pair(rows, draws):
+    """The rounding of one group in exact fractions: rows (size, p) in order; p of each afterwards."""
+    p, held = [Fraction(x).limit_denominator(10**9) for _, x in rows], None
+    for i, (size, _) in enumerate(rows):
+        if held is None:
+            held = i if 0 < p[i] < 1 else None
+            continue
+        if not 0 < p[i] < 1:
+            continue
+        other = rows[held][0]
+        to_i, to_held = min(size * (1 - p[i]), other * p[held]), min(size * p[i], other * (1 - p[held]))
+        gains, loses, mass = (i, held, to_i) if draws[i] * float(to_i + to_held) < float(to_held) else (held, i, to_held)
+        p[gains] += mass / rows[gains][0]
+        p[loses] -= mass / rows[loses][0]
+        held = next((x for x in (i, held) if 0 < p[x] < 1), None)
+    return p
+
+
+def test_rounding_equals_exact_fractions():
+    import pandas as pd
+
+    r = random.Random(4)
+    for seed in range(60):
+        n = r.randint(1, 60)
+        rows = [(r.randint(1, 300), r.choice([0.0, 0.25, 0.5, 0.125, 1.0])) for _ in range(n)]
+        frame = pd.DataFrame({"source_no": 3, "bucket": 2, "key": range(n), "doc_id": 0, "t": 0, "size": [s for s, _ in rows], "times": 1, "base": 0, "p": [p for _, p in rows], "copies": -1})
+        got = mixing.pair_up(frame, seed, 1)
+        draws = np.random.Generator(np.random.PCG64(int.from_bytes(hashlib.blake2b(f"{seed}:1:3:2".encode(), digest_size=16).digest(), "little"))).random(n)
+        want = brute_pair(rows, draws)
+        assert got["p"].tolist() == pytest.approx([float(x) for x in want], abs=1e-9)
+        assert sum(s * p for (s, p) in zip(frame["size"], got["p"], strict=True)) == pytest.approx(sum(s * p for s, p in rows), rel=1e-9)
+        assert ((got["p"] > 0) & (got["p"] < 1)).sum() <= 1 and (got["bucket"] == 0).all()
+
+
 def test_mixed_rows_repeat_whole_documents(spark):
     df = awkward(spark)
     out = mixing.mixed_rows(df)
     assert out.columns == df.columns
-    counts = Counter(r["doc_id"] for r in out.collect())
-    assert max(counts.values()) <= 4  # a repeated row may be taken twice itself
+    plan = mixing.mix(df, residual="whole")
+    taken = Counter()
+    for x in plan.collect():
+        taken[x["doc_id"], x["source"], x["size"]] += x["copies"]
+    got = Counter((x["doc_id"], x["source"], len(words_of(x["text"]))) for x in out.collect())
+    assert got == +taken
+    assert {tuple(x) for x in out.collect()} <= {tuple(x) for x in df.collect()}
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_rows(df.limit(0)).count() == 0
-    assert mixing.mix(df).count() == df.count()
+    assert plan.count() == df.count()
+
+
+def test_mixed_rows_bear_other_and_clashing_names(spark):
+    rows = [(i % 7, f"w {i % 3} " * (1 + i % 4), f"s{i % 2}", 99, "keep", i) for i in range(60)]
+    df = spark.createDataFrame(rows, "name long, body string, origin string, size int, item string, copies int")
+    out = mixing.mixed_rows(df, id_col="name", text_col="body", source_col="origin")
+    assert out.columns == df.columns
+    assert {x["size"] for x in out.collect()} == {99} and {x["item"] for x in out.collect()} == {"keep"}
+    assert {tuple(x) for x in out.collect()} <= set(rows)
+
+
+def test_mix_deals_repeated_and_null_ids_in_groups(spark):
+    rows = [(None, "same words here", "s")] * 600 + [(1, f"text {i}", "s") for i in range(900)] + [(i, "x y z " * 9, "t") for i in range(50)]
+    plan = mixing.mix(docs_of(spark, rows))
+    own = [x for x in plan.collect() if x["source"] == "s"]
+    assert len(own) == 1500 and sum(x["taken"] for x in own) == pytest.approx(own[0]["target"], abs=1) and all(x["taken"] <= 2 * x["size"] for x in own)
+    items = mixing.item_plan(docs_of(spark, rows), "doc_id", "source", "text", 1.5, 2.0, mixing.WEIGHTS, 0, "words")
+    assert items.where("doc_id IS NULL").count() == 1
+
+
+def test_many_sources_need_no_driver(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(i, "w " * r.randint(0, 40), None if i % 91 == 0 else f"site{r.randrange(120)}") for i in range(2500)]
+    df = docs_of(spark, rows)
+    want = {x["source"]: (x["target"], x["source_size"]) for x in mixing.mix(df).collect()}
+    monkeypatch.setattr(mixing, "DRIVER_SOURCES", 5)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    taken = Counter()
+    for x in got:
+        assert (x["target"], x["source_size"]) == pytest.approx(want[x["source"]], rel=1e-9)
+        taken[x["source"]] += x["taken"]
+    assert all(taken[s] == pytest.approx(t, abs=1) for s, (t, _) in want.items())
 
 
 # n-gram join ----------------------------------------------------------------------------------
@@ -136,6 +209,20 @@ def test_join_bears_awkward_rows(spark):
     assert ngram_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    r = random.Random(15)
+    text = lambda: " ".join(f"u{r.randrange(5000)}" for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a, "x"), (5, a + " tail", "x"), (5, b, "x"), (5, c, "x"), (5, c + " end", "x"), (None, d, "x"), (None, d + " more", "x"), (9, b, "x"), (7, None, "x"), (8, " ", "x"), (1, a, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `group` string").withColumn("t", F.lit(3))
+    out = ngram_join.keep_one(df)
+    assert out.columns == df.columns
+    got = [(x["doc_id"], x["text"]) for x in out.collect()]
+    assert len(got) == 5 and {(1, a), (5, b), (7, None)} <= set(got)
+    assert len({(5, c), (5, c + " end")} & set(got)) == 1 and len({(None, d), (None, d + " more")} & set(got)) == 1
+    assert ngram_join.keep_one(df.limit(0)).count() == 0
+
+
 def test_pruning_thresholds_grow_with_the_values_compared():
     steps = ngram_join.least_matches()
     assert [n for n, _ in steps][-1] == ngram_join.HASHES
@@ -524,10 +611,13 @@ def test_ties_go_to_the_earliest_start():
 # exact deduplication --------------------------------------------------------------------------
 
 
+def kept_ids(out):
+    return sorted(x["doc_id"] for x in out.collect() if x["kept"])
+
+
 def test_dedup_over_batches(spark):
     df = awkward(spark)
     index = dedup.DigestIndex(spark, "t_index_a", buckets=3)
-    index.drop()
     first = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in dedup.dedup_batch(df, index).collect()}
     assert (1, 1, 3) in first and (None, 1, 3) in first and (2, 3, 3) in first and (3, 3, 3) in first and (5, 5, 1) in first
     again = docs_of(spark, [(90, "a b c d e f", "s"), (91, "new", "s"), (92, "new", "s")])
@@ -538,21 +628,54 @@ def test_dedup_over_batches(spark):
     index.drop()
 
 
+def test_a_batch_that_comes_again(spark):
+    index = dedup.DigestIndex(spark, "t_index_r", buckets=3)
+    one = docs_of(spark, [(i, f"text {i % 30}", "s") for i in range(40)])
+    first = sorted(map(str, dedup.dedup_batch(one, index, batch="one").collect()))
+    assert kept_ids(dedup.dedup_batch(one, index, batch="two")) == []  # same rows, another batch: all known
+    assert sorted(map(str, dedup.dedup_batch(one, index, batch="one").collect())) == first  # the same batch again
+    # A run that was lost after half of its digests had been appended.
+    two = docs_of(spark, [(100 + i, f"more {i % 6}", "s") for i in range(9)])
+    digest = dedup.digest_of(F.col("text")).alias("digest")
+    index.append(two.where("doc_id < 103").groupBy(digest).agg(F.max("doc_id").alias("keep_id")), "three")
+    index.append(two.where("doc_id >= 106").groupBy(digest).agg(F.max("doc_id").alias("keep_id")).join(index.read(), "digest", "left_anti"), "three")
+    out = dedup.dedup_batch(two, index, batch="three")
+    assert index.read().where("batch = 'three'").count() == 6 == len(kept_ids(out))
+    assert dedup.deduplicate(one, index, batch="four").count() == 0
+    index.drop()
+
+
 def test_deduplicate_keeps_one_row_and_all_columns(spark):
-    df = awkward(spark)
+    df = awkward(spark).withColumn("__digest", F.lit(1)).withColumn("__key", F.lit(2)).withColumn("stays", F.lit(3)).withColumn("number", F.lit(4))
     out = dedup.deduplicate(df)
     assert out.columns == df.columns
     assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "3", "4", "5", "6", "7"]
+    assert {(r["__digest"], r["__key"], r["stays"], r["number"]) for r in out.collect()} == {(1, 2, 3, 4)}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_index_outlives_the_catalogue(spark, tmp_path):
+def test_index_outlives_catalogue_and_settings(spark, tmp_path):
     path = str(tmp_path / "index")
-    one = dedup.DigestIndex(spark, "t_index_b", 2, path)
-    dedup.dedup_batch(docs_of(spark, [(1, "x", "s")]), one).count()
+    rows = [(i, f"x {i}", "s") for i in range(400)]
+    one = dedup.DigestIndex(spark, "t_index_b", 8, path)
+    assert len(kept_ids(dedup.dedup_batch(docs_of(spark, rows), one))) == 400
     spark.sql("DROP TABLE t_index_b")
-    two = dedup.DigestIndex(spark, "t_index_c", 2, path)
-    got = dedup.dedup_batch(docs_of(spark, [(2, "x", "s")]), two).collect()
-    assert [(r["keep_id"], r["kept"]) for r in got] == [(1, False)]
-    assert hashlib.sha256(b"x").digest() == bytes(got[0]["digest"])
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        two = dedup.DigestIndex(spark, "t_index_c", path=path)
+        assert two.buckets == 8
+        again = dedup.dedup_batch(docs_of(spark, [*rows, (900, "new", "s")]), two)
+        assert kept_ids(again) == [900]
+        assert two.read().count() == 401
+        with pytest.raises(ValueError, match="8 buckets"):
+            dedup.DigestIndex(spark, "t_index_d", 3, path)
+        three = dedup.DigestIndex(spark, "t_index_c")  # by name, under other settings
+        assert three.buckets == 8 and kept_ids(dedup.dedup_batch(docs_of(spark, rows), three)) == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "x").write_text("y")
+    with pytest.raises(ValueError, match="no digest index"):
+        dedup.DigestIndex(spark, "t_index_e", 3, str(tmp_path / "other"))
+    spark.sql("DROP TABLE t_index_c")
