@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import dedup, mixing, ngram_join, packing, toxicity
-from quire.llm._runtime import durable, read_table
+from quire.llm._runtime import read_table
+from quire.runtime import ensure_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +26,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id; rows without id stay."""
-    classes = ngram_join.near_duplicates(docs)
-    gone = durable(classes.where("doc_id IS NOT NULL AND doc_id <> class_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates stays, the one with the smallest id."""
+    return ngram_join.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def written(docs: DataFrame, name: str) -> DataFrame:
     spark = docs.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        durable(docs.limit(0))  # sets a folder where none is set
-    path = f"{sc.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}/{name}"
+    ensure_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}/{name}"
     docs.write.parquet(path)
     return spark.read.parquet(path)

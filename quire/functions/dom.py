@@ -8,7 +8,7 @@ tree is this builder's own; other parsers recover in other ways.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -80,9 +80,9 @@ class Builder(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         closes = CLOSES.get(tag, set())
-        if tag in BLOCKS and any(n.tag == "p" for n in self.open[-6:]):
+        if tag in BLOCKS:
             closes = closes | {"p"}
-        for at in range(len(self.open) - 1, 0, -1):
+        for at in range(len(self.open) - 1, 0, -1) if closes else ():
             if self.open[at].tag in closes:
                 del self.open[at:]
             elif self.open[at].tag in SCOPES:
@@ -111,11 +111,31 @@ class Builder(HTMLParser):
 def parse(markup: str | bytes | None) -> Node:
     if isinstance(markup, (bytes, bytearray)):
         markup = bytes(markup).decode("utf-8", "replace")
+    try:
+        return built(markup or "")
+    except AssertionError:  # the library gives up on some declarations; as text they harm nobody
+        return built((markup or "").replace("<!", "&lt;!"))
+
+
+def built(markup: str) -> Node:
     builder = Builder()
-    builder.feed(markup or "")
+    builder.feed(markup)
     builder.close()
     return builder.root
 
 
+def unrolled(walk: Generator):
+    """The result of a generator that yields generators it waits for, however deep they go."""
+    stack, value = [walk], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
 def body_of(root: Node) -> Node:
     return root.first("body") or root

@@ -15,26 +15,42 @@ URL_ATTRIBUTES = frozenset({"href", "src", "action", "formaction", "xlink:href",
 SAFE_SCHEMES = frozenset({"", "http", "https", "mailto"})
 SAFE_DIRECTIONS = frozenset({"ltr", "rtl", "auto"})
 # What a table cell may and may not hold.
-CELL_BLOCKS = frozenset(
-    "address article aside blockquote div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split()
-)
-CELL_INLINE = frozenset("a abbr b br cite code del em i ins kbd mark q s small span strong sub sup time u var".split())
+CELL_BLOCKS = frozenset({
+    "address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "ul",
+})
+CELL_INLINE = frozenset({
+    "a", "abbr", "b", "br", "cite", "code", "del", "em", "i", "ins", "kbd", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "time", "u", "var",
+})
 CAPTION_CLASSES = frozenset({"Caption", "caption", "TableCaption"})
 # Words that mark note references and definitions.
 NOTE_REFERENCES = frozenset({"noteref", "doc-noteref"})
 NOTE_DEFINITIONS = frozenset({"footnote", "doc-footnote", "endnote", "doc-endnote"})
-NOTE_BLOCKS = frozenset("address blockquote div dl fieldset figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul math ruby".split())
+NOTE_BLOCKS = frozenset({
+    "address", "blockquote", "div", "dl", "fieldset", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "ol", "p", "pre", "table", "ul", "math", "ruby",
+})
 NOTE_HOLDERS = frozenset({"aside", "div", "li", "p", "section"})
 
 
 def markup_of(node: Node | str) -> str:
-    """A tree as markup."""
-    if isinstance(node, str):
-        return html.escape(node, quote=False)
-    attrs = "".join(f' {k}="{html.escape(v)}"' for k, v in node.attrs.items())
-    if node.tag in VOID:
-        return f"<{node.tag}{attrs}/>"
-    return f"<{node.tag}{attrs}>{''.join(map(markup_of, node.children))}</{node.tag}>"
+    """A tree as markup, without recursion: ``None`` on the stack closes the last open tag."""
+    out: list[str] = []
+    opened: list[str] = []
+    stack: list[Node | str | None] = [node]
+    while stack:
+        x = stack.pop()
+        if x is None:
+            out.append(f"</{opened.pop()}>")
+        elif isinstance(x, str):
+            out.append(html.escape(x, quote=False))
+        else:
+            attrs = "".join(f' {k}="{html.escape(v)}"' for k, v in x.attrs.items())
+            if x.tag in VOID:
+                out.append(f"<{x.tag}{attrs}/>")
+                continue
+            out.append(f"<{x.tag}{attrs}>")
+            opened.append(x.tag)
+            stack += [None, *reversed(x.children)]
+    return "".join(out)
 
 
 def url_is_safe(value: str) -> bool:

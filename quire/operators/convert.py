@@ -8,8 +8,7 @@ Documents are parsed where they are rendered and where ids and headings are read
 from __future__ import annotations
 
 import json
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import classified
 from ..functions.dom import Node, body_of, parse
-from ..functions.paths import ref_path
+from ..functions.paths import joined_path, ref_path
 from ..plans import sections as S
 from ..plans import targets as T
 from ..runtime import settled
@@ -26,6 +25,7 @@ from ..sources import epub as E
 from . import assets as A
 from . import documents as D
 from . import manifests as M
+from . import ocr as O
 from . import report as R
 from . import validate as V
 
@@ -34,7 +34,7 @@ KEY = "book_id"
 
 @dataclass
 class Books:
-    """The rows of converted publications."""
+    """The rows of converted publications. ``media`` (bytes of pictures) is read when assets are written."""
 
     metadata: DataFrame
     sections: DataFrame
@@ -43,10 +43,15 @@ class Books:
     issues: DataFrame
     navigation: DataFrame
     targets: DataFrame
+    events: DataFrame
+    media: DataFrame
 
 
 def elements(documents: DataFrame) -> DataFrame:
-    """Ids, headings, links and images of content documents, in document order: book_id, path, ord, kind, value, text."""
+    """Ids, headings, links and images of content documents, in document order: book_id, path, ord, kind, value, text.
+
+    A document that cannot be read gives one row of kind ``fault``.
+    """
 
     def rows(markup: str | None):
         for i, n in enumerate(parse(markup).elements()):
@@ -60,7 +65,8 @@ def elements(documents: DataFrame) -> DataFrame:
                 yield i, "image", n.attrs["src"], None
 
     keyed = documents.withColumn("k", F.struct(KEY, "path"))
-    made = D.per_document(keyed.withColumn("k", F.to_json("k")), "k", "html", "ord int, kind string, value string, text string", rows)
+    fault = lambda e: (0, "fault", f"{type(e).__name__}: {e}", None)
+    made = D.per_document(keyed.withColumn("k", F.to_json("k")), "k", "html", "ord int, kind string, value string, text string", rows, fault)
     return made.withColumn("k", F.from_json("k", f"struct<{KEY}:string,path:string>")).select("k.*", "ord", "kind", "value", "text")
 
 
@@ -180,21 +186,45 @@ def rendered(parts: DataFrame) -> DataFrame:
     return parts.select(KEY, "output_path", "front", "parts").mapInArrow(run, "book_id string, path string, text string")
 
 
-def convert(archives: DataFrame, strict: bool = False, recovered: DataFrame | None = None) -> Books:
+def analyses(assets: DataFrame, media: DataFrame, analyser: Callable[[dict[str, bytes]], dict[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """What an analyser found in eligible pictures: rows to put in their place (book_id, href, items), and issues.
+
+    assets: book_id, href, path, media_type, is_cover.
+    """
+    eligible = assets.where(A.eligible_for_ocr(F.col("media_type"), F.col("href"), F.col("is_cover"), F.regexp_replace("path", r"^\.\./", "")))
+    wanted = media.select(KEY, F.col("member").alias("href"), "content").join(eligible.select(KEY, "href"), [KEY, "href"])
+    keyed = wanted.select(F.to_json(F.struct(KEY, "href")).alias("key"), "content")
+    read = O.decided(O.blocks(O.analysed(keyed, analyser, "key", "content")))
+    read = settled(read.withColumn("k", F.from_json("key", f"struct<{KEY}:string,href:string>")).select("k.*", "json", "error", "items", "decision"))
+    code = F.when(F.col("error").isNotNull(), "IMAGE_ANALYSIS_FAILED").when(F.col("json").isNull(), "IMAGE_ANALYSIS_MISSING").when(F.col("decision") == "replace", "IMAGE_ANALYSIS_CANDIDATE").otherwise("IMAGE_PRESERVED")
+    severity = F.when(code.isin("IMAGE_ANALYSIS_FAILED", "IMAGE_ANALYSIS_MISSING"), "warning").otherwise("info")
+    issues = read.select(KEY, severity.alias("severity"), code.alias("code"), F.col("href").alias("message"))
+    return read.where("decision = 'replace'").select(KEY, "href", "items"), issues
+
+
+def convert(archives: DataFrame, strict: bool = False, recovered: DataFrame | None = None, analyser: Callable[[dict[str, bytes]], dict[str, str]] | None = None) -> Books:
     """Convert archives (book_id, content). Broken or protected ones give issues and no files.
 
+    Between steps only text is kept; pictures are read from the archives again when they are written.
     recovered (book_id, href, items), as ``operators.ocr`` decides it, replaces images by what was
-    found in them.
+    found in them; an ``analyser`` is asked for it here.
     """
-    members = settled(E.members(archives))
-    faults = E.archive_issues(archives, members)
+    members = settled(E.members(archives, media=False))
+    media = E.members(archives, media=True)
+    faults = E.archive_issues(members)
     usable = E.without_drm(members)
+    present = usable.where("readable AND member IS NOT NULL").select(KEY, F.col("member").alias("href"))
     rows = settled(E.packages(usable))
-    items, spine, meta, guide = settled(E.manifest(rows)), settled(E.spine(rows)), settled(E.metadata(rows)), E.guide(rows)
-    nav = settled(E.navigation(usable, items))
-    documents = usable.join(items.where(S.convertible(F.col("media_type"), F.col("href"))).select(KEY, F.col("href").alias("member")).distinct(), [KEY, "member"])
+    items, spine, meta, guide = settled(E.manifest(rows)), settled(E.spine(rows)), E.metadata(rows), E.guide(rows)
+    package = rows.where("kind = 'package'").groupBy(KEY).agg(F.min("value").alias("epub_version"), F.min("href").alias("package_path"))
+    meta = settled(meta.join(package, KEY, "left").withColumn("source_filename", F.substring_index(KEY, "/", -1)))
+    every_nav = settled(E.navigation(usable, items))
+    documents = usable.where("content IS NOT NULL").join(items.where(S.convertible(F.col("media_type"), F.col("href"))).select(KEY, F.col("href").alias("member")).distinct(), [KEY, "member"])
     documents = documents.select(KEY, F.col("member").alias("path"), F.decode("content", "UTF-8").alias("html"))
     found = settled(elements(documents))
+    in_text = found.where("kind = 'link'").select(KEY, F.col("path").alias("document"), "ord", F.col("value").alias("href"), "text", joined_path(F.col("path"), F.col("value")).alias("target"))
+    nav = every_nav.where("tree <> 'issue'")
+    nav = settled(nav.unionByName(S.recovered_contents(items, in_text, nav).select(*nav.columns)))
     sections = settled(plan(spine, items, nav, guide, meta, found))
     ids = found.where("kind = 'id'").select(KEY, "path", F.col("value").alias("id"), "ord")
     targets = settled(targets_of(sections, ids))
@@ -206,46 +236,76 @@ def convert(archives: DataFrame, strict: bool = False, recovered: DataFrame | No
     pictures = T.resolve_assets(images, items.select(KEY, "href", F.col("item_id").alias("path"))).groupBy(KEY, F.col("source").alias("href")).agg(F.min("asset").alias("image_id"))
     page_images = items.join(pictures, [KEY, "href"]).select(KEY, "item_id", "image_id")
     cover = T.covers(items, hints.unionByName(named), guide, page_images)
-    cover_files = cover.join(items, [KEY, "item_id"]).select(KEY, "href")
+    cover_files = settled(cover.join(items, [KEY, "item_id"]).select(KEY, "href"))
     chosen = settled(A.selected(used, items, cover_files))
-    assets = settled(A.asset_paths(chosen.where("decision = 'copy'").select(KEY, "href", "item_id")))
+    copied = chosen.where("decision = 'copy'")
+    held = copied.join(present, [KEY, "href"], "left_semi")
+    paths = A.asset_paths(held.select(KEY, "href", "item_id"))
+    marked = cover_files.select(KEY, "href").distinct().withColumn("is_cover", F.lit(True))
+    assets = settled(paths.join(held.select(KEY, "href", "media_type"), [KEY, "href"]).join(marked, [KEY, "href"], "left").withColumn("is_cover", F.coalesce("is_cover", F.lit(False))))
+    cover_row = assets.where("is_cover").groupBy(KEY).agg(F.min(F.struct(F.regexp_replace("path", r"^\.\./", "").alias("path"), F.col("href").alias("source_href"), "media_type")).alias("cover"))
+    meta = settled(meta.join(sections.select(KEY).distinct(), KEY, "left_semi").join(cover_row, KEY, "left"))
 
     links = found.where("kind = 'link'").select(KEY, F.col("path").alias("source"), F.col("value").alias("href")).distinct()
     where = settled(T.resolve_links(links, targets))
     shown = F.when(F.col("status") == "kept", F.col("href")).when(F.col("status") == "LINK_UNRESOLVED", "#").when(F.col("status") == "resolved", F.concat_ws("#", F.regexp_replace("out_path", "^content/", ""), "anchor"))
     link_map = where.groupBy(KEY, F.col("source").alias("path")).agg(F.map_from_entries(F.collect_list(F.struct("href", shown.alias("to")))).alias("links"))
-    image_map = T.resolve_assets(images, assets).where("asset IS NOT NULL").groupBy(KEY, F.col("source").alias("path")).agg(F.map_from_entries(F.collect_list(F.struct("src", "asset"))).alias("images"))
+    occurrences = settled(T.resolve_assets(images, assets))
+    image_map = occurrences.where("asset IS NOT NULL").groupBy(KEY, F.col("source").alias("path")).agg(F.map_from_entries(F.collect_list(F.struct("src", "asset"))).alias("images"))
     anchor_map = targets.where("anchor IS NOT NULL").groupBy(KEY, "path").agg(F.map_from_entries(F.collect_list(F.struct("fragment", "anchor"))).alias("anchors"))
 
-    occurrences = T.resolve_assets(images, assets).where("asset IS NOT NULL").select(KEY, "source", "src", "href")
+    more_issues = []
+    if analyser is not None:
+        recovered, told = analyses(assets, media, analyser)
+        more_issues.append(told)
     if recovered is None:
-        found_map = occurrences.select(KEY, F.col("source").alias("path"), F.lit("").alias("found")).limit(0)
+        found_map = occurrences.select(KEY, F.col("source").alias("path"), F.lit("").alias("found")).where(F.lit(False))
     else:
-        met = occurrences.join(recovered.select(KEY, "href", "items"), [KEY, "href"])
+        met = occurrences.where("asset IS NOT NULL").join(recovered.select(KEY, "href", "items"), [KEY, "href"])
         found_map = met.groupBy(KEY, F.col("source").alias("path")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("src", "items")))).alias("found"))
 
     parts = sections.select(KEY, "section_id", "output_path", F.posexplode("sources").alias("i", "s")).select(KEY, "output_path", "i", F.col("s.href").alias("path"), "s.start_id", "s.end_id")
-    held = parts.join(documents, [KEY, "path"], "left").join(link_map, [KEY, "path"], "left").join(image_map, [KEY, "path"], "left").join(anchor_map, [KEY, "path"], "left").join(found_map, [KEY, "path"], "left")
-    gathered = held.groupBy(KEY, "output_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.struct("path", "start_id", "end_id", "html", "links", "images", "anchors", "found").alias("part"))), lambda a, b: F.when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).otherwise(0)), lambda x: x["part"]).alias("parts"))
+    pieces = parts.join(documents, [KEY, "path"], "left").join(link_map, [KEY, "path"], "left").join(image_map, [KEY, "path"], "left").join(anchor_map, [KEY, "path"], "left").join(found_map, [KEY, "path"], "left")
+    gathered = pieces.groupBy(KEY, "output_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.struct("path", "start_id", "end_id", "html", "links", "images", "anchors", "found").alias("part"))), lambda a, b: F.when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).otherwise(0)), lambda x: x["part"]).alias("parts"))
     source = F.transform("sources", lambda s: F.struct(F.concat_ws("#", s["href"], s["start_id"]).alias("href"), s["start_id"].alias("fragment")))
     front = D.front_matter(F.col("section_id"), F.col("title"), F.col("type"), F.col("order_no"), source)
     pages = rendered(sections.withColumn("front", front).select(KEY, "output_path", "front").join(gathered, [KEY, "output_path"]))
     pages = settled(pages)
 
-    issue = lambda df, severity, code, at: df.select(KEY, F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.col(at).alias("message"))
-    resolved = S.resolved_spine(spine, items)
+    resolved = settled(S.resolved_spine(spine, items))
+    readable = resolved.where("href IS NOT NULL").where(S.convertible(F.col("media_type"), F.col("href")))
+    unresolved = where.where("status LIKE 'LINK%'")
+    unread = parts.join(documents.select(KEY, "path"), [KEY, "path"], "left_anti")
+    svg = usable.where("content IS NOT NULL").select(KEY, F.col("member").alias("href"), "content").join(assets.where(A.is_svg(F.col("media_type"), F.col("href"))), [KEY, "href"])
+    twins = T.anchors(ids).where("anchor <> base")
+    planned = spine.select(KEY).distinct().join(sections, KEY, "left_anti")
+    guided = guide.where(F.lower("type").isin("cover", "other.ms-coverimage-standard") | (F.lower("title") == "cover"))
+    bare = items.select(KEY).distinct().join(nav.where("tree IN ('nav', 'ncx')"), KEY, "left_anti").join(package, KEY)
     issues = faults
     for more in (
-        issue(resolved.where("href IS NULL"), "error", "PLAN_MISSING_SPINE_ITEM", "idref"),
-        issue(resolved.where("href IS NOT NULL AND NOT linear"), "info", "PLAN_NONLINEAR", "href"),
-        where.where("status LIKE 'LINK%'").select(KEY, F.lit("warning").alias("severity"), F.col("status").alias("code"), F.col("href").alias("message")),
-        T.resolve_assets(images, assets).where("status <> 'resolved'").select(KEY, F.lit("warning").alias("severity"), F.col("status").alias("code"), F.col("src").alias("message")),
-        issue(chosen.where("decision = 'skip'"), "warning", "MEDIA_SKIPPED", "href"),
-        issue(T.source_ids(ids).where("NOT first"), "info", "ANCHOR_SOURCE_DUP", "id"),
+        E.package_issues(usable, rows, items),
+        E.navigation_issues(usable, rows, items, every_nav),
+        E.issue_rows(bare, "warning", "NAV_DEGRADED", "package_path"),
+        E.issue_rows(planned, "fatal", "PLAN_NO_SECTIONS"),
+        E.issue_rows(resolved.where("href IS NULL"), "error", "PLAN_MISSING_SPINE_ITEM", "idref"),
+        E.issue_rows(resolved.where("href IS NOT NULL AND NOT linear"), "info", "PLAN_NONLINEAR", "href"),
+        E.issue_rows(guided.join(cover_files, KEY, "left_anti"), "warning", "COVER_MISSING", "href"),
+        E.issue_rows(found.where("kind = 'fault'"), "error", "RENDER_FAULT", "path"),
+        E.issue_rows(unread, "error", "RENDER_MISSING_SOURCE", "path"),
+        E.issue_rows(unresolved, "warning", F.col("status"), "href"),
+        E.issue_rows(occurrences.where("status <> 'resolved'"), "warning", F.col("status"), "src"),
+        E.issue_rows(copied.join(present, [KEY, "href"], "left_anti"), "warning", "ASSET_MISSING", "href"),
+        E.issue_rows(chosen.where("decision = 'skip'"), "warning", "MEDIA_SKIPPED", "href"),
+        E.issue_rows(svg.where(A.active_pieces("content") > 0), "warning", "SVG_SANITIZED", "href"),
+        E.issue_rows(T.source_ids(ids).where("NOT first"), "info", "ANCHOR_SOURCE_DUP", "id"),
+        E.issue_rows(twins, "info", "ANCHOR_DISAMBIGUATED", "anchor"),
+        *more_issues,
     ):
         issues = issues.unionByName(more)
     issues = settled(R.strict(issues) if strict else issues)
-    return Books(meta, sections, assets, pages, issues, nav, targets)
+    kind = lambda df, name: df.select(KEY, F.lit(name).alias("kind"))
+    events = kind(readable, "document").unionByName(kind(sections, "file")).unionByName(kind(assets, "image")).unionByName(kind(unresolved.where("status = 'LINK_UNRESOLVED'"), "unresolved")).unionByName(kind(chosen.where("decision = 'skip'"), "skipped"))
+    return Books(meta, sections, assets, pages, issues, nav, targets, settled(events), media)
 
 
 def contents(books: Books) -> DataFrame:
@@ -258,51 +318,43 @@ def contents(books: Books) -> DataFrame:
     listed = listed.select(KEY, F.lit(2).alias("rank"), F.col("order").alias("ord"), F.col("section_id").alias("key"), F.lit("").alias("parent_key"), "title", "type", "section_id", F.col("output_path").alias("target"))
 
     def tree(pdf):
-        below = defaultdict(list)
-        for row in pdf.sort_values(["rank", "ord"]).to_dict("records"):
-            below[row["parent_key"]].append(row)
-        lines, seen = ["# Contents", ""], set()
-
-        def built(parent: str, depth: int) -> list[dict]:
-            out = []
-            for r in below[parent]:
-                lines.append("  " * depth + (f"- [{r['title']}]({r['target']})" if r["target"] else f"- {r['title']}"))
-                again = (parent, r["key"]) in seen or depth > 100
-                seen.add((parent, r["key"]))
-                out.append({"title": r["title"], "type": r["type"], "section_id": r["section_id"], "href": r["target"], "provenance": "inferred" if r["rank"] == 2 else "nav+ncx", "children": [] if again or r["key"] == parent else built(r["key"], depth + 1)})
-            return out
-
-        nodes = built("", 0)
-        text = json.dumps({"schema_version": 1, "nodes": nodes}, indent=2, sort_keys=True) + "\n"
-        return pdf[[KEY]].iloc[:1].assign(markdown="\n".join(lines) + "\n", json=text)
+        rows = pdf.sort_values(["rank", "ord"]).to_dict("records")
+        for r in rows:
+            r["provenance"] = "inferred" if r["rank"] == 2 else "nav+ncx"
+        markdown, text = M.toc_files(rows)
+        return pdf[[KEY]].iloc[:1].assign(markdown=markdown, json=text)
 
     return nodes.unionByName(listed).groupBy(KEY).applyInPandas(tree, "book_id string, markdown string, json string")
 
 
 def book_files(books: Books) -> DataFrame:
     """All text files of book directories: book_id, path, text."""
-    listed = books.sections.select(KEY, F.col("order_no").alias("order"), "section_id", "type", "title", F.col("output_path").alias("path"))
-    manifest = M.book_manifest(books.metadata.select(KEY, "title", "authors"), listed).select(KEY, F.lit("book.json").alias("path"), F.col("book_json").alias("text"))
+    from ..functions.text import description_markdown
+
+    source = F.transform("sources", lambda x: F.struct(F.concat_ws("#", x["href"], x["start_id"]).alias("href"), x["start_id"].alias("fragment")))
+    listed = books.sections.select(KEY, F.col("order_no").alias("order"), "section_id", "type", "title", F.col("output_path").alias("path"), source.alias("sources"), "confidence")
+    manifest = M.book_manifest(books.metadata, listed, books.assets).select(KEY, F.lit("book.json").alias("path"), F.col("book_json").alias("text"))
     made = contents(books)
     toc_md = made.select(KEY, F.lit("toc.md").alias("path"), F.col("markdown").alias("text"))
     toc_json = made.select(KEY, F.lit("toc.json").alias("path"), F.col("json").alias("text"))
     first = books.sections.groupBy(KEY).agg(F.min_by(F.struct("title", "output_path"), "order_no").alias("f"))
     index = books.metadata.join(first, KEY, "left")
-    from ..functions.text import description_markdown
-
-    text = M.index_markdown(F.col("title"), F.array_join(F.coalesce("authors", F.array().cast("array<string>")), ", "), description_markdown(F.col("description")), F.lit(None).cast("string"), F.col("f.title"), F.col("f.output_path"))
+    text = M.index_markdown(F.col("title"), F.array_join(F.coalesce("authors", F.array().cast("array<string>")), ", "), description_markdown(F.col("description")), F.col("cover.path"), F.col("f.title"), F.col("f.output_path"))
     index = index.select(KEY, F.lit("index.md").alias("path"), text.alias("text"))
-    state = books.metadata.select(KEY).join(R.rolled_up(books.issues), KEY, "left")
-    listed_issues = books.issues.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("severity", "code", "message"))).alias("list"))
-    report = state.join(listed_issues, KEY, "left").select(KEY, F.lit("conversion-report.json").alias("path"), M.pretty_json(F.to_json(F.struct(F.coalesce("status", F.lit("ok")).alias("status"), F.coalesce("list", F.array()).alias("issues")))).alias("text"))
+    report = R.report_file(books.metadata, books.issues, books.events).select(KEY, F.lit("conversion-report.json").alias("path"), F.col("report_json").alias("text"))
     out = books.files
     for more in (manifest, toc_md, toc_json, index, report):
         out = out.unionByName(more)
     return out
 
 
+def directory_files(books: Books) -> DataFrame:
+    """All files of book directories as bytes: book_id, path, content."""
+    pages = book_files(books).select(KEY, "path", F.col("text").cast("binary").alias("content"))
+    return pages.unionByName(A.asset_files(books.assets, books.media))
+
+
 def checked(books: Books) -> DataFrame:
-    """Issues the validator finds in converted books."""
-    sections = books.sections.select(KEY, F.col("order_no").alias("n"), "section_id", F.col("output_path").alias("path"))
-    held = books.assets.select(KEY, F.regexp_replace("path", r"^\.\./", "").alias("path"), F.lit("").alias("text"))
-    return V.validate(books.metadata.select(KEY), sections, book_files(books).unionByName(held))
+    """Issues the validator finds in converted books; assets are those whose bytes the archives hold."""
+    held = books.assets.select(KEY, F.regexp_replace("path", r"^\.\./", "").alias("path"), F.lit(None).cast("string").alias("text"))
+    return V.validate(books.metadata.select(KEY), settled(book_files(books).unionByName(held)))

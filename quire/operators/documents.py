@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 
 from ..functions.dom import body_of, parse
 from ..functions.markup import ACTIVE_TAGS, markup_of, notes_of, sanitise, table_reason
-from ..functions.render import render
+from ..functions.render import normalised, render, render_body
 
 NODES = "node_id int, parent_id int, ord int, depth int, block int, tag string, attrs map<string,string>, text string"
 
 
-def per_document(docs: DataFrame, key: str, html: str, made: str, make) -> DataFrame:
-    """Rows that ``make(markup)`` yields for each document, with the document's key; one bad
-    document gives no rows instead of failing the job."""
-    kind = docs.schema[key].dataType.simpleString()
+def per_document(docs: DataFrame, key: str, html: str, made: str, make, fault=None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that ``make(markup)`` yields for each document, with the document's key and the columns ``carry``.
+
+    No document is dropped: where ``make`` fails, the document's row is ``fault(error)``, or the job
+    fails if there is no ``fault``.
+    """
+    kept = (key, *carry)
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -26,20 +30,21 @@ def per_document(docs: DataFrame, key: str, html: str, made: str, make) -> DataF
         schema = to_arrow_schema(wanted)
         for b in batches:
             columns: list[list] = [[] for _ in schema]
-            for k, markup in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for *own, markup in zip(*(b.column(i).to_pylist() for i in range(len(kept))), b.column(len(kept)), strict=True):
                 try:
                     rows = list(make(markup.as_py()))
-                except (ValueError, RecursionError, AssertionError):
-                    rows = []
+                except Exception as e:  # noqa: BLE001 - the fault is reported as a row
+                    if fault is None:
+                        raise
+                    rows = [fault(e)]
                 for row in rows:
-                    columns[0].append(k)
-                    for column, value in zip(columns[1:], row, strict=True):
+                    for column, value in zip(columns, (*own, *row), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     spark = docs.sparkSession
-    wanted = spark.createDataFrame([], f"{key} {kind}, {made}").schema
-    return docs.select(key, html).mapInArrow(run, wanted)
+    wanted = spark.createDataFrame([], f"{kinds}, {made}").schema
+    return docs.select(*kept, html).mapInArrow(run, wanted)
 
 
 def node_rows(markup: str | None):
@@ -65,6 +70,17 @@ def markdown(docs: DataFrame, key: str, html: str) -> DataFrame:
     return per_document(docs, key, html, "markdown string", lambda m: [(render(m),)])
 
 
+def titled_markdown(docs: DataFrame, key: str, html: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """title (the first heading of level 1 or 2, null if there is none) and markdown, from one parse."""
+
+    def rows(m: str | None):
+        body = body_of(parse(m))
+        title = next((n.text().strip() for n in body.elements() if n.tag in {"h1", "h2"}), None)
+        return [(title, render_body(body, repair=normalised))]
+
+    return per_document(docs, key, html, "title string, markdown string", rows, carry=carry)
+
+
 def sanitised(docs: DataFrame, key: str, html: str) -> DataFrame:
     return per_document(docs, key, html, "html string", lambda m: [("".join(map(markup_of, sanitise(body_of(parse(m))).children)),)])
 

@@ -73,6 +73,12 @@ def decided(found: DataFrame) -> DataFrame:
     return found.withColumn("reason", reason).withColumn("decision", F.when(reason == "markdown-representable", "replace").otherwise("preserve"))
 
 
+def with_analyses(images: DataFrame, analyses: DataFrame, key: tuple[str, ...] = ("book_id", "src")) -> DataFrame:
+    """``images`` with the decision of their analysis, and a code where there is none."""
+    code = F.when(F.col("decision").isNull(), "IMAGE_ANALYSIS_MISSING")
+    return images.join(analyses.select(*key, "decision"), list(key), "left").withColumn("code", code)
+
+
 def analysed(images: DataFrame, analyser: Callable[[dict[str, bytes]], dict[str, str]], key: str = "href", content: str = "content") -> DataFrame:
     """The plug-in point: ``analyser`` maps a batch of images to JSON results. If it fails, the batch
     keeps its images and carries the error."""

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import VERSION
+from .manifests import json_of
+
 # Severities from least to most, and the status of the worst.
 SEVERITIES = ("debug", "info", "warning", "error", "fatal")
 STATUS = {"fatal": "fatal", "error": "completed_with_errors", "warning": "completed_with_warnings"}
 # Warnings that strict mode treats as errors.
 STRICT_CODES = ("LINK_UNRESOLVED", "ASSET_MISSING", "RENDER_MISSING_SOURCE")
+# Names of the counters, by kind of event.
+COUNTERS = {"document": "source_documents", "file": "generated_files", "image": "images_copied", "unresolved": "unresolved_links", "skipped": "assets_skipped"}
 
 
 def rank(severity: Column) -> Column:
@@ -47,5 +52,17 @@ def visible(issues: DataFrame, verbose: bool = False, quiet: bool = False) -> Da
 
 def stats(events: DataFrame, book: str = "book_id") -> DataFrame:
     """Counters of a conversion from tagged events (kind)."""
-    kinds = {"document": "documents_read", "file": "files_written", "image": "images_copied", "unresolved": "unresolved_links", "skipped": "resources_skipped"}
-    return events.groupBy(book).agg(*(F.count_if(F.col("kind") == k).alias(v) for k, v in kinds.items()))
+    return events.groupBy(book).agg(*(F.count_if(F.col("kind") == k).alias(v) for k, v in COUNTERS.items()))
+
+
+def report_file(books: DataFrame, issues: DataFrame, events: DataFrame, book: str = "book_id") -> DataFrame:
+    """book, report_json: status, issues and counters of every book."""
+    state = books.select(book).join(rolled_up(issues, book), book, "left").join(stats(events, book), book, "left")
+    listed = issues.groupBy(book).agg(F.sort_array(F.collect_list(F.struct("severity", "code", "message", F.col("message").alias("where")))).alias("list"))
+    counters = F.struct(*(F.coalesce(c, F.lit(0)).alias(c) for c in COUNTERS.values()))
+    empty = F.array().cast("array<struct<severity:string,code:string,message:string,where:string>>")
+    whole = F.struct(
+        F.coalesce("status", F.lit("ok")).alias("status"), F.lit(VERSION).alias("tool_version"), F.struct(F.lit(None).cast("string").alias("epubcheck")).alias("source_validation"),
+        F.coalesce("list", empty).alias("issues"), counters.alias("stats"),
+    )
+    return state.join(listed, book, "left").select(book, json_of(whole).alias("report_json"))

@@ -126,11 +126,25 @@ def toc_union(nodes: DataFrame, book: str = "book_id") -> DataFrame:
 def html_toc_links(links: DataFrame, book: str = "book_id") -> DataFrame:
     """Contents recovered from a document's links: local, with text and target, not to itself, first of each target."""
     joined = links.where((F.col("href") != "") & (F.trim("text") != "") & ~F.col("href").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"))
-    joined = joined.withColumn("path", ref_path(F.col("target"))).withColumn("fragment", ref_fragment(F.col("target"))).where(F.col("path") != F.col("document"))
+    joined = joined.withColumn("path", ref_path(F.col("target"))).withColumn("fragment", ref_fragment(F.col("target"))).where((F.col("path") != F.col("document")) | F.col("fragment").isNotNull())
     first = Window.partitionBy(book, "document", "path", "fragment").orderBy("ord")
     return joined.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
 
 
+def recovered_contents(items: DataFrame, links: DataFrame, nav: DataFrame, book: str = "book_id") -> DataFrame:
+    """Nav rows for books whose navigation gave no contents: the links of their best document that holds any.
+
+    links: book, document, ord, href, target (absolute), text.
+    """
+    bare = items.join(nav.where("tree = 'nav'").select(book).distinct(), book, "left_anti")
+    ranked = toc_candidates(bare.where(convertible(F.col("media_type"), F.col("href"))), book).select(book, F.col("href").alias("document"), "rank")
+    found = html_toc_links(links, book).join(ranked, [book, "document"])
+    best = found.groupBy(book).agg(F.min("rank").alias("rank"))
+    n = F.row_number().over(Window.partitionBy(book).orderBy("ord")) - 1
+    rows = found.join(best, [book, "rank"]).withColumn("n", n)
+    return rows.select(book, F.lit("nav").alias("tree"), F.col("n").alias("node_id"), F.lit(-1).alias("parent_id"), F.col("n").alias("ord"), F.lit(1).alias("depth"), F.trim("text").alias("title"), F.col("target").alias("href"), F.lit(None).cast("string").alias("semantic_type"))
+
+
 def toc_candidates(items: DataFrame, book: str = "book_id") -> DataFrame:
     """Documents that may hold the contents: 2 for the token ``toc``, 1 for ``contents``; the best first."""
     from ..functions.paths import name_tokens

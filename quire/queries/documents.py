@@ -16,10 +16,7 @@ SPARK, DUCK = BUILT.format(s="string"), BUILT.format(s="varchar")
 
 @query("page_markdown")
 def page_markdown(t):
-    pages = t["pages"]
-    body = D.markdown(pages, "page_id", "html")
-    heads = D.headings(pages, "page_id", "html").groupBy("page_id").agg(F.min_by("text", "ord").alias("title"))
-    rows = body.join(heads, "page_id", "left").join(pages.select("page_id", "url"), "page_id")
+    rows = D.titled_markdown(t["pages"], "page_id", "html", carry=("url",))
     title = F.coalesce("title", F.col("url"))
     order = F.format_string("sec-%03d", F.col("page_id"))
     matter = D.front_matter(order, title, F.lit("chapter"), F.col("page_id"), F.array(F.struct(F.col("url").alias("href"), F.lit(None).cast("string").alias("fragment"))))
@@ -116,10 +113,10 @@ def sanitize_rich(t):
 SELECT page_id, '<svg><g>' || CAST(page_id AS varchar) || '</g><a href="#x"/></svg>' AS svg FROM pages
 """)
 def svg_sanitize(t):
-    from ..operators.assets import sanitised_svg
+    from ..operators.assets import cleaned_svg
 
     raw = F.concat(F.lit('<svg onload="x()"><script>a\n</script><g>'), F.col("page_id").cast("string"), F.lit('</g><foreignObject><p/></foreignObject><a href="#x" xlink:href="https://e.org" handler=\'h\'/></svg>'))
-    return t["pages"].select("page_id", sanitised_svg(raw).alias("svg"))
+    return t["pages"].select("page_id", cleaned_svg(raw.cast("binary")).cast("string").alias("svg"))
 
 
 @query("footnote_render")

@@ -110,4 +110,4 @@ def nav_document_rows(t):
 def archive_issues(t):
     bad = t.spark.createDataFrame([("bad", bytearray(b"no archive"))], "book_id string, content binary")
     books = archives(t).unionByName(bad)
-    return E.archive_issues(books, E.members(books)).select("book_id", "severity", "code")
+    return E.archive_issues(E.members(books)).select("book_id", "severity", "code")

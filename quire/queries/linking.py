@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import query
 from ..operators import assets as A
+from ..operators import ocr as O
 from ..plans import targets as T
 
 LINKS = """
@@ -84,12 +85,13 @@ def cover_pick(t):
 
 
 @query("image_analysis_join", f"""
-SELECT i.page_id, CASE WHEN i.page_id % 11 < 6 AND i.page_id % 4 = 1 THEN 'replace' END AS decision, CASE WHEN i.page_id % 4 = 1 AND i.page_id % 11 >= 6 THEN 'IMAGE_ANALYSIS_MISSING' END AS code FROM ({duck(IMAGES)}) i WHERE page_id % 4 = 1
+SELECT i.page_id, CASE WHEN i.page_id % 4 = 1 AND i.page_id % 11 < 6 THEN 'replace' END AS decision, CASE WHEN i.page_id % 4 <> 1 OR i.page_id % 11 >= 6 THEN 'IMAGE_ANALYSIS_MISSING' END AS code FROM ({duck(IMAGES)}) i
 """)
 def image_analysis_join(t):
-    images = t.sql(spark(IMAGES)).where("page_id % 4 = 1")
-    found = t.sql(spark(IMAGES)).where("page_id % 4 = 1 AND page_id % 11 < 6").select("src").distinct().withColumn("decision", F.lit("replace"))
-    return images.join(found, "src", "left").select("page_id", "decision", F.when(F.col("decision").isNull(), "IMAGE_ANALYSIS_MISSING").alias("code"))
+    images = t.sql(spark(IMAGES))
+    # Which images the analyser read is a property of the made-up analyses, not of the images looked up.
+    found = images.where("page_id % 4 = 1 AND page_id % 11 < 6").select("book_id", "src").distinct().withColumn("decision", F.lit("replace"))
+    return O.with_analyses(images, found).select("page_id", "decision", "code")
 
 
 IDS = "SELECT p_size AS book_id, p_partkey AS ord, concat('d/c', cast(p_partkey % 4 AS {s}), '.xhtml') AS path, CASE p_partkey % 5 WHEN 0 THEN concat('X ', cast(p_partkey % 3 AS {s})) WHEN 1 THEN concat('x-', cast(p_partkey % 3 AS {s})) ELSE p_brand END AS id FROM part"
@@ -122,15 +124,17 @@ def asset_names(t):
 
 
 @query("asset_select", """
-WITH w AS (SELECT DISTINCT page_id % 10 AS book_id, page_id % 16 AS k FROM pages WHERE page_id % 3 > 0)
+WITH w AS (SELECT DISTINCT page_id % 10 AS book_id, page_id % 16 AS k FROM pages)
 SELECT book_id, 'h' || CAST(k AS varchar) AS href, CASE WHEN k >= 12 THEN 'missing' WHEN k % 4 = 1 THEN 'skip' ELSE 'copy' END AS decision FROM w
 """)
 def asset_select(t):
     pages = t["pages"].select((F.col("page_id") % 10).alias("book_id"), F.concat(F.lit("h"), F.col("page_id") % 16).alias("src"), (F.col("page_id") % 3).alias("k"))
-    images = pages.where("k > 0").select("book_id", "src").unionByName(pages.where("k > 1").select("book_id", F.lit("https://x/y.png").alias("src")))
+    images = pages.select("book_id", F.explode(F.array("src", F.when(F.col("k") > 1, "https://x/y.png").otherwise(F.col("src")))).alias("src"))
     types = F.array(F.lit("image/png"), F.lit("text/css"), F.lit("image/gif"), F.lit("image/svg+xml"))
-    resources = t.spark.range(12).crossJoin(pages.select("book_id").distinct()).select("book_id", F.concat(F.lit("h"), "id").alias("href"), F.concat(F.lit("i"), "id").alias("item_id"), F.get(types, (F.col("id") % 4).cast("int")).alias("media_type"))
-    return A.selected(images, resources, pages.where("k = 1").select("book_id", F.col("src").alias("href")).limit(0)).select("book_id", "href", "decision")
+    resources = pages.select("book_id").distinct().withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    resources = resources.select("book_id", F.concat(F.lit("h"), "id").alias("href"), F.concat(F.lit("i"), "id").alias("item_id"), F.get(types, F.col("id") % 4).alias("media_type"))
+    no_covers = pages.select("book_id", F.col("src").alias("href")).where(F.lit(False))
+    return A.selected(images, resources, no_covers).select("book_id", "href", "decision")
 
 
 @query("image_eligible", """

@@ -9,7 +9,7 @@ NODES = """
 SELECT * FROM (
   SELECT r_regionkey % 2 AS book_id, 'nav' AS tree, cast(r_regionkey AS bigint) AS node_id, cast(-1 AS bigint) AS parent_id, r_name AS title, concat('r', cast(r_regionkey AS {s}), '.xhtml') AS href FROM region
   UNION ALL SELECT n_regionkey % 2, 'nav', cast(100 + n_nationkey AS bigint), cast(n_regionkey AS bigint), n_name, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE concat('r', cast(n_regionkey AS {s}), '.xhtml#n', cast(n_nationkey % 7 AS {s})) END FROM nation
-  UNION ALL SELECT n_regionkey % 2, 'nav', 1000 + c_custkey, cast(100 + n_nationkey AS bigint), c_name, concat('c', cast(c_custkey % 40 AS {s}), '.xhtml', CASE WHEN c_custkey % 3 = 0 THEN '#x' ELSE '' END) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 400
+  UNION ALL SELECT n_regionkey % 2, 'nav', 1000 + c_custkey, cast(100 + n_nationkey AS bigint), c_name, concat('c', cast(c_custkey % 40 AS {s}), '.xhtml', CASE WHEN c_custkey % 3 = 0 THEN '#x' ELSE '' END) FROM customer JOIN nation ON c_nationkey = n_nationkey
   UNION ALL SELECT r_regionkey % 2, 'ncx', cast(r_regionkey AS bigint), cast(-1 AS bigint), concat('ncx ', r_name), concat('r', cast(r_regionkey + 1 AS {s}), '.xhtml') FROM region
 ) q
 """

@@ -114,7 +114,7 @@ def safe_url(t):
     return t.sql(URLS).select("page_id", P.safe_url(F.col("value")).alias("safe"))
 
 
-TITLES = "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '??' ELSE substring(text, 1, 40) END AS title FROM documents"
+TITLES = "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN concat('?? ', coalesce(text, '')) ELSE coalesce(text, '') END AS title FROM documents UNION ALL SELECT -doc_id - 1, '??' FROM documents"
 
 
 @query("slugify", f"""

@@ -63,7 +63,7 @@ def split_identity(t):
 
 
 INFOS = "SELECT l_orderkey AS book_id, concat('f', cast(l_suppkey % 3 AS {s}), '.xhtml') AS path_ref, CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE concat('h', cast(l_linenumber AS {s})) END AS fragment, concat('T', cast(l_linenumber AS {s})) AS title FROM lineitem"
-HEADS = "SELECT l_orderkey AS book_id, concat('f', cast(l_suppkey % 3 AS {s}), '.xhtml') AS path, concat('h', cast(l_linenumber AS {s})) AS id, cast(l_linenumber AS bigint) AS ord FROM lineitem WHERE l_quantity > 10"
+HEADS = "SELECT l_orderkey AS book_id, concat('f', cast(l_suppkey % 3 AS {s}), '.xhtml') AS path, concat(CASE WHEN l_quantity > 10 THEN 'h' ELSE 'other' END, cast(l_linenumber AS {s})) AS id, cast(l_linenumber AS bigint) AS ord FROM lineitem"
 
 
 @query("plan_split", f"""

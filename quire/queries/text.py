@@ -1,4 +1,4 @@
-"""Queries on text repairs. Real texts are clean, so stimuli are put in, alike in both engines."""
+"""Queries on text repairs, over whole texts. Real texts are clean, so stimuli are put in, alike in both engines."""
 
 from pyspark.sql import functions as F
 
@@ -7,16 +7,16 @@ from ..functions import text as T
 
 
 def stimulus(expression: str) -> str:
-    return f"SELECT doc_id, {expression} AS text FROM documents"
+    return f"SELECT doc_id, {expression} AS text FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) d"
 
 
 WHITE = stimulus("concat(chr(9), ' ', text, chr(10), chr(10), chr(160), ' x')")
-MOJIBAKE = stimulus("concat('CafÃ© ', substring(text, 1, 60), ' donâ€™t Tarâscon Â© ', cast(doc_id AS {s}))")
-CAPS_MD = stimulus("concat('**T**hen ', substring(text, 1, 50), ' _O_nce a*b*c ***X***yz ', cast(doc_id AS {s}))")
-CAPS_HTML = stimulus("concat('<b>T</b>hen <span class=\"x dropcap\">O</span>nce <span class=\"y\">A</span>b <strong id=\"s\">Z</strong>z ', substring(text, 1, 50))")
-HYPHENS = stimulus("concat('inter-', chr(10), 'national pre- and PART- one Zodiac- sign a- b ', substring(text, 1, 50), ' ', cast(doc_id AS {s}), ' wrap-  ped')")
-BOLD = stimulus("CASE doc_id % 3 WHEN 0 THEN concat('**Title ', cast(doc_id AS {s}), '**', chr(10), chr(10), substring(text, 1, 50)) WHEN 1 THEN concat('**Bold**', chr(10), '## Has heading', chr(10)) ELSE substring(text, 1, 50) END")
-DESCRIPTION = stimulus("concat('<p>First <i>word</i> &amp; <b>more</b></p><p class=\"x\">', substring(text, 1, 50), '<br/>  next   line</p><div>', cast(doc_id AS {s}), '</div>')")
+MOJIBAKE = stimulus("concat('CafÃ© ', text, ' donâ€™t Tarâscon Â© ', cast(doc_id AS {s}))")
+CAPS_MD = stimulus("concat('**T**hen ', text, ' _O_nce a*b*c ***X***yz ', cast(doc_id AS {s}))")
+CAPS_HTML = stimulus("concat('<b>T</b>hen <span class=\"x dropcap\">O</span>nce <span class=\"y\">A</span>b <strong id=\"s\">Z</strong>z ', text)")
+HYPHENS = stimulus("concat('inter-', chr(10), 'national pre- and PART- one Zodiac- sign a- b ', text, ' ', cast(doc_id AS {s}), ' wrap-  ped')")
+BOLD = stimulus("CASE doc_id % 3 WHEN 0 THEN concat('**Title ', cast(doc_id AS {s}), '**', chr(10), chr(10), text) WHEN 1 THEN concat('**Bold**', chr(10), '## Has heading', chr(10), text) ELSE text END")
+DESCRIPTION = stimulus("concat('<p>First <i>word</i> &amp; <b>more</b></p><p class=\"x\">', text, '<br/>  next   line</p><div>', cast(doc_id AS {s}), '</div>')")
 
 
 def spark(text: str) -> str:
@@ -52,7 +52,7 @@ def drop_caps_html(t):
 
 
 @query("join_hyphens", """
-SELECT doc_id, concat('international preand PART- one Zodiac- sign a- b ', substring(text, 1, 50), ' ', CAST(doc_id AS varchar), ' wrapped') AS text FROM documents
+SELECT doc_id, concat('international preand PART- one Zodiac- sign a- b ', coalesce(text, ''), ' ', CAST(doc_id AS varchar), ' wrapped') AS text FROM documents
 """)
 def join_hyphens(t):
     return t.sql(spark(HYPHENS)).select("doc_id", T.joined_hyphens(F.col("text")).alias("text"))
@@ -66,9 +66,9 @@ def promote_bold_title(t):
     return t.sql(spark(BOLD)).select("doc_id", T.promoted_title(F.col("text")).alias("text"))
 
 
-@query("description_md", f"""
-WITH d AS (SELECT doc_id, substr(text, 1, 50) AS head FROM documents)
-SELECT doc_id, trim('First *word* & **more**' || chr(10) || chr(10) || regexp_replace(regexp_replace(regexp_replace(trim(head), '<[^>]*>', '', 'g'), '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g') || chr(10) || 'next line' || CAST(doc_id AS varchar)) AS text
+@query("description_md", """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)
+SELECT doc_id, trim('First *word* & **more**' || chr(10) || chr(10) || regexp_replace(regexp_replace(regexp_replace(trim(body), '<[^>]*>', '', 'g'), '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g') || chr(10) || 'next line' || CAST(doc_id AS varchar)) AS text
 FROM d
 """)
 def description_md(t):

@@ -117,7 +117,7 @@ def validate_toc(t):
 
 
 JSON = """
-SELECT page_id AS book_id, 'book.json' AS path, CASE page_id % 4 WHEN 0 THEN '{"id": 1, "order": 2, "path": "x", "role": "file", "title": "t", "type": "c"}' WHEN 1 THEN '{"id": 1, "title": "t"}' WHEN 2 THEN '{broken' ELSE '[1]' END AS text FROM pages
+SELECT page_id AS book_id, 'book.json' AS path, CASE page_id % 4 WHEN 0 THEN '{"id": 1, "order": 2, "path": "x", "role": "file", "sources": [], "title": "t", "type": "c"}' WHEN 1 THEN '{"id": 1, "title": "t"}' WHEN 2 THEN '{broken' ELSE '[1]' END AS text FROM pages
 """
 
 
@@ -126,7 +126,7 @@ def validate_json(t):
     return V.json_issues(t.sql(JSON), V.SECTION_KEYS).where("code = 'VALIDATE_JSON'").select("book_id", "path")
 
 
-@query("validate_schema", f"SELECT book_id, key FROM ({JSON}), (VALUES ('id'), ('order'), ('path'), ('role'), ('title'), ('type')) v(key) WHERE book_id % 4 = 3 OR (book_id % 4 = 1 AND key NOT IN ('id', 'title'))")
+@query("validate_schema", f"SELECT book_id, key FROM ({JSON}), (VALUES ('id'), ('order'), ('path'), ('role'), ('sources'), ('title'), ('type')) v(key) WHERE book_id % 4 = 3 OR (book_id % 4 = 1 AND key NOT IN ('id', 'title'))")
 def validate_schema(t):
     return V.json_issues(t.sql(JSON), V.SECTION_KEYS).where("code = 'VALIDATE_SCHEMA'").select("book_id", "key")
 

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.parsers import expat
 
@@ -17,7 +19,9 @@ from pyspark.sql import functions as F
 
 from ..functions.dom import Node, parse
 
-MEMBERS = "book_id string, pos int, member string, content binary"
+MEMBERS = "book_id string, pos int, member string, content binary, readable boolean"
+#: Names of members that are neither text nor SVG.
+MEDIA = re.compile(r"(?i)\.(jpe?g|png|gif|webp|bmp|tiff?|mp[34]|m4[av]|ogg|wav|ttf|otf|woff2?|css|js)$")
 PACKAGE = "book_id string, kind string, pos int, item_id string, href string, media_type string, properties array<string>, name string, value string, linear boolean"
 NAV = "book_id string, tree string, node_id int, parent_id int, ord int, depth int, title string, href string, semantic_type string"
 ISSUES = "book_id string, severity string, code string, message string"
@@ -50,33 +54,94 @@ def by_row(df: DataFrame, ddl: str, make) -> DataFrame:
     return df.mapInArrow(run, wanted)
 
 
-def members(archives: DataFrame) -> DataFrame:
+def members(archives: DataFrame, media: bool | None = None) -> DataFrame:
+    """Members of archives: book_id, pos, member, content, readable.
+
+    Each archive also has a row of its own, at pos -1 with no member: readable is null if there is no
+    file, false if it is no archive. A damaged member is a row that is not readable; the others stay.
+    media: False leaves out the bytes of pictures, sound, fonts and styles (so that what is kept
+    between steps is text), True gives those members alone, None gives everything. An archive is
+    opened whole in memory, as is each member; binary files end at 2 GB.
+    """
+    broken = (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, OSError, ValueError, EOFError)
+
     def opened(row: dict):
+        book, content = row["book_id"], row["content"]
         try:
-            with zipfile.ZipFile(io.BytesIO(row["content"] or b"")) as z:
-                for i, info in enumerate(z.infolist()):
-                    yield row["book_id"], i, info.filename, b"" if info.is_dir() else z.read(info)
-        except (zipfile.BadZipFile, RuntimeError, NotImplementedError, OSError, ValueError):
+            z = zipfile.ZipFile(io.BytesIO(content or b""))
+        except broken:
+            if not media:
+                yield book, -1, None, None, None if content is None else False
             return
+        with z:
+            if not media:
+                yield book, -1, None, None, True
+            for i, info in enumerate(z.infolist()):
+                is_media = MEDIA.search(info.filename) is not None
+                if media and not is_media:
+                    continue
+                held, good = None, True
+                if media is not False or not is_media:
+                    try:
+                        held = b"" if info.is_dir() else z.read(info)
+                    except broken:
+                        good = False
+                yield book, i, info.filename, held, good
 
     return by_row(archives, MEMBERS, opened)
 
 
-def archive_issues(archives: DataFrame, found: DataFrame) -> DataFrame:
-    """What is wrong with archives: unreadable, protected, or a missing or wrong media type."""
-    books = archives.select("book_id").distinct()
+def issue_rows(rows: DataFrame, severity: str, code, message="''") -> DataFrame:
+    return rows.select("book_id", F.lit(severity).alias("severity"), (F.lit(code) if isinstance(code, str) else code).alias("code"), F.expr(message).cast("string").alias("message"))
+
+
+def archive_issues(found: DataFrame) -> DataFrame:
+    """What is wrong with archives: absent, unreadable, protected, or a missing or wrong media type."""
     clean = F.regexp_replace(F.replace("member", F.lit("\\"), F.lit("/")), "/+$", "")
+    own = F.col("pos") == -1
     state = found.groupBy("book_id").agg(
-        F.bool_or(clean == DRM).alias("drm"), F.min(F.when(F.col("member") == "mimetype", F.trim(F.decode("content", "UTF-8")))).alias("mimetype")
-    )
+        F.bool_or(F.when(own, F.col("readable"))).alias("opened"), F.coalesce(F.bool_or(clean == DRM), F.lit(False)).alias("drm"),
+        F.min(F.when(F.col("member") == "mimetype", F.trim(F.decode("content", "UTF-8")))).alias("mimetype"),
+    )
     code = (
-        F.when(F.col("drm").isNull(), "INGEST_NOT_ZIP")
+        F.when(F.col("opened").isNull(), "INGEST_MISSING")
+        .when(~F.col("opened"), "INGEST_NOT_ZIP")
         .when(F.col("drm"), "INGEST_DRM")
         .when(F.col("mimetype").isNull(), "INGEST_NO_MIMETYPE")
         .when(F.col("mimetype") != "application/epub+zip", "INGEST_MIMETYPE")
     )
-    severity = F.when(F.col("code").isin("INGEST_NOT_ZIP", "INGEST_DRM"), "fatal").otherwise("warning")
-    return books.join(state, "book_id", "left").withColumn("code", code).where("code IS NOT NULL").select("book_id", severity.alias("severity"), "code", F.lit("").alias("message"))
+    severity = F.when(F.col("code").isin("INGEST_MISSING", "INGEST_NOT_ZIP", "INGEST_DRM"), "fatal").otherwise("warning")
+    return state.withColumn("code", code).where("code IS NOT NULL").select("book_id", severity.alias("severity"), "code", F.lit("").alias("message"))
+
+
+def package_issues(found: DataFrame, rows: DataFrame, items: DataFrame) -> DataFrame:
+    """What is wrong with the packages of readable archives: the first fault that ends a book, and items that are incomplete or absent."""
+    books = found.where("pos = -1 AND readable").select("book_id")
+    container = found.where("member = 'META-INF/container.xml'").groupBy("book_id").agg(F.lit(True).alias("container"))
+    paths = package_paths(found).groupBy("book_id").agg(F.lit(True).alias("path"))
+    package = rows.groupBy("book_id").agg(F.bool_or(F.col("kind") == "package").alias("package"), F.bool_or(F.col("kind") == "itemref").alias("spine"))
+    state = books.join(container, "book_id", "left").join(paths, "book_id", "left").join(package, "book_id", "left")
+    code = F.when(F.col("container").isNull(), "PARSE_NO_CONTAINER").when(F.col("path").isNull(), "PARSE_NO_ROOTFILE").when(F.col("package").isNull(), "PARSE_NO_PACKAGE").when(~F.col("spine"), "PARSE_EMPTY_SPINE")
+    fatal = issue_rows(state.withColumn("code", code).where("code IS NOT NULL"), "fatal", F.col("code"))
+    absent = items.select("book_id", F.col("href").alias("member"), "item_id").join(found.where("readable").select("book_id", "member"), ["book_id", "member"], "left_anti")
+    incomplete = issue_rows(rows.where("kind = 'incomplete'"), "warning", "PARSE_ITEM_INCOMPLETE", "href")
+    return fatal.unionByName(incomplete).unionByName(issue_rows(absent, "warning", "PARSE_MISSING_ITEM", "item_id"))
+
+
+def navigation_issues(found: DataFrame, rows: DataFrame, items: DataFrame, nav: DataFrame) -> DataFrame:
+    """What is wrong with the navigation; ``nav`` has what was read, and rows of tree ``issue`` for what could not be."""
+    version = rows.where("kind = 'package'").select("book_id", F.col("value").alias("version"), F.col("href").alias("package"))
+    wanted = nav_resources(items)
+    held = found.where("readable").select("book_id", F.col("member").alias("href"))
+    missing = version.where("version LIKE '3%'").join(wanted.where("role = 'nav'"), "book_id", "left_anti")
+    no_bytes = wanted.join(held, ["book_id", "href"], "left_anti").withColumn("code", F.concat(F.upper("role"), F.lit("_MISSING_BYTES")))
+    empty = wanted.where("role = 'nav'").join(held, ["book_id", "href"], "left_semi").join(nav.where("tree = 'nav'"), "book_id", "left_anti")
+    return (
+        issue_rows(missing, "warning", "NAV_MISSING", "package")
+        .unionByName(issue_rows(no_bytes, "warning", F.col("code"), "href"))
+        .unionByName(issue_rows(empty, "warning", "NAV_EMPTY_TOC", "href"))
+        .unionByName(issue_rows(nav.where("tree = 'issue'"), "warning", F.col("title"), "href"))
+    )
 
 
 def without_drm(found: DataFrame) -> DataFrame:
@@ -126,17 +191,20 @@ def package_paths(found: DataFrame) -> DataFrame:
                 yield row["book_id"], n.attrs["full-path"]
                 return
 
-    return by_row(found.where("member = 'META-INF/container.xml'"), "book_id string, package_path string", read)
+    return by_row(found.where("member = 'META-INF/container.xml' AND content IS NOT NULL"), "book_id string, package_path string", read)
 
 
 def packages(found: DataFrame) -> DataFrame:
     """Tagged rows of every package document: metadata, item, itemref, guide, in document order."""
     paths = package_paths(found)
-    docs = found.join(paths, "book_id").where("member = package_path")
+    docs = found.where("content IS NOT NULL").join(paths, "book_id").where("member = package_path")
 
     def read(row: dict):
         empty = (None, None, None, None, None, None, None)
-        for pos, n in enumerate(xml_tree(row["content"]).elements()):
+        tree = xml_tree(row["content"])
+        package = next((n for n in tree.elements() if n.tag == "package"), None)
+        yield row["book_id"], "package", -1, None, row["package_path"], None, None, None, (package.attrs.get("version") if package is not None else None) or "2.0", None
+        for pos, n in enumerate(tree.elements()):
             a = n.attrs
             if n.parent is not None and n.parent.tag == "metadata":
                 if n.tag == "meta":
@@ -145,9 +213,11 @@ def packages(found: DataFrame) -> DataFrame:
                     yield row["book_id"], "metadata", pos, *empty[:4], n.tag, n.text().strip(), None
             elif n.tag == "item" and a.get("id") and a.get("href"):
                 yield row["book_id"], "item", pos, a["id"], joined(row["package_path"], a["href"]), a.get("media-type") or "application/octet-stream", a.get("properties", "").split(), None, None, None
-            elif n.tag == "itemref":
-                yield row["book_id"], "itemref", pos, a.get("idref"), None, None, None, None, None, a.get("linear") != "no"
-            elif n.tag == "reference":
+            elif n.tag == "item":
+                yield row["book_id"], "incomplete", pos, None, row["package_path"], None, None, None, None, None
+            elif n.tag == "itemref" and a.get("idref"):
+                yield row["book_id"], "itemref", pos, a["idref"], None, None, None, None, None, a.get("linear") != "no"
+            elif n.tag == "reference" and a.get("href"):
                 yield row["book_id"], "guide", pos, None, joined(row["package_path"], a.get("href", "")), a.get("type", ""), None, a.get("title", ""), None, None
 
     return by_row(docs.select("book_id", "package_path", "content"), PACKAGE, read)
@@ -208,38 +278,48 @@ def nav_rows(row: dict):
     def children(n: Node, *tags: str) -> list[Node]:
         return [c for c in n.children if isinstance(c, Node) and c.tag in tags]
 
-    def walk(items: list[Node], kind: str, parent: int, depth: int):
+    def words(n: Node) -> str:
+        return " ".join(n.text().split())
+
+    def walk(items: list[Node], kind: str):
+        """Pre-order on a stack, however deep the lists are nested. An NCX entry without label and target goes with all below it."""
         nonlocal counter
-        for item in items:
+        stack = [(item, -1, 1) for item in reversed(items)]
+        while stack:
+            item, parent, depth = stack.pop()
             if ncx:
-                label = next((c.text().strip() for c in item.children if isinstance(c, Node) and c.tag == "navLabel"), "")
-                href = next((c.attrs.get("src") for c in item.children if isinstance(c, Node) and c.tag == "content"), None)
+                label = next((words(c) for c in children(item, "navLabel")), "")
+                href = next((c.attrs.get("src") for c in children(item, "content")), None)
                 below, semantic = children(item, "navPoint"), None
+                if not label and not href:
+                    continue
             else:
                 head = next(iter(children(item, "a", "span")), None)
-                label, href = (head.text().strip(), head.attrs.get("href")) if head is not None else ("", None)
+                label, href = (words(head), head.attrs.get("href")) if head is not None else (words(item), None)
                 semantic = (head.attrs.get("epub:type") if head is not None else None) or None
-                below = [li for ol in children(item, "ol") for li in children(ol, "li")]
-            number = parent
-            if label or href:
-                number, counter = counter, counter + 1
-                yield book, kind, number, parent, number, depth, label, target(href), semantic
-            yield from walk(below, kind, number, depth + (number != parent))
+                below = [li for ol in children(item, "ol")[:1] for li in children(ol, "li")]
+            number, counter = counter, counter + 1
+            yield book, kind, number, parent, number, depth, label or "Untitled", target(href), semantic
+            stack.extend((c, number, depth + 1) for c in reversed(below))
 
     if ncx:
         root = tree.first("navMap")
-        yield from walk(children(root, "navPoint") if root is not None else [], "ncx", -1, 1)
+        if root is None:
+            yield book, "issue", -1, -1, -1, 0, "NCX_EMPTY" if row["content"].strip() else "NCX_MALFORMED", base, None
+            return
+        yield from walk(children(root, "navPoint"), "ncx")
         return
     for nav in (n for n in tree.elements() if n.tag == "nav"):
-        words = nav.tokens("epub:type", "class")
-        if "page-list" in words:
+        kinds = nav.tokens("epub:type", "class")
+        if "page-list" in kinds:
             continue
         lists = children(nav, "ol")
         if lists:
-            yield from walk(children(lists[0], "li"), "landmark" if "landmarks" in words else "nav", -1, 1)
+            yield from walk(children(lists[0], "li"), "landmark" if "landmarks" in kinds else "nav")
 
 
 def navigation(found: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows of nav documents and NCX files; tree ``issue`` names what could not be read."""
     wanted = nav_resources(items).select("book_id", "role", F.col("href").alias("member"))
-    docs = found.join(wanted, ["book_id", "member"])
+    docs = found.where("content IS NOT NULL").join(wanted, ["book_id", "member"])
     return by_row(docs.select("book_id", "member", "role", "content"), NAV, nav_rows)
