@@ -2,13 +2,15 @@
 
 The classifier is logistic over the presence of features: words (runs of letters, lower case) and
 their beginnings of ``PREFIXES`` letters, so that inflected forms share evidence. It learns from
-confirmed toxic texts (positives) and texts without regard to their label (unlabelled), both bounded
-samples taken by hash, with the corrected risk
+confirmed toxic texts (positives) and texts without regard to their label (unlabelled), both samples
+taken by hash and bounded by parameters of :func:`train`, with the corrected risk
 
     R = prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)]);
 
 when the second part turns negative, the step goes up that part instead. Its vocabulary
-is made of the features whose share among positives exceeds that among unlabelled texts most surely.
+is made of the features whose share among positives exceeds that among unlabelled texts most surely;
+they are counted where the texts are, and only rows of one bit per feature of the vocabulary reach the
+driver, so what it holds is bounded in bytes, however long the texts are.
 
 Defined results: null and empty texts score by the bias alone; whole texts are read; repeated rows
 score alike; a null id counts as the empty text when folds are drawn; without positives that stand out
@@ -18,6 +20,7 @@ every score is 0; no rows give no rows. Extra columns are ignored; labels, lang,
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._runtime import id_crc, read_table
+from ._runtime import durable, id_crc, read_table
 
-#: Bounds of the samples that training sees (the corpus is always scored whole).
-MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
-VOCABULARY = 512
+#: Defaults of :func:`train`: texts in expectation that it fits on, and features (the corpus is always scored whole).
+MAX_POSITIVE, MAX_UNLABELLED, VOCABULARY = 4_000, 12_000, 512
 PREFIXES = (4, 5, 6)
 CACHE_WORDS = 400_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -69,45 +71,60 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def sample(rows: DataFrame, most: int, total: int, seed: int) -> DataFrame:
-    """``most`` of ``total`` rows in expectation (all, if fewer), by a hash of the id: the same rows at every run."""
+def sample(rows: DataFrame, most: int, total: int, seed: int, *by: str) -> DataFrame:
+    """``most`` of ``total`` rows in expectation (all, if fewer), by a hash of columns: the same rows at every run."""
     share = min(1.0, most / max(1, total))
-    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return rows.where(F.pmod(F.xxhash64(*by, F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
-def feature_ids(docs: DataFrame) -> list[np.ndarray]:
-    """Distinct feature hashes of each row's text; equal texts count once."""
+def feature_counts(texts: DataFrame, name: str) -> DataFrame:
+    """feature, and in how many texts it is."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_pydict({"feature": pa.array(list(n), pa.int64()), "n": pa.array(list(n.values()), pa.int64())})
+            n.clear()
+            return made
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.as_py() or "" for t in b.column("text")]
-            rows = [np.unique(np.array([f for w in word_set(t) for f in features(w)], "<u4")).tobytes() for t in texts]
-            yield pa.RecordBatch.from_pydict({"name": pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), "ids": pa.array(rows, pa.binary())})
+            for t in b.column("text"):
+                n.update({f for w in word_set(t.as_py()) for f in features(w)})
+                if len(n) > CACHE_WORDS:
+                    yield out()
+        if n:
+            yield out()
+
+    return texts.select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias(name))
 
-    distinct = {bytes(r[0]): bytes(r[1]) for r in docs.select("text").mapInArrow(hashed, "name binary, ids binary").toLocalIterator()}
-    return [np.frombuffer(x, "<u4") for _, x in sorted(distinct.items()) if x]
 
+def vocabulary_of(positive: DataFrame, unlabelled: DataFrame, n_p: int, n_u: int, most: int) -> np.ndarray:
+    """The features most surely commoner among positives, sorted."""
+    both = feature_counts(positive, "p").where(F.col("p") >= min(5, n_p)).join(feature_counts(unlabelled, "u"), "feature", "left").na.fill(0, ["u"])
+    p, u = F.col("p") / n_p, (F.col("u") + 0.5) / (n_u + 1)
+    pooled = (F.col("p") + F.col("u")) / (n_p + n_u)
+    z = (p - u) / F.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / max(1, n_u)) + 1e-12)
+    best = both.withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "feature").limit(most)
+    return np.sort(np.array([r["feature"] for r in best.select("feature").collect()], np.int64))
 
-def matrix(rows: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(rows), len(vocabulary)), np.float32)
-    for i, r in enumerate(rows):
-        at = np.searchsorted(vocabulary, r)
-        at[at == len(vocabulary)] = 0
-        out[i, at[vocabulary[at] == r]] = 1
-    return out
 
+def matrix(texts: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """One row of zeros and ones for each text, in an order that does not depend on the partitions."""
+    at = {int(f): i for i, f in enumerate(vocabulary)}
 
-def vocabulary_of(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int) -> np.ndarray:
-    """The words most surely commoner among positives, sorted by hash."""
-    words, n_p = np.unique(np.concatenate(positive), return_counts=True)
-    seen, n_u = np.unique(np.concatenate(unlabelled), return_counts=True)
-    at = np.minimum(np.searchsorted(seen, words), len(seen) - 1)
-    u = np.where(seen[at] == words, n_u[at], 0)
-    p_p, p_u = n_p / len(positive), (u + 0.5) / (len(unlabelled) + 1)
-    pooled = (n_p + u) / (len(positive) + len(unlabelled))
-    z = (p_p - p_u) / np.sqrt(pooled * (1 - pooled) * (1 / len(positive) + 1 / max(1, len(unlabelled))) + 1e-12)
-    keep = np.flatnonzero((n_p >= min(5, len(positive))) & (z > 3))
-    return np.sort(words[keep[np.argsort(-z[keep], kind="stable")[:most]]])
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column("text"):
+                bits = np.zeros(len(at), bool)
+                bits[[at[f] for w in word_set(t.as_py()) for f in features(w) if f in at]] = True
+                out.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_pydict({"bits": pa.array(out, pa.binary())})
+
+    found = sorted(bytes(r[0]) for r in texts.select("text").mapInArrow(rows, "bits binary").toLocalIterator())
+    packed = np.frombuffer(b"".join(found), np.uint8).reshape(len(found), -1)
+    return np.unpackbits(packed, axis=1, count=len(vocabulary)).astype(np.float32)
 
 
 def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
@@ -134,32 +151,32 @@ def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 300, rat
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, prior: float | None = None) -> Model:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, vocabulary: int = VOCABULARY) -> Model:
     """Fit on the rows whose id is not held out (``crc32(id) mod folds`` is 0).
 
     ``prior`` is the share of toxic texts; by default that among the labelled training rows.
+    ``max_positive`` and ``max_unlabelled`` bound the texts it fits on, in expectation.
     """
     usable = docs.where(id_crc("doc_id", folds) != 0).select("doc_id", "text").where(F.col("text").isNotNull())
-    toxic = labels.where(id_crc("doc_id", folds) != 0).where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    toxic = labels.where(id_crc("doc_id", folds) != 0).where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n_toxic, n_labelled = toxic.agg(F.count_if(F.col("toxic") == 1), F.count(F.lit(1))).first()
     if not n_toxic:
         return Model({}, 0.0)
     prior = prior if prior is not None else min(max(n_toxic / n_labelled, 1e-4), 0.9)
-    # Ids are sampled before their texts are fetched, so what is broadcast is bounded by the sample.
-    chosen = sample(toxic.where("toxic = 1").select("doc_id"), MAX_POSITIVE, n_toxic, 1)
-    p = feature_ids(usable.join(F.broadcast(chosen), "doc_id", "left_semi"))
-    u = feature_ids(sample(usable, MAX_UNLABELLED, usable.count(), 2))
-    if not p or not u:
-        return Model({}, 0.0)
-    vocabulary = vocabulary_of(p, u, VOCABULARY)
-    if not len(vocabulary):
+    # Ids are sampled before their texts are fetched, so what is broadcast is bounded by the sample. Equal texts count once.
+    chosen = sample(toxic.where("toxic = 1").select("doc_id"), max_positive, n_toxic, 1, "doc_id")
+    positive = durable(usable.join(F.broadcast(chosen), "doc_id", "left_semi").select("text").distinct())
+    unlabelled = durable(sample(usable, max_unlabelled, usable.count(), 2, "doc_id", "text").select("text").distinct())
+    n_p, n_u = positive.count(), unlabelled.count()
+    words = vocabulary_of(positive, unlabelled, n_p, n_u, vocabulary) if n_p and n_u else ()
+    if not len(words):
         return Model({}, 0.0)
-    w, bias = fit_nnpu(matrix(p, vocabulary), matrix(u, vocabulary), prior)
-    return Model(dict(zip(vocabulary.tolist(), w.tolist(), strict=True)), bias)
+    w, bias = fit_nnpu(matrix(positive, words), matrix(unlabelled, words), prior)
+    return Model(dict(zip(words.tolist(), w.tolist(), strict=True)), bias)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score of every row. What is broadcast is at most ``VOCABULARY`` numbers."""
+    """doc_id, score of every row. What is broadcast is at most as many numbers as the vocabulary has features."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

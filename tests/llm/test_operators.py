@@ -351,6 +351,33 @@ def test_toxicity_held_out(spark):
     assert {x["doc_id"] for x in kept.select("doc_id").collect()} == {i for i, s in got.items() if s < 0.5}
 
 
+def test_risk_and_its_minimum(monkeypatch):
+    """The corrected risk is computed anew here; what the fit finds is a minimum of it."""
+    r = np.random.default_rng(3)
+    xp, xu = (r.random((n, 6)) < q for n, q in ((300, [0.6, 0.5, 0.1, 0.1, 0.2, 0.3]), (900, [0.1, 0.1, 0.1, 0.2, 0.2, 0.3])))
+    xp, xu, prior = xp.astype(np.float32), xu.astype(np.float32), 0.15
+
+    def risk(w, b):
+        zp, zu = xp @ w + b, xu @ w + b
+        positive, negative = np.log1p(np.exp(-zp)).mean(), np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
+        return prior * positive + max(0.0, negative) + 0.5 * (0.2 / len(xp)) * (w**2).sum(), negative
+
+    w, b = toxicity.fit_nnpu(xp, xu, prior, steps=3000, rate=0.02)
+    least, negative = risk(w, b)
+    assert negative > 0
+    for i in range(7):
+        for step in (-0.05, 0.05):
+            v = w + step * (np.arange(6) == i)
+            assert risk(v, b + step * (i == 6))[0] >= least - 1e-5
+    assert risk(np.zeros(6), np.log(prior / (1 - prior)))[0] > least
+
+
+def test_toxicity_samples_by_row(spark):
+    df = docs_of(spark, [(None, f"text {i}", "s") for i in range(4000)])
+    n = toxicity.sample(df, 1000, 4000, 2, "doc_id", "text").count()
+    assert 850 < n < 1150
+
+
 def test_toxicity_bears_awkward_rows(spark):
     df = awkward(spark)
     none = toxicity.train(df, spark.createDataFrame([(1, None), (2, 0)], "doc_id long, toxic int"))
