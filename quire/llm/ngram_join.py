@@ -38,7 +38,7 @@ GRAM, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 HASHES = 96
 STEP_HASHES = 16
-BLOCK = 1024
+BLOCK = 512
 TOLERANCE = 1e-6
 SEED = 20240229
 
