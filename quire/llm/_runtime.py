@@ -75,7 +75,8 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator
 
 
 #: A key that holds more than this share of the rows is joined by broadcast: at most 1 / share such keys exist.
-HOT_SHARE = 1e-4
+#: So few rows as ``HOT_ROWS`` may meet in one task.
+HOT_SHARE, HOT_ROWS = 1e-4, 10_000
 
 
 def join_unique(rows: DataFrame, table: DataFrame, on: list[str], times: DataFrame | None = None) -> DataFrame:
@@ -85,11 +86,13 @@ def join_unique(rows: DataFrame, table: DataFrame, on: list[str], times: DataFra
     large share of the rows, whose number is bounded by that share, are broadcast; the others meet
     their row by shuffle, at most that share of the rows in one task.
     """
-    counted = times if times is not None else rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = counted.where(F.col("n") > max(total * HOT_SHARE, 1_000)).select(*on)
     columns = [*rows.columns, *(c for c in table.columns if c not in on)]
-    if hot.isEmpty():
+    if times is None:
+        total, counted = rows.count(), rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    else:
+        total, counted = times.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], times
+    hot = counted.where(F.col("n") > max(total * HOT_SHARE, HOT_ROWS)).select(*on)
+    if total <= HOT_ROWS or hot.isEmpty():
         return rows.join(table, on).select(*columns)
     hot = durable(hot)
     few = F.broadcast(durable(table.join(F.broadcast(hot), on, "left_semi")))

@@ -43,23 +43,34 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     """One row per conversation: conv_id, formatted.
 
     Turns are gathered in two steps, so the rows of one long conversation are first combined by
-    many tasks. The whole formatted text is one value, as the format asks.
+    many tasks. In pieces of ``PIECE_TURNS`` an array aggregation merges adjacent turns of one role
+    (its cost follows the square of a piece, not of a conversation); where a piece goes on with the
+    last one's role, the block stays open. The whole formatted text is one value, as the format asks.
     """
     rows = turns.select(
         F.col(conv).alias("conv_id"),
         F.floor(F.col(turn) / PIECE_TURNS).alias("piece"),
         F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("t"),
     )
-    pieces = rows.groupBy("conv_id", "piece").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    whole = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("piece", "ts"))).alias("ps"))
-    ordered = whole.select("conv_id", F.flatten(F.transform("ps", lambda p: p["ts"])).alias("ts"))
 
-    def opened(t: Column, i: Column) -> Column:
-        before = F.get(F.col("ts"), i - 1)["role"]
-        start = F.concat(F.lit(START), escaped_role(t["role"]), F.lit("\n"))
-        return F.concat(F.when(i == 0, start).when(before == t["role"], F.lit(SEP)).otherwise(F.concat(F.lit(END), start)), escaped(t["text"]))
+    def merge(blocks: Column, t: Column) -> Column:
+        last = F.get(blocks, F.size(blocks) - 1)
+        grown = F.struct(t["role"].alias("role"), F.concat(last["body"], F.lit(SEP), escaped(t["text"])).alias("body"))
+        new = F.struct(t["role"].alias("role"), escaped(t["text"]).alias("body"))
+        goes_on = F.coalesce(last["role"] == t["role"], F.lit(False))
+        return F.when(goes_on, F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), F.array(grown))).otherwise(F.concat(blocks, F.array(new)))
 
-    return ordered.select("conv_id", F.concat(F.array_join(F.transform("ts", opened), ""), F.lit(END)).alias("formatted"))
+    none = F.array().cast("array<struct<role:string,body:string>>")
+    pieces = rows.groupBy("conv_id", "piece").agg(F.sort_array(F.collect_list("t")).alias("ts")).select("conv_id", "piece", F.aggregate("ts", none, merge).alias("bs"))
+    whole = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("piece", "bs"))).alias("ps"))
+    ordered = whole.select("conv_id", F.flatten(F.transform("ps", lambda p: p["bs"])).alias("bs"))
+
+    def opened(b: Column, i: Column) -> Column:
+        before = F.get(F.col("bs"), i - 1)["role"]
+        start = F.concat(F.lit(START), escaped_role(b["role"]), F.lit("\n"))
+        return F.concat(F.when(i == 0, start).when(before == b["role"], F.lit(SEP)).otherwise(F.concat(F.lit(END), start)), b["body"])
+
+    return ordered.select("conv_id", F.concat(F.array_join(F.transform("bs", opened), ""), F.lit(END)).alias("formatted"))
 
 
 def read_back(formatted: Column) -> Column:

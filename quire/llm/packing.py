@@ -13,6 +13,7 @@ ignored. ``sequence_id`` numbers sequences inside a group, the group in the high
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from array import array
@@ -37,6 +38,17 @@ PLAIN, RUNS = re.compile(f"[{LATIN}{SIGNS}]+"), re.compile(f"[{LATIN}]+|[{SIGNS}
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTES = [chr(b) if b in PRINTABLE else chr(256 + sum(x not in PRINTABLE for x in range(b))) for b in range(256)]
 NOT_SPACE = frozenset("\x1c\x1d\x1e\x1f")
+# The tokenizer settings for which words may be encoded alone and letter runs in lower case.
+WORDS_APART = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -45,13 +57,17 @@ class WordIds(dict):
 
     The tokenizer's pattern never crosses white space, so words are encoded alone. Words of Latin
     letters and ASCII punctuation without apostrophes are cut where the pattern cuts them, so that
-    a letter run is encoded once whatever its case and the punctuation around it.
+    a letter run is encoded once whatever its case and the punctuation around it. That holds for
+    tokenizers with the settings ``WORDS_APART``; with any others whole texts are encoded.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        self.apart = all(settings[k] == v for k, v in WORDS_APART.items()) and settings["model"]["type"] == "BPE" and not settings["model"].get("dropout")
         self.tokenize = self.tokenizer.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
@@ -80,7 +96,7 @@ class WordIds(dict):
 
     def of(self, text: str) -> bytes:
         # split() cuts at some characters where the tokenizer doesn't; its special tokens are found in whole texts.
-        if not NOT_SPACE.isdisjoint(text) or any(x in text for x in self.special):
+        if not self.apart or not NOT_SPACE.isdisjoint(text) or any(x in text for x in self.special):
             return self.encoded(text)
         return b"".join(map(self.__getitem__, text.split()))
 

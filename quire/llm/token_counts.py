@@ -9,6 +9,11 @@ UTF-8 bytes where the vocabulary falls back to bytes, else a run of them is one
 
 A word always gives the same count, so workers keep counts of words in a bounded cache.
 
+No unigram vocabulary is at hand and tokenizers are not trained here. ``zipf`` makes one of a merge
+vocabulary: its pieces in order of merging are in order of frequency, nearly, so by Zipf's law the piece
+of rank r has a probability proportional to 1 / r. Texts are taken as they are; a model's own
+normaliser is not applied.
+
 Defined results: words are runs of ``[^\\x20\\x09-\\x0D]``; a null, empty or white text has 0 tokens
 and score 0; repeated rows count alike; a null id keeps its row; no rows give no rows. Extra columns
 are ignored.
@@ -16,6 +21,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import ahocorasick
@@ -39,6 +45,13 @@ def pieces_of(model_path: str) -> list[tuple[str, float]]:
     return [(m.id_to_piece(i), m.get_score(i)) for i in plain if m.get_score(i) > -1e8]
 
 
+def zipf(pieces: list[tuple[str, float]]) -> list[tuple[str, float]]:
+    """Pieces of a merge vocabulary (scores fall with the rank) with log probabilities after their ranks."""
+    ranked = sorted(pieces, key=lambda x: -x[1])
+    total = math.log(sum(1 / r for r in range(1, len(ranked) + 1)))
+    return [(piece, -math.log(r) - total) for r, (piece, _) in enumerate(ranked, 1)]
+
+
 class Viterbi(dict):
     """word -> (tokens, unknown characters, score)."""
 
@@ -110,4 +123,4 @@ def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], byte_fallback
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return count_tokens(read_table(spark, sf_dir, "documents"), pieces_of(public_tokenizers.path("piece_bpe_32k.model")))
+    return count_tokens(read_table(spark, sf_dir, "documents"), zipf(pieces_of(public_tokenizers.path("piece_bpe_32k.model"))))

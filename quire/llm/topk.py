@@ -18,6 +18,7 @@ id; a query with fewer candidates gets all. Extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._runtime import durable, read_table
+from ..runtime import ensure_folder
+from ._runtime import durable, partitions, read_table
 
 BINS = 256
 
+
 def integral(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
     """row, id, v: components floored to integers, unusable vectors left out."""
     v = F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * scale).cast("double"))
@@ -58,7 +61,9 @@ def packed(rows: DataFrame, block_bytes: int) -> DataFrame:
                 m = np.stack([flat[at[i] : at[i] + dim] for i in part])
                 yield pa.RecordBatch.from_pydict({"block": [int(block[part[0]])], "dim": pa.array([dim], pa.int32()), "ids": [ids[part].astype("<i8").tobytes()], "vs": [m.astype("<f8").tobytes()]})
 
-    return dealt.repartition(min(blocks, 4096), "block").mapInArrow(pack, "block long, dim int, ids binary, vs binary")
+    # Beyond 4096 blocks tasks take several, one after the other, as many tasks as the session shuffles to.
+    tasks = min(blocks, max(4096, partitions(rows.sparkSession)))
+    return dealt.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(pack, "block long, dim int, ids binary, vs binary")
 
 
 def scored(q_ids: bytes, q_vs: bytes, c_ids: bytes, c_vs: bytes, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,18 +80,20 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_
     """query_id, rank, vec_id, score: the ``k`` highest inner products of each query.
 
     ``at_once`` blocks of ``query_bytes`` are broadcast at a time (a fixed bound), so candidates
-    are never shuffled; the loop runs over such sets of query blocks.
+    are never shuffled; the loop runs over such sets of query blocks. Each set's rows are written to
+    the shared folder, so that the plan does not grow with the number of sets.
     """
+    spark = queries.sparkSession
+    ensure_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/quire-topk-{uuid.uuid4().hex}"
     q_blocks = durable(packed(integral(queries, id_col, vec_col, scale), query_bytes).withColumn("q", F.monotonically_increasing_id()))
     c_blocks = durable(packed(integral(candidates, id_col, vec_col, scale), block_bytes))
     top = c_blocks.mapInArrow(longest, "reach double").agg(F.max("reach")).first()[0] or 0.0
     numbers = sorted(r[0] for r in q_blocks.select("q").toLocalIterator())  # one number for each block
-    found = None
     for first in range(0, max(1, len(numbers)), at_once):
         some = q_blocks.where(F.col("q").isin(numbers[first : first + at_once]))
-        part = top_k_of(some, c_blocks, k, top)
-        found = part if found is None else found.unionByName(part)
-    return found
+        top_k_of(some, c_blocks, k, top).write.parquet(f"{path}/first={first}")
+    return spark.read.schema("query_id long, rank int, vec_id long, score long, first long").parquet(path).drop("first")
 
 
 def top_k_of(q_blocks: DataFrame, c_blocks: DataFrame, k: int, top: float) -> DataFrame:
@@ -114,7 +121,7 @@ def top_k_of(q_blocks: DataFrame, c_blocks: DataFrame, k: int, top: float) -> Da
     hits = jobs(c_blocks, q_blocks, state).mapInArrow(lambda it: hits_in(it, k), "query_row long, query_id long, vec_id long, score long")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return durable(ranked.select("query_id", "rank", "vec_id", "score"))
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def query_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

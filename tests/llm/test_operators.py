@@ -269,6 +269,17 @@ def test_packing_round_trip(spark):
     assert len(used) <= 1.12 * math.ceil(total / 256) + 1
 
 
+def test_packing_encodes_as_other_tokenizers_do(spark):
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    texts = ["Big Words  and\n spaces", "naïve Größe 漢字", None, ""]
+    whole = Tokenizer.from_file(path)
+    for x in packing.pack(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]), path).collect():
+        ids = [*whole.encode(texts[x["doc_id"]] or "", add_special_tokens=False).ids, 0]
+        assert (x["length"], x["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_open_bins_close_the_fullest_first():
     bins = packing.OpenBins(10, 2)
     assert [bins.put(n) for n in (6, 7, 5)] == [(0, 0), (1, 0), (2, 0)]  # bin 1 (7 of 10) closes
@@ -466,6 +477,71 @@ def test_pii_whole_words_at_the_edges_count(spark):
     assert spans[0] == [(0, 4)] and spans[50] == [(20, 25)]
 
 
+def test_pii_statistics_equal_brute_force(spark):
+    r = random.Random(21)
+    words = [f"w{'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]}" for i in range(100)]
+    mails = [f"m{i}@x.org" for i in range(12)]
+    texts = []
+    for i in range(150):
+        t = [r.choice(words) for _ in range(r.randint(2, 40))]
+        if i % 3 == 0:
+            k = r.randrange(12)
+            t[r.randrange(len(t))] = f"{words[k]} {mails[k]} {r.choice(words[:20])} near"
+        texts.append(" ".join(t))
+    texts += texts[:20] + [None]
+    docs = pii.with_key(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]), "doc_id", "text")
+    found = pii.found_in(docs, 30)
+    terms_in = lambda t: re.findall(r"[^\W\d_]+", t or "")
+    n, both, near, kind, entities = Counter(), Counter(), Counter(), Counter(), defaultdict(set)
+    for t in texts:
+        n.update(terms_in(t))
+    for x in found.collect():
+        for c in x["contexts"] or ():
+            near[c["entity"]] += len(terms_in(c["around"]))
+            for w in set(terms_in(c["around"])):
+                both[c["entity"], w] += 1
+                kind[w] += 1
+                entities[w].add(c["entity"])
+    total, want = sum(n.values()), {}
+    for level in ("one", "kind"):
+        for key, k in (both if level == "one" else kind).items():
+            w, e = (key[1], key[0]) if level == "one" else (key, None)
+            if level == "kind" and len(entities[w]) < 3:
+                continue
+            prior = min(max(near[e] if e else sum(near.values()), 1) / total, 1.0)
+            p = (min(k, n[w]) + 1.0 * prior) / (n[w] + 1.0)
+            if p >= 0.5 and math.log2(p / prior) >= 1.0:
+                old = want.get(w, (False, 0.0))
+                want[w] = (old[0] or level == "one", max(old[1], p))
+    got = {x["term"]: (x["alone"], x["p"]) for x in pii.disclosing_terms(docs, found, 3, 0.5, 1.0, 1.0).collect()}
+    assert want and set(got) == set(want)
+    for w, (alone, p) in want.items():
+        assert got[w][0] == alone and got[w][1] == pytest.approx(p, rel=1e-9)
+
+
+def test_pii_terms_of_a_kind(spark):
+    rows = [(i, f"{'abcdefgh'[i] * 2} Kontaktadresse m{i}@x.org", "s") for i in range(8)] + [(100 + i, f"word number {i}", "s") for i in range(300)]
+    found = {x["doc_id"]: x for x in pii.find_pii(docs_of(spark, rows)).collect()}
+    assert [(s["start"], s["end"], s["alone"]) for s in found[0]["term_spans"]] == [(3, 17, False)]
+    assert {x["doc_id"]: x["sanitised"] for x in pii.sanitise(docs_of(spark, rows)).collect()}[0] == "aa [TERM] [EMAIL]"
+
+
+def test_pii_many_spans_in_one_text(spark):
+    text = " ".join(f"a{i}@b.org" for i in range(3000)) + " Zorblax " * 700
+    row = pii.find_pii(docs_of(spark, [(1, text, "s"), (2, "", "s")])).where("doc_id = 1").first()
+    assert [(s["start"], s["end"]) for s in row["spans"]] == [m.span() for m in re.finditer(r"\S+@\S+", text)]
+    clean = pii.sanitise(docs_of(spark, [(1, text, "s"), (2, "", "s")])).where("doc_id = 1").first()["sanitised"]
+    assert clean.startswith(" ".join(["[EMAIL]"] * 3000)) and "@" not in clean
+
+
+def test_pii_and_chat_are_expressions_only(spark, tmp_path):
+    awkward(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    for query in (pii.op7_pii, chat.op5_chat_formatting, dedup.op10_exact_dedup):
+        plan = query(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Arrow|Pandas", plan)
+
+
 # language model -------------------------------------------------------------------------------
 
 
@@ -615,6 +691,12 @@ def test_token_counts_equal_the_tokenizer(spark):
 
     model = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
     pieces = token_counts.pieces_of(model)
+    ranked = token_counts.zipf(pieces)
+    assert sum(math.exp(p) for _, p in ranked) == pytest.approx(1) and ranked[0][1] - ranked[9][1] == pytest.approx(math.log(10))
+    like = Tokenizer(models.Unigram([("<unk>", 0.0), *ranked], unk_id=0, byte_fallback=False)).model
+    by_rank = token_counts.Viterbi(ranked, byte_fallback=False)
+    for w in ("hello", "international", "Größe", "1234567", "aaaaaaaaaaaa", "漢字かな"):
+        assert by_rank[w][0] == len(like.tokenize(token_counts.MARK + w)), w
     unigram = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces], unk_id=0, byte_fallback=False)).model
     r = random.Random(12)
     words = ["hello", "Größe", "naïve", "漢字かな", "\U0001f600x", "aaaaaaaaaaaa", "1234567", "don't"] + ["".join(r.choice("abcdeéß漢 ͸"[:9]) for _ in range(r.randint(1, 12))) for _ in range(300)]
