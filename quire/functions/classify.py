@@ -86,6 +86,12 @@ def rule(text: Column) -> Column:
     return first_of([(text.rlike("(?i)" + p), F.struct(F.lit(k).alias("type"), F.lit(float(c)).alias("confidence"))) for p, k, c in RULES])
 
 
+def ruled(text: Column, source: str, base: float | None = None) -> Column:
+    """The first rule that a text matches as evidence, null if none does: one ladder, tried once. With
+    ``base`` a source's confidence counts first and the rule's only among equals."""
+    return first_of([(text.rlike("(?i)" + p), evidence(k, source, float(c) if base is None else base + c / 100)) for p, k, c in RULES])
+
+
 def last_token(text: Column) -> Column:
     return F.substring_index(F.substring_index(F.lower(text), "#", -1), ":", -1)
 
@@ -113,9 +119,7 @@ def file_name_evidence(item_id: Column, href: Column, title: Column, index_befor
     cases = [(low.rlike(COVER_NAME) | (F.trim(title) == "."), evidence("cover", "filename", 0.65))]
     cases += [(low.rlike(p), evidence(k, "filename", c)) for p, k, c in FILE_NAMES]
     cases += [(low.rlike(INDEX_NAME) & index_before, evidence("index", "filename", 0.6))]
-    by_rule = rule(name)
-    cases += [(by_rule.isNotNull(), evidence(by_rule["type"], "filename", by_rule["confidence"]))]
-    return first_of(cases)
+    return F.coalesce(first_of(cases), ruled(name, "filename"))
 
 
 def classified(title: Column, item_id: Column, href: Column, properties: Column, landmark: Column, nav: Column, guide: Column, ncx: Column, heading: Column, book_title: Column, index_before: Column) -> Column:
@@ -125,13 +129,12 @@ def classified(title: Column, item_id: Column, href: Column, properties: Column,
     """
     by_property = F.array_min(F.filter(F.transform(properties, lambda p: property_type(last_token(p))), lambda x: x.isNotNull()))
     labels = {"landmark": landmark, "nav": nav, "guide": guide, "ncx": ncx}
-    cases = [(by_property.isNotNull(), evidence(by_property, "epub:type", 0.95))]
-    cases += [(label_type(labels[s]).isNotNull(), evidence(label_type(labels[s]), s, c)) for s, c in SOURCES]
-    cases += [(numbered(x), evidence("chapter", s, 0.82)) for s, x in (("nav", nav), ("ncx", ncx), ("title", title), ("heading", heading))]
-    cases += [(rule(labels[s]).isNotNull(), evidence(rule(labels[s])["type"], s, F.lit(c) + rule(labels[s])["confidence"] / 100)) for s, c in SOURCES]
-    cases += [(rule(x).isNotNull(), evidence(rule(x)["type"], "heading", rule(x)["confidence"])) for x in (title, heading)]
-    by_file = file_name_evidence(item_id, href, title, index_before)
     clean = F.trim(title)
     unnamed = (clean == "") | (clean == ".") | (F.lower(clean) == F.lower(F.trim(book_title)))
-    cases += [(by_file.isNotNull(), by_file), (F.coalesce(unnamed, F.lit(False)), evidence("other", "filename", 0.35))]
-    return F.coalesce(first_of(cases), evidence("chapter", "spine", 0.4))
+    told = [F.when(by_property.isNotNull(), evidence(by_property, "epub:type", 0.95))]
+    told += [F.when(label_type(labels[s]).isNotNull(), evidence(label_type(labels[s]), s, c)) for s, c in SOURCES]
+    told += [F.when(numbered(x), evidence("chapter", s, 0.82)) for s, x in (("nav", nav), ("ncx", ncx), ("title", title), ("heading", heading))]
+    told += [ruled(labels[s], s, c) for s, c in SOURCES]
+    told += [ruled(x, "heading") for x in (title, heading)]
+    told += [file_name_evidence(item_id, href, title, index_before), F.when(unnamed, evidence("other", "filename", 0.35))]
+    return F.coalesce(*told, evidence("chapter", "spine", 0.4))

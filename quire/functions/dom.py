@@ -1,6 +1,7 @@
 """A small forgiving document tree on the standard library, and its rows.
 
-One pass of ``html.parser`` builds the tree: void elements never hold children, and an opening tag
+What says that it is XHTML and is well-formed is read as XML. All else goes through one pass of
+``html.parser``: void elements never hold children, and an opening tag
 that cannot stand inside the open one (``p``, ``li``, ``dt``/``dd``, table parts, ``option``) closes
 it first. Nothing is fetched and no entity is expanded beyond characters. On malformed markup the
 tree is this builder's own; other parsers recover in other ways.
@@ -8,8 +9,11 @@ tree is this builder's own; other parsers recover in other ways.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Generator, Iterator
+from html.entities import html5 as NAMED
 from html.parser import HTMLParser
+from xml.parsers import expat
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -18,6 +22,10 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "thead": {"tr", "td", "th", "thead", "tbody"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}, "option": {"option"},
 }
+#: What tells XHTML from HTML; names that XML itself knows; a declaration's encoding, void once text is decoded.
+XHTML = re.compile(r"""<\?xml\s|xmlns\s*=\s*["']http://www\.w3\.org/1999/xhtml""")
+XML_NAMES = frozenset({"amp", "lt", "gt", "quot", "apos"})
+DECLARED = re.compile(r"^\s*<\?xml[^>]*\?>")
 #: Tags past which implied closing does not look.
 SCOPES = frozenset("ul ol dl table body html div section article td th".split())
 
@@ -111,12 +119,46 @@ class Builder(HTMLParser):
 def parse(markup: str | bytes | None) -> Node:
     if isinstance(markup, (bytes, bytearray)):
         markup = bytes(markup).decode("utf-8", "replace")
+    if markup and XHTML.search(markup):
+        tree = parse_xml(markup)
+        if tree is not None:
+            return tree
     try:
         return built(markup or "")
     except AssertionError:  # the library gives up on some declarations; as text they harm nobody
         return built((markup or "").replace("<!", "&lt;!"))
 
 
+def parse_xml(markup: str | bytes) -> Node | None:
+    """The tree of well-formed XML, or null: local tag names, attributes as written. Named characters of
+    HTML are known; entities that a document declares are refused, so nothing outside is ever read."""
+    root = Node("#document")
+    open_nodes = [root]
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+
+    def start(tag: str, attrs: dict) -> None:
+        node = Node(tag.rpartition(":")[2], dict(attrs), open_nodes[-1])
+        open_nodes[-1].children.append(node)
+        open_nodes.append(node)
+
+    def refused(*_: object) -> None:
+        raise ValueError("entity declarations are refused")
+
+    parser.StartElementHandler = start
+    parser.EndElementHandler = lambda tag: open_nodes.pop()
+    parser.CharacterDataHandler = lambda data: open_nodes[-1].children.append(data)
+    parser.EntityDeclHandler = refused
+    if isinstance(markup, str):
+        known = lambda m: m[0] if m[1] in XML_NAMES else NAMED.get(m[1] + ";", m[0])
+        markup = DECLARED.sub("", re.sub(r"&([A-Za-z][A-Za-z0-9]*);", known, markup)).encode("utf-8", "replace")
+    try:
+        parser.Parse(markup, True)
+    except (expat.ExpatError, ValueError, LookupError):
+        return None
+    return root
+
+
 def built(markup: str) -> Node:
     builder = Builder()
     builder.feed(markup)

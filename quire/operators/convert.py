@@ -210,7 +210,8 @@ def convert(archives: DataFrame, strict: bool = False, recovered: DataFrame | No
     found in them; an ``analyser`` is asked for it here.
     """
     members = settled(E.members(archives, media=False))
-    media = E.members(archives, media=True)
+    # Pictures from the archives again; SVG and oddly named ones are among what was kept.
+    media = E.members(archives, media=True).unionByName(members.where("content IS NOT NULL"))
     faults = E.archive_issues(members)
     usable = E.without_drm(members)
     present = usable.where("readable AND member IS NOT NULL").select(KEY, F.col("member").alias("href"))

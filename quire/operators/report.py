@@ -44,10 +44,10 @@ def strict(issues: DataFrame) -> DataFrame:
     return issues.withColumn("severity", F.when(promoted, "error").otherwise(F.col("severity")))
 
 
-def visible(issues: DataFrame, verbose: bool = False, quiet: bool = False) -> DataFrame:
-    """Issues a console shows: warnings and worse; all if verbose; errors and worse if quiet."""
-    least = 1 if verbose else 4 if quiet else 3
-    return issues.where(rank(F.col("severity")) >= least)
+def visible(issues: DataFrame, verbose: bool = False, debug: bool = False) -> DataFrame:
+    """Issues a console shows: errors and worse; warnings if verbose, what is less if debug."""
+    n = rank(F.col("severity"))
+    return issues.where((n >= 4) | (F.lit(verbose) & (n == 3)) | (F.lit(debug) & (n < 3)))
 
 
 def stats(events: DataFrame, book: str = "book_id") -> DataFrame:

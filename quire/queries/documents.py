@@ -29,12 +29,10 @@ def dom_node_rows(t):
 
 
 @query("dom_tag_counts", """
-SELECT page_id, tag, count(*) AS n FROM (
-  SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<body>.*</article>'), '<(a|h1|li|article|footer)[ >]', 1)) AS tag FROM pages
-) GROUP BY page_id, tag
+SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<(a|h1|li|article|footer)[ >]', 1)) AS tag FROM pages) GROUP BY page_id, tag
 """)
 def dom_tag_counts(t):
-    nodes = D.dom_nodes(t["pages"].select("page_id", F.regexp_extract("html", "(?s)<body>.*</article>", 0).alias("html")), "page_id", "html")
+    nodes = D.dom_nodes(t["pages"], "page_id", "html")
     return nodes.where(F.col("tag").isin("a", "h1", "li", "article", "footer")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -96,17 +94,53 @@ def frontmatter(t):
     return t["pages"].select("page_id", made.alias("frontmatter"))
 
 
-@query("page_anchors")
+NL = "chr(10)"
+PARTS = f"""
+'# Title ' || CAST(page_id AS varchar) || ' & more' || {NL} || {NL} || 'One  ' || {NL} || 'two' || {NL} || {NL} || CASE WHEN page_id % 2 = 0 THEN '%s## Second' || {NL} || {NL} || 'Text **bold**' || {NL} || {NL} ELSE '' END
+  || 'Third ' || CAST(page_id % 7 AS varchar) || {NL} || {NL} || '- x' || {NL} || '- y' || {NL}
+"""
+
+
+@query("template_markdown", f"SELECT page_id, 'Title ' || CAST(page_id AS varchar) || ' & more' AS title, {PARTS.replace('%s', '')} AS markdown FROM ({DUCK})")
+def template_markdown(t):
+    return D.titled_markdown(t.sql(SPARK), "page_id", "html")
+
+
+ODD = ((1, -1, 1, 1, "script", "x()"), (2, -1, 1, 2, "div", "T & moreOnetwo"), (3, 2, 2, 2, "h1", "T & more"), (4, 2, 2, 2, "p", "Onetwo"), (5, 4, 3, 2, "br", ""))
+EVEN = ((6, -1, 1, 3, "section", "SecondText bold"), (7, 6, 2, 3, "h2", "Second"), (8, 6, 2, 3, "p", "Text bold"), (9, 8, 3, 3, "b", "bold"), (10, 6, 2, 3, "iframe", ""))
+LAST = ((6, -1, 1, 3, "p", "Third k"), (7, -1, 1, 4, "ul", "xy"), (8, 7, 2, 4, "li", "x"), (9, 7, 2, 4, "li", "y"))
+VALUES = lambda rows: ", ".join(map(str, rows))
+TEXT = "replace(replace(text, 'T &', 'Title ' || CAST(page_id AS varchar) || ' &'), 'Third k', 'Third ' || CAST(page_id % 7 AS varchar))"
+
+
+@query("template_nodes", f"""
+WITH r AS (
+  SELECT page_id, v.* FROM ({DUCK}), (VALUES {VALUES(ODD)}) v(node_id, parent_id, depth, block, tag, text)
+  UNION ALL SELECT page_id, v.* FROM ({DUCK}), (VALUES {VALUES(EVEN)}) v(node_id, parent_id, depth, block, tag, text) WHERE page_id % 2 = 0
+  UNION ALL SELECT page_id, node_id + m, CASE parent_id WHEN -1 THEN -1 ELSE parent_id + m END, depth, block + m // 5, tag, text
+    FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 5 ELSE 0 END AS m FROM ({DUCK})), (VALUES {VALUES(LAST)}) v(node_id, parent_id, depth, block, tag, text)
+) SELECT page_id, CAST(node_id AS INTEGER) AS node_id, CAST(parent_id AS INTEGER) AS parent_id, CAST(depth AS INTEGER) AS depth, CAST(block AS INTEGER) AS block, tag, {TEXT} AS text FROM r
+""")
+def template_nodes(t):
+    return D.dom_nodes(t.sql(SPARK), "page_id", "html").select("page_id", "node_id", "parent_id", "depth", "block", "tag", "text")
+
+
+@query("page_anchors", f"""
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'src-p-a,src-p-s2' ELSE 'src-p-a' END AS anchors, '<a id="src-p-a"></a>' || {NL} || {NL} || {PARTS.replace('%s', '<a id="src-p-s2"></a>')} AS markdown FROM ({DUCK})
+""")
 def page_anchors(t):
     from ..functions.render import render
 
     anchored = D.per_document(t.sql(SPARK), "page_id", "html", "markdown string", lambda m: [(render(m, "p.xhtml", {"a": "src-p-a", "s2": "src-p-s2"}),)])
-    return anchored.select("page_id", F.regexp_extract_all("markdown", F.lit('<a id="([^"]*)"></a>'), F.lit(1)).alias("anchors"), "markdown")
+    return anchored.select("page_id", F.array_join(F.regexp_extract_all("markdown", F.lit('<a id="([^"]*)"></a>'), F.lit(1)), ",").alias("anchors"), "markdown")
 
 
-@query("sanitize_rich")
+@query("sanitize_rich", """
+SELECT page_id, '<p>a <a>' || CAST(page_id AS varchar) || '</a> tail<b dir="rtl">x &lt; y</b></p><ruby>z<rt>r</rt></ruby><img src="i.png"/><a href="mailto:q@r">m</a>' AS html FROM pages
+""")
 def sanitize_rich(t):
-    return D.sanitised(t["pages"], "page_id", "html")
+    markup = F.concat(F.lit('<body><p onclick="x()" style="s">a <a href="javascript:x">'), F.col("page_id").cast("string"), F.lit('</a><script>x</script> tail<b dir="rtl">x &lt; y</b></p><applet>gone</applet><ruby onload="o">z<rt dir="up">r</rt></ruby><img src="i.png"><a href="mailto:q@r" srcdoc="s">m</a></body>'))
+    return D.sanitised(t["pages"].select("page_id", markup.alias("html")), "page_id", "html")
 
 
 @query("svg_sanitize", """
@@ -119,9 +153,9 @@ def svg_sanitize(t):
     return t["pages"].select("page_id", cleaned_svg(raw.cast("binary")).cast("string").alias("svg"))
 
 
-@query("footnote_render")
+@query("footnote_render", """
+SELECT page_id, 'Text [^note-r' || CAST(page_id AS varchar) || '].' || chr(10) || chr(10) || '[^note-r' || CAST(page_id AS varchar) || ']: Note ' || CAST(page_id AS varchar) || chr(10) AS markdown FROM pages
+""")
 def footnote_render(t):
     doc = F.concat(F.lit('<p>Text <a id="r'), F.col("page_id"), F.lit('" epub:type="noteref" href="#n">1</a>.</p><aside id="n" epub:type="footnote">Note '), F.col("page_id"), F.lit("</aside>"))
     return D.markdown(t["pages"].select("page_id", doc.alias("html")), "page_id", "html")
-
-

@@ -9,13 +9,29 @@ SECTIONS = "SELECT o_custkey AS book_id, o_orderkey AS `order`, concat('sec-', c
 
 
 @query("book_manifest", """
-SELECT c_custkey AS book_id, c_name AS title, count(o_orderkey) AS sections, coalesce(string_agg('sec-' || CAST(o_orderkey AS varchar), ',' ORDER BY o_orderkey), '') AS ids FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name
+WITH s AS (SELECT o_custkey, count(*) AS n, string_agg('sec-' || CAST(o_orderkey AS varchar), ',' ORDER BY o_orderkey) AS ids, string_agg('content/' || CAST(o_orderkey AS varchar) || '.md', ',' ORDER BY o_orderkey) AS paths, sum(o_orderkey % 10) AS tenths FROM orders GROUP BY 1),
+a AS (SELECT o_custkey, string_agg(href, ',' ORDER BY href) AS held FROM (SELECT DISTINCT o_custkey, 'i/' || CAST(o_orderkey % 3 AS varchar) || '.png' AS href FROM orders) GROUP BY 1)
+SELECT c_custkey AS book_id, c_name AS title, CASE WHEN c_custkey % 2 = 0 THEN 'en' END AS language, c_mktsegment AS authors, 'urn:' || CAST(c_custkey AS varchar) AS identifiers, CASE WHEN c_custkey % 3 = 0 THEN 'i/0.png' END AS cover, '3.0' AS version, coalesce(n, 0) AS sections,
+  coalesce(ids, '') AS ids, coalesce(paths, '') AS paths, CAST(coalesce(tenths, 0) AS BIGINT) AS tenths, coalesce(held, '') AS assets, 'assets,authors,conversion,cover,date,description,epub_version,identifiers,language,package_path,publisher,rights,schema_version,sections,source_filename,subtitle,title' AS keys
+FROM customer LEFT JOIN s ON s.o_custkey = c_custkey LEFT JOIN a ON a.o_custkey = c_custkey
 """)
 def book_manifest(t):
-    books = t["customer"].select(F.col("c_custkey").alias("book_id"), F.col("c_name").alias("title"), F.array("c_mktsegment").alias("authors"))
-    made = M.book_manifest(books, t.sql(SECTIONS))
-    read = F.from_json("book_json", "struct<title:string,sections:array<struct<id:string>>>")
-    return made.select("book_id", read["title"].alias("title"), F.size(read["sections"]).cast("long").alias("sections"), F.array_join(read["sections"]["id"], ",").alias("ids"))
+    k = F.col("c_custkey")
+    cover = F.when(k % 3 == 0, F.struct(F.lit("assets/images/0.png").alias("path"), F.lit("i/0.png").alias("source_href"), F.lit("image/png").alias("media_type")))
+    books = t["customer"].select(
+        k.alias("book_id"), F.col("c_name").alias("title"), F.array("c_mktsegment").alias("authors"), F.when(k % 2 == 0, "en").alias("language"), F.array(F.concat(F.lit("urn:"), k)).alias("identifiers"), F.lit("3.0").alias("epub_version"), cover.alias("cover"),
+    )
+    sections = t.sql(SECTIONS).withColumn("confidence", (F.col("order") % 10) / 10)
+    href = F.concat(F.lit("i/"), F.col("o_orderkey") % 3, F.lit(".png"))
+    assets = t["orders"].select(F.col("o_custkey").alias("book_id"), href.alias("href")).distinct().withColumn("path", F.concat(F.lit("../assets/"), "href")).withColumn("media_type", F.lit("image/png"))
+    made = M.book_manifest(books, sections, assets)
+    read = F.from_json("book_json", "struct<title:string,language:string,authors:array<string>,identifiers:array<string>,epub_version:string,cover:struct<source_href:string>,sections:array<struct<id:string,path:string,confidence:double>>,assets:array<struct<source_href:string,path:string>>>")
+    tenths = F.aggregate(read["sections"], F.lit(0).cast("long"), lambda n, x: n + F.round(x["confidence"] * 10).cast("long"))
+    return made.select(
+        "book_id", read["title"].alias("title"), read["language"].alias("language"), F.array_join(read["authors"], ",").alias("authors"), F.array_join(read["identifiers"], ",").alias("identifiers"), read["cover"]["source_href"].alias("cover"), read["epub_version"].alias("version"),
+        F.size(read["sections"]).cast("long").alias("sections"), F.array_join(read["sections"]["id"], ",").alias("ids"), F.array_join(read["sections"]["path"], ",").alias("paths"), tenths.alias("tenths"), F.array_join(read["assets"]["source_href"], ",").alias("assets"),
+        F.array_join(F.array_sort(F.json_object_keys("book_json")), ",").alias("keys"),
+    )
 
 
 @query("index_markdown", """
@@ -61,11 +77,3 @@ def toc_nodes(t):
 @query("toc_markdown_lines", f"SELECT book_id, ord, repeat('  ', depth - 1) || '- ' || CASE WHEN target IS NULL THEN title ELSE '[' || title || '](' || target || ')' END AS line FROM ({MADE})")
 def toc_markdown_lines(t):
     return M.toc_lines(toc(t))
-
-
-@query("inspect_summary", """
-SELECT c_custkey AS book_id, count(o_orderkey) AS spine, count(DISTINCT o_orderpriority) AS resources, count(*) FILTER (WHERE o_orderstatus = 'O') AS nav FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey
-""")
-def inspect_summary(t):
-    rows = t["customer"].join(t["orders"], F.col("o_custkey") == F.col("c_custkey"), "left")
-    return rows.groupBy(F.col("c_custkey").alias("book_id")).agg(F.count("o_orderkey").alias("spine"), F.countDistinct("o_orderpriority").alias("resources"), F.count_if(F.col("o_orderstatus") == "O").alias("nav"))

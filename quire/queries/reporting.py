@@ -1,5 +1,8 @@
 """Queries on reports: users are books, events their issues."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalogue import query
@@ -29,9 +32,12 @@ def strict_promotion(t):
     return R.strict(t.sql(ISSUES)).select("event_id", "severity")
 
 
-@query("visible_issues", f"SELECT event_id, severity FROM ({ISSUES}) WHERE {RANK} >= 3")
+SHOWN = (("plain", False, False), ("verbose", True, False), ("debug", False, True))
+
+
+@query("visible_issues", f"SELECT event_id, shown FROM ({ISSUES}), (VALUES ('plain'), ('verbose'), ('debug')) v(shown) WHERE {RANK} >= 4 OR (shown = 'verbose' AND {RANK} = 3) OR (shown = 'debug' AND {RANK} < 3)")
 def visible_issues(t):
-    return R.visible(t.sql(ISSUES)).select("event_id", "severity")
+    return reduce(DataFrame.unionByName, (R.visible(t.sql(ISSUES), verbose, debug).select("event_id", F.lit(name).alias("shown")) for name, verbose, debug in SHOWN))
 
 
 KINDS = "SELECT user_id AS book_id, CASE event_id % 6 WHEN 0 THEN 'document' WHEN 1 THEN 'file' WHEN 2 THEN 'image' WHEN 3 THEN 'unresolved' WHEN 4 THEN 'skipped' ELSE 'x' END AS kind FROM events"

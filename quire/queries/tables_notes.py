@@ -6,8 +6,8 @@ from ..catalogue import query
 from ..operators import documents as D
 
 ROW = "concat('<tr><td>', cast(l_partkey AS {s}), '</td><td>a|b ', cast(l_suppkey AS {s}), '</td></tr>')"
-SPARK_CELLS = f"SELECT l_orderkey AS page_id, l_orderkey % 8 AS k, count(*) AS n, array_join(array_sort(collect_list({ROW.format(s='string')})), '') AS body FROM lineitem WHERE l_quantity > 20 GROUP BY l_orderkey"
-DUCK_CELLS = f"SELECT l_orderkey AS page_id, l_orderkey % 8 AS k, count(*) AS n, string_agg({ROW.format(s='varchar')}, '' ORDER BY {ROW.format(s='varchar')}) AS body FROM lineitem WHERE l_quantity > 20 GROUP BY l_orderkey"
+SPARK_CELLS = f"SELECT l_orderkey AS page_id, l_orderkey % 8 AS k, count(*) AS n, array_join(array_sort(collect_list({ROW.format(s='string')})), '') AS body FROM lineitem GROUP BY l_orderkey"
+DUCK_CELLS = f"SELECT l_orderkey AS page_id, l_orderkey % 8 AS k, count(*) AS n, string_agg({ROW.format(s='varchar')}, '' ORDER BY {ROW.format(s='varchar')}) AS body FROM lineitem GROUP BY l_orderkey"
 
 MARKUP = """
 SELECT page_id, k, n, concat('<html><body><table>', CASE k WHEN 0 THEN '' WHEN 1 THEN '<tr><th>A</th></tr>' WHEN 2 THEN '<tr><td>A</td><td>B</td></tr>' ELSE '<tr><th>A</th><th>B</th></tr>' END,
@@ -33,12 +33,19 @@ def table_shape(t):
     return D.tables(t.sql(SPARK), "page_id", "html").where("table_no = 0").select("page_id", "rows", "columns")
 
 
+CELLS = "'<tr><td>' || CAST(l_partkey AS varchar) || '</td><td>a|b ' || CAST(l_suppkey AS varchar) || '</td></tr>'"
+PIPES = "'| ' || CAST(l_partkey AS varchar) || ' | a\\|b ' || CAST(l_suppkey AS varchar) || ' |'"
+
+
 @query("gfm_table", f"""
-WITH r AS (SELECT l_orderkey AS page_id, '| ' || CAST(l_partkey AS varchar) || ' | a\\|b ' || CAST(l_suppkey AS varchar) || ' |' AS line, {ROW.format(s='varchar')} AS row FROM lineitem WHERE l_quantity > 20 AND l_orderkey % 8 = 7)
-SELECT page_id, '| A | B |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY row) || chr(10) AS markdown FROM r GROUP BY page_id
+WITH r AS (SELECT l_orderkey AS page_id, l_orderkey % 8 AS k, string_agg({CELLS}, '' ORDER BY {CELLS}) AS body, string_agg({PIPES}, chr(10) ORDER BY {CELLS}) AS lines FROM lineitem GROUP BY l_orderkey)
+SELECT page_id, CASE k WHEN 7 THEN '| A | B |' || chr(10) || '| --- | --- |' || chr(10) || lines
+  ELSE '<table>' || CASE k WHEN 0 THEN '' WHEN 1 THEN '<tr><th>A</th></tr>' WHEN 2 THEN '<tr><td>A</td><td>B</td></tr>' ELSE '<tr><th>A</th><th>B</th></tr>' END || CASE k WHEN 0 THEN '' ELSE body END
+    || CASE k WHEN 3 THEN '<tr><th>x</th><td>y</td></tr>' WHEN 4 THEN '<tr><td colspan="2">x</td></tr>' WHEN 5 THEN '<tr><td><p>x</p></td><td>y</td></tr>' WHEN 6 THEN '<tr><td><table><tr><td>z</td></tr></table></td><td>q</td></tr>' ELSE '' END || '</table>' END || chr(10) AS markdown FROM r
 """)
 def gfm_table(t):
-    return D.markdown(t.sql(SPARK).where("k = 7"), "page_id", "html")
+    """Every order's table: the rectangular ones as pipes, the other shapes as markup."""
+    return D.markdown(t.sql(SPARK), "page_id", "html")
 
 
 NOTES = """

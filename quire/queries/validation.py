@@ -92,10 +92,12 @@ def validate_dup_sections(t):
     return V.repeated(t.sql(spark(SECTIONS)), ["book_id", "section_id"], "n").select("book_id", "n", "section_id")
 
 
-@query("validate_dup_anchors", f"SELECT book_id, 'a' AS anchor, count(*) - 1 AS extra FROM ({DUCK}) GROUP BY book_id HAVING count(*) > 1")
+TWICE = "SELECT page_id AS book_id, concat('content/', cast(page_id AS {s}), '.md') AS path, concat('<a id=\"a\"></a> ', repeat('<b id=\"b\">x</b>', cast(page_id % 4 AS int)), '<i id=\"a', cast(page_id % 2 AS {s}), '\">') AS text FROM pages"
+
+
+@query("validate_dup_anchors", f"SELECT book_id, 'b' AS anchor, book_id % 4 - 1 AS extra FROM ({duck(TWICE)}) WHERE book_id % 4 > 1")
 def validate_dup_anchors(t):
-    extra = V.repeated(V.anchors(files(t)), ["book_id", "anchor"], "path")
-    return extra.groupBy("book_id", "anchor").agg(F.count(F.lit(1)).alias("extra"))
+    return V.anchor_duplicates(t.sql(spark(TWICE))).groupBy("book_id", "anchor").agg(F.count(F.lit(1)).alias("extra"))
 
 
 @query("validate_assets", "SELECT page_id % 15 AS book_id, 'assets/images/' || CAST(page_id AS varchar) || '.png' AS path FROM pages WHERE page_id % 3 = 1")
@@ -136,3 +138,47 @@ def required_files(t):
     every = t["customer"].select(F.col("c_custkey").alias("book_id"), F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.lit(k).alias("k")) for p, k in zip(V.REQUIRED_FILES, (2, 3, 5, 7, 11), strict=True)))).alias("v"))
     held = every.where(F.col("book_id") % F.col("v.k") != 0).select("book_id", "v.path")
     return V.missing_required(t["customer"].select(F.col("c_custkey").alias("book_id")), held).select("book_id", "at")
+
+
+BOOKS = """
+SELECT page_id AS book_id, path, text FROM (
+  SELECT page_id, concat('content/', cast(page_id AS {s}), '.md') AS path, concat('---', chr(10), 'id: sec-', cast(CASE WHEN page_id % 13 = 1 THEN 0 ELSE page_id END AS {s}), chr(10), '---', chr(10), '<a id="a"></a>', CASE WHEN page_id % 13 = 2 THEN '<a id="a"></a>' ELSE '' END,
+    CASE page_id % 13 WHEN 3 THEN '[x](../../x)' WHEN 4 THEN '[x](no.md)' WHEN 5 THEN '[x](#no)' WHEN 6 THEN ' [^n]' ELSE '[x](#a) ![i](../assets/images/i.png)' END) AS text FROM pages
+  UNION ALL SELECT page_id, 'index.md', 'See [toc.md](toc.md)' FROM pages UNION ALL SELECT page_id, 'toc.md', '# Contents' FROM pages WHERE page_id % 11 <> 1
+  UNION ALL SELECT page_id, 'assets/images/i.png', CAST(NULL AS {s}) FROM pages WHERE page_id % 11 <> 2
+  UNION ALL SELECT page_id, 'conversion-report.json', CASE page_id % 11 WHEN 3 THEN '[]' WHEN 4 THEN '{{"status": "ok", "tool_version": "1", "source_validation": 1, "issues": [], "stats": {{"images_copied": 1}}}}'
+    ELSE '{{"status": "ok", "tool_version": "1", "source_validation": 1, "issues": [], "stats": {{"source_documents": 1, "generated_files": 1, "images_copied": 1, "unresolved_links": 0, "assets_skipped": 0}}}}' END FROM pages
+  UNION ALL SELECT page_id, 'toc.json', concat('{{"schema_version": 1, "nodes": [{{"href": null, "children": [{{"href": "', CASE page_id % 11 WHEN 5 THEN '../x' WHEN 6 THEN 'gone.md' ELSE concat('content/', cast(page_id AS {s}), '.md#', CASE page_id % 11 WHEN 7 THEN 'no' ELSE 'a' END) END, '"}}', CASE page_id % 11 WHEN 8 THEN ', 5' ELSE '' END, ']}}]}}') FROM pages
+  UNION ALL SELECT page_id, 'book.json', concat(CASE WHEN page_id % 7 = 1 THEN '{{' ELSE '' END, '{{"schema_version": 1, ', CASE WHEN page_id % 7 = 2 THEN '' ELSE '"title": "t", ' END, '"conversion": {{"tool": "q"', CASE WHEN page_id % 7 = 3 THEN '' ELSE ', "tool_version": "1"' END, '}}, "assets": [{{"path": "assets/images/i.png"}}], "sections": [{{"id": "sec-',
+    cast(page_id AS {s}), '", "order": 1, "type": "c", "title": "t", "role": "file", ', CASE WHEN page_id % 7 = 4 THEN '' ELSE '"sources": [], ' END, '"path": "content/', cast(page_id AS {s}), '.md"}}', CASE page_id % 7 WHEN 5 THEN concat(', {{"id": "sec-', cast(page_id AS {s}), '", "order": 2, "type": "c", "title": "u", "role": "file", "sources": [], "path": "content/gone.md"}}') WHEN 6 THEN ', "x"' ELSE '' END, ']}}') FROM pages
+) f
+"""
+#: What each remainder of a page's number plants; what is planted in a book that has no readable manifest is not looked at.
+PLANTED = """
+SELECT page_id AS book_id, 'warning' AS severity, 'VALIDATE_ID_MISMATCH' AS code, s AS at FROM p WHERE page_id % 13 = 1 AND page_id % 7 <> 1
+UNION ALL SELECT page_id, 'error', 'VALIDATE_DUP_ANCHOR', s FROM p WHERE page_id % 13 = 2 AND page_id % 7 <> 1
+UNION ALL SELECT page_id, 'error', 'VALIDATE_LINK_ESCAPE', s FROM p WHERE page_id % 13 = 3 AND page_id % 7 <> 1
+UNION ALL SELECT page_id, 'warning', 'VALIDATE_LINK_MISSING', s FROM p WHERE (page_id % 13 = 4 OR (page_id % 13 NOT IN (3, 5, 6) AND page_id % 11 = 2)) AND page_id % 7 <> 1
+UNION ALL SELECT page_id, 'warning', 'VALIDATE_ANCHOR_MISSING', s FROM p WHERE page_id % 13 = 5 AND page_id % 7 <> 1
+UNION ALL SELECT page_id, 'error', 'VALIDATE_FOOTNOTE_MISSING', s FROM p WHERE page_id % 13 = 6 AND page_id % 7 <> 1
+UNION ALL SELECT page_id, 'error', 'VALIDATE_MISSING_FILE', 'toc.md' FROM p WHERE page_id % 11 = 1
+UNION ALL SELECT page_id, 'error', 'VALIDATE_MISSING_ASSET', 'assets/images/i.png' FROM p WHERE page_id % 11 = 2 AND page_id % 7 <> 1
+UNION ALL SELECT page_id, 'error', 'VALIDATE_JSON', 'conversion-report.json' FROM p WHERE page_id % 11 = 3
+UNION ALL SELECT page_id, 'error', 'VALIDATE_SCHEMA', 'conversion-report.json#stats' FROM p WHERE page_id % 11 = 4
+UNION ALL SELECT page_id, 'error', 'VALIDATE_TOC_ESCAPE', '../x' FROM p WHERE page_id % 11 = 5
+UNION ALL SELECT page_id, 'warning', 'VALIDATE_TOC_MISSING', 'gone.md' FROM p WHERE page_id % 11 = 6
+UNION ALL SELECT page_id, 'warning', 'VALIDATE_TOC_ANCHOR_MISSING', s || '#no' FROM p WHERE page_id % 11 = 7
+UNION ALL SELECT page_id, 'error', 'VALIDATE_SCHEMA', 'toc.json' FROM p WHERE page_id % 11 = 8
+UNION ALL SELECT page_id, 'error', 'VALIDATE_JSON', 'book.json' FROM p WHERE page_id % 7 = 1
+UNION ALL SELECT page_id, 'error', 'VALIDATE_SCHEMA', 'book.json' FROM p WHERE page_id % 7 IN (2, 6)
+UNION ALL SELECT page_id, 'error', 'VALIDATE_SCHEMA', 'book.json#conversion' FROM p WHERE page_id % 7 = 3
+UNION ALL SELECT page_id, 'error', 'VALIDATE_SCHEMA', 'book.json#sections/sec-' || CAST(page_id AS varchar) FROM p WHERE page_id % 7 = 4
+UNION ALL SELECT page_id, 'error', 'VALIDATE_DUP_SECTION', 'sec-' || CAST(page_id AS varchar) FROM p WHERE page_id % 7 = 5
+UNION ALL SELECT page_id, 'error', 'VALIDATE_MISSING_SECTION', 'content/gone.md' FROM p WHERE page_id % 7 = 5
+"""
+
+
+@query("validate_books", f"WITH p AS (SELECT page_id, 'content/' || CAST(page_id AS varchar) || '.md' AS s FROM pages) {PLANTED}")
+def validate_books(t):
+    """The whole validator over books that each have some faults."""
+    return V.validate(t["pages"].select(F.col("page_id").alias("book_id")), t.sql(BOOKS.format(s="string")))

@@ -11,13 +11,12 @@ import re
 import zipfile
 import zlib
 from collections.abc import Iterator
-from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dom import Node, parse
+from ..functions.dom import Node, parse, parse_xml
 
 MEMBERS = "book_id string, pos int, member string, content binary, readable boolean"
 #: Names of members that are neither text nor SVG.
@@ -81,12 +80,11 @@ def members(archives: DataFrame, media: bool | None = None) -> DataFrame:
                 if media and not is_media:
                     continue
                 held, good = None, True
-                if media is not False or not is_media:
-                    try:
-                        held = b"" if info.is_dir() else z.read(info)
-                    except broken:
-                        good = False
-                yield book, i, info.filename, held, good
+                try:
+                    held = b"" if info.is_dir() else z.read(info)
+                except broken:
+                    good = False
+                yield book, i, info.filename, None if media is False and is_media else held, good
 
     return by_row(archives, MEMBERS, opened)
 
@@ -151,30 +149,12 @@ def without_drm(found: DataFrame) -> DataFrame:
 
 def xml_tree(content: bytes) -> Node:
     """A tree of local names; broken XML falls back to the forgiving parser. Entity declarations are refused."""
-    root = Node("#document")
-    open_nodes = [root]
-    parser = expat.ParserCreate()
-
-    def start(tag: str, attrs: dict) -> None:
-        node = Node(tag.rpartition(":")[2], dict(attrs), open_nodes[-1])
-        open_nodes[-1].children.append(node)
-        open_nodes.append(node)
-
-    def refused(*_: object) -> None:
-        raise ValueError("entity declarations are refused")
-
-    parser.StartElementHandler = start
-    parser.EndElementHandler = lambda tag: open_nodes.pop()
-    parser.CharacterDataHandler = lambda data: open_nodes[-1].children.append(data)
-    parser.EntityDeclHandler = refused
-    try:
-        parser.Parse(content, True)
-        return root
-    except (expat.ExpatError, ValueError):
-        found = parse(content)
-        for n in found.elements():
+    root = parse_xml(content)
+    if root is None:
+        root = parse(content)
+        for n in root.elements():
             n.tag = n.tag.rpartition(":")[2]
-        return found
+    return root
 
 
 def joined(base: str, href: str) -> str:
