@@ -1,15 +1,17 @@
 """The pipeline's stages against brute force."""
 
 import random
+from collections import Counter, defaultdict
 
 import pytest
+from tokenizers import Tokenizer
 
-pytest.importorskip("public_tokenizers")
+public_tokenizers = pytest.importorskip("public_tokenizers")
 
 
 def test_stages(spark, tmp_path):
     import corpus_pipeline as c
-    from quire.llm import toxicity
+    from quire.llm import mixing, toxicity
 
     r = random.Random(6)
     base = [" ".join("".join(r.choice("abcdefghij") for _ in range(3)) for _ in range(80)) for _ in range(120)]
@@ -39,6 +41,39 @@ def test_stages(spark, tmp_path):
     assert ids(apart) == sorted([*(str(i) for i in range(30, 120)), *(str(200 + i) for i in range(30)), "None"])
     assert apart.columns == docs.columns
     mixed = c.mix_sources(spark, apart, str(tmp_path))
-    assert mixed.columns == docs.columns and 100 < mixed.count() < 250
-    packed = c.run(spark, str(tmp_path))
-    assert packed.count() > 0 and "sequence_id" in packed.columns
+    assert mixed.columns == docs.columns
+    before, after = [tuple(x) for x in apart.collect()], [tuple(x) for x in mixed.collect()]
+    assert set(after) <= set(before) and max(Counter(after).values()) <= 2
+    size = lambda x: len((x[1] or "").split())
+    sizes, taken = Counter(), Counter()
+    for x in before:
+        sizes[x[3]] += size(x)
+    for x in after:
+        taken[x[3]] += size(x)
+    want = mixing.targets(dict(sizes))
+    largest = max(map(size, before))
+    assert all(abs(taken[s] - want[s]) <= largest for s in sizes)
+
+    packed = c.pack_sequences(spark, mixed, str(tmp_path)).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    lengths = Counter((x[0], len(tokenizer.encode(x[1] or "", add_special_tokens=False).ids) + 1) for x in after)
+    whole = Counter()
+    for x in packed:
+        if x["piece"] == 0:
+            whole[x["doc_id"], x["length"]] += 1
+    assert whole == lengths  # no text is longer than a sequence here
+    places = defaultdict(list)
+    for x in packed:
+        places[x["sequence_id"]].append((x["offset"], x["length"]))
+    for own in places.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False)) and own[-1][0] + own[-1][1] <= 2048
+    total = sum(n for own in places.values() for _, n in own)
+    assert len(places) <= -(-total // 2048) + 2
+
+    # All stages in a row, each on what the one before kept.
+    kept = docs
+    for name, stage in c.STAGES[:3]:
+        kept = c.written(stage(spark, kept, str(tmp_path)), name)
+    names = {x["doc_id"] for x in kept.collect()}
+    assert {x["doc_id"] for x in c.run(spark, str(tmp_path)).collect()} <= names
