@@ -14,12 +14,14 @@ base's.
 N-grams are dealt by context into segments, whose number follows the bytes read, so that a task's
 share of the counts and of the filter stays the same at every size. Filters of at most
 ``FILTER_BYTES`` are broadcast and probed where the texts are. A larger filter stays in its segments:
-a block of texts sends each segment the keys it asks for and gets levels back, by shuffle. Both ways
-give the same scores; nothing is left out of either.
+a block of texts sends each segment its distinct n-grams and gets levels back, by shuffle; contexts
+are read off the n-grams. A segment answers many blocks at once, as blocks and segments both grow in
+number with the corpus and work for each pair of them would grow with its square. Both ways give
+the same scores; nothing is left out of either.
 
 The exact base score needs each token's exact count. Words of at least ``HEAVY`` of the tokens
-(at most 1 / HEAVY of them, 16 bytes each) are broadcast; tokens of all others travel, as 64-bit
-hashes packed by segment, to the segment's counts, and come back as sums per text.
+(at most 1 / HEAVY of them, 16 bytes each) are broadcast; a block's distinct others travel, as 64-bit
+hashes packed by segment, to the segment's counts, which come back.
 
 Defined results: words are told apart by 64-bit hashes; a null text is empty and has one token, the
 end; words that only look like the end token are ordinary words; a null id counts as the empty text
@@ -50,7 +52,9 @@ FILTER_BYTES = 144_000_000
 ADD = 0.1
 END = np.uint64(0x5EED0FE2D0000001)  # the end token's hash
 #: Bytes of text that are hashed, that are counted and that are scored at once.
-CHUNK_BYTES, FLUSH_BYTES, BLOCK_BYTES = 1 << 20, 1 << 24, 3 << 19
+CHUNK_BYTES, FLUSH_BYTES, BLOCK_BYTES = 1 << 20, 1 << 24, 1 << 23
+#: Keys that are probed, that a segment answers and that it sums at once (more, if one row has more).
+PROBED, ANSWERED, MERGED = 1 << 16, 1 << 18, 1 << 22
 #: Kinds of keys in the filter besides the orders: what follows a context, summed and by number of words.
 FOLLOWED, FOLLOWERS = 64, 128
 KINDS = [1, *(k + n for n in range(2, ORDER + 1) for k in (0, FOLLOWED, FOLLOWERS))]
@@ -96,13 +100,18 @@ def segment_bits(n_bytes: int) -> int:
     return min(max(SEGMENT_BITS, (max(n_bytes - 1, 0) // SEGMENT_BYTES).bit_length()), MOST_BITS)
 
 
-def planes(key: np.ndarray) -> bytes:
-    """Sorted keys, bytes of like weight together, so that those they share compress away."""
-    return np.ascontiguousarray(key, "<u8").view("u1").reshape(-1, 8).T.tobytes()
+SQUEEZE, UNSQUEEZE = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def unplaned(keys: bytes, n: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(keys, "u1").reshape(8, n).T).view("<u8").ravel()
+def packed(values: np.ndarray) -> bytes:
+    """Numbers, bytes of like weight together, so that those that sorted ones share compress away."""
+    return SQUEEZE.compress(np.ascontiguousarray(values).view("u1").reshape(-1, values.itemsize).T.tobytes())
+
+
+def unpacked(data: bytes | None, kind: str = "<u8") -> np.ndarray:
+    if data is None:
+        return np.empty(0, kind)
+    return np.ascontiguousarray(np.frombuffer(UNSQUEEZE.decompress(data), "u1").reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def key_blobs(parts: list[tuple[np.ndarray, np.ndarray]], order: int, bits: int) -> Iterator[tuple]:
@@ -114,11 +123,7 @@ def key_blobs(parts: list[tuple[np.ndarray, np.ndarray]], order: int, bits: int)
     edges = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1], True])
     for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         part, n = np.unique(key[i:j], return_counts=True)
-        yield order, int(segment[i]), planes(part), n.astype("u1" if int(n.max()) < 256 else "<u4").tobytes(), len(part)
-
-
-def unpacked(keys: bytes, counts: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return unplaned(keys, n), np.frombuffer(counts, "u1" if len(counts) == n else "<u4").astype(np.int64)
+        yield order, int(segment[i]), packed(part), packed(n.astype("<u4")), len(part)
 
 
 BLOB = pa.schema([("ord", pa.int32()), ("segment", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n", pa.int64())])
@@ -168,18 +173,27 @@ def level_of(n: np.ndarray) -> np.ndarray:
 MIDDLE = np.r_[0.0, np.sqrt(2.0 ** np.arange(64) * (2.0 ** np.arange(1, 65) - 1))]
 
 
-def added(pdf, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of one order and their counts, summed over blobs, in order of key."""
-    own = pdf[pdf["ord"] == order]
-    if not len(own):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    key, n = (np.concatenate(x) for x in zip(*(unpacked(*x) for x in zip(own["keys"], own["counts"], own["n"], strict=True)), strict=True))
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     by = np.argsort(key)
     key, n = key[by], n[by]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     return key[starts], np.add.reduceat(n, starts)
 
 
+def added(pdf, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of one order and their counts, summed over blobs, in order of key."""
+    own = pdf[pdf["ord"] == order]
+    parts, held, kept = [], 0, 0
+    for keys, counts, n in zip(own["keys"], own["counts"], own["n"], strict=True):
+        parts.append((unpacked(keys), unpacked(counts, "<u4").astype(np.int64)))
+        held += n
+        if held >= max(2 * kept, MERGED):
+            parts = [merged(parts)]
+            held = kept = len(parts[0][0])
+    return merged(parts) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
 def leveled(pdf, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Kinds, keys and levels of one segment: its n-grams and what follows each of its contexts."""
     for o in range(1, order + 1):
@@ -227,7 +241,7 @@ def segments_of(blobs: DataFrame, order: int = ORDER) -> DataFrame:
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         key, n = added(pdf, 1)
         bits = bits_of(list(leveled(pdf, order)), per_key)
-        row = (int(pdf["segment"].iloc[0]), bits.tobytes(), key.astype("<u8").tobytes(), n.astype("<i8").tobytes(), len(key), int(n.sum()))
+        row = (int(pdf["segment"].iloc[0]), bits.tobytes(), packed(key), packed(n.astype("<i8")), len(key), int(n.sum()))
         return pd.DataFrame([row], columns=["segment", "bits", "keys", "counts", "n", "tokens"])
 
     return blobs.groupBy("segment").applyInPandas(make, SEGMENT_SQL)
@@ -244,10 +258,10 @@ class LogBloom:
             self.starts[s], self.sizes[s] = at, 8 * len(slices[s])
             at += len(slices[s])
 
-    def has(self, kind: int, segment: np.ndarray, key: np.ndarray, level: int) -> np.ndarray:
-        """Positions of the keys that are there."""
+    def has(self, kind: int, segment: np.ndarray | None, key: np.ndarray, level: int) -> np.ndarray:
+        """Positions of the keys that are there; without ``segment`` all are in segment 0."""
         one, two = probe_hashes(kind, key, level)
-        size, start = self.sizes[segment], self.starts[segment]
+        size, start = (self.sizes[0], self.starts[0]) if segment is None else (self.sizes[segment], self.starts[segment])
         live = None
         for i in range(PROBES):
             at = places(one, two, i, size)
@@ -256,16 +270,20 @@ class LogBloom:
                 hit &= size > 0
             new = np.flatnonzero(hit)
             live = new if live is None else live[new]
-            one, two, size, start = one[new], two[new], size[new], start[new]
+            one, two = one[new], two[new]
+            if segment is not None:
+                size, start = size[new], start[new]
         return live
 
-    def levels(self, kind: int, segment: np.ndarray, key: np.ndarray) -> np.ndarray:
+    def levels(self, kind: int, segment: np.ndarray | None, key: np.ndarray) -> np.ndarray:
         """Levels are probed upward until one is missing; the last found, or 0."""
-        level, live, q = np.zeros(len(key), "u1"), np.arange(len(key)), 1
-        while len(live) and q < len(MIDDLE):
-            live = live[self.has(kind, segment[live], key[live], q)]
-            level[live] = q
-            q += 1
+        level = np.zeros(len(key), "u1")
+        for first in range(0, len(key), PROBED):
+            live, q = np.arange(first, min(first + PROBED, len(key))), 1
+            while len(live) and q < len(MIDDLE):
+                live = live[self.has(kind, None if segment is None else segment[live], key[live], q)]
+                level[live] = q
+                q += 1
         return level
 
     def count(self, kind: int, segment: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -273,40 +291,41 @@ class LogBloom:
         return MIDDLE[self.levels(kind, segment, key)]
 
 
+def runs(segment: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(segment, first, end) of each run of equal numbers."""
+    edges = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1], True]) if len(segment) else np.zeros(1, np.int64)
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(segment[i]), i, j
+
+
 class Asked:
-    """Stands in for a filter's counts and writes down what is asked, by segment: keys and how many of each kind.
+    """Stands in for a filter's counts and writes down the n-grams that are asked, by segment and order.
 
-    What follows a context is asked by the context's n-grams, whose keys hold it.
+    Words and contexts are not written down: the words are asked for their exact counts anyway, and
+    the n-grams' keys hold their contexts.
     """
 
     def __init__(self):
-        self.keys: dict[int, list[np.ndarray]] = {}
+        self.keys: dict[int, dict[int, np.ndarray]] = {}
 
     def __call__(self, kind: int, segment: np.ndarray, key: np.ndarray) -> np.ndarray:
-        for s, _, own in by_segment(segment, key):
-            self.keys.setdefault(s, []).append((kind, key[own]))
+        if 1 < kind < FOLLOWED:
+            for s, i, j in runs(segment):
+                self.keys.setdefault(s, {})[kind] = key[i:j]
         return np.zeros(len(key))
 
 
-def by_segment(segment: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(segment, number, positions in order of key) of each segment among ``segment``."""
-    order = np.lexsort((key, segment))
-    edges = np.flatnonzero(np.r_[True, np.diff(segment[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
-    for i, j in zip(edges[:-1], edges[1:], strict=True):
-        yield int(segment[order[i]]), int(j - i), order[i:j]
-
-
 class Given:
-    """Gives the answers to what :class:`Asked` wrote down, asked again in the same order."""
+    """Gives a segment's answers (see :func:`answers_to`) when the same is asked again in the same order."""
 
     def __init__(self, answers: dict[int, np.ndarray]):
         self.answers, self.at = answers, dict.fromkeys(answers, 0)
 
     def __call__(self, kind: int, segment: np.ndarray, key: np.ndarray) -> np.ndarray:
         level = np.zeros(len(key), "u1")
-        for s, n, own in by_segment(segment, key):
-            level[own] = self.answers[s][self.at[s] : self.at[s] + n]
-            self.at[s] += n
+        for s, i, j in runs(segment):
+            level[i:j] = self.answers[s][self.at[s] : self.at[s] + j - i]
+            self.at[s] += j - i
         return MIDDLE[level]
 
 
@@ -333,31 +352,51 @@ def looked_up(keys: np.ndarray, values: np.ndarray, key: np.ndarray, none: int)
     return np.where(keys[at] == key, values[at], none)
 
 
+def light_words(key: np.ndarray, exact: np.ndarray) -> np.ndarray:
+    """Positions of the words without an exact count, in order of key, which is also that of segments."""
+    rare = np.flatnonzero(exact < 0)
+    return rare[np.argsort(key[rare])]
+
+
+def distinct_keys(segment: np.ndarray, key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The position of one of each distinct (segment, key), in that order, and which of them each is."""
+    by = np.argsort(key)
+    by = by[np.argsort(segment[by].astype(np.uint16 if bits <= 16 else np.uint32), kind="stable")]
+    k, s = key[by], segment[by]
+    new = np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])] if len(by) else np.zeros(0, bool)
+    which = np.empty(len(by), np.int64)
+    which[by] = np.cumsum(new) - 1
+    return by[new], which
+
+
 def logs(distinct: np.ndarray, back: np.ndarray, place: np.ndarray, exact: np.ndarray, denominator: float, bits: int, count) -> np.ndarray:
     """log10 P of each token. ``distinct``: hashes of the distinct words, ``back``: which of them a
     token is, ``exact``: their counts, see :meth:`Model.exact`; ``count(kind, segments, keys)``
-    gives the filter's estimates, and what is asked does not depend on what it gives."""
+    gives the filter's estimates for distinct keys in order of segment and key, and what is asked does
+    not depend on what it gives."""
     h = distinct[back]
-    guess, rare = exact.astype(np.float64), np.flatnonzero(exact < 0)
-    segment, key, _ = keys_of(distinct[rare], np.zeros(len(rare), np.int64), 1, bits)
-    guess[rare] = count(1, segment, key)
+    guess, (segment, key, _) = exact.astype(np.float64), keys_of(distinct, np.zeros(len(distinct), np.int64), 1, bits)
+    rare = light_words(key, exact)
+    guess[rare] = count(1, segment[rare], key[rare])
     p = (guess[back] + ADD) / denominator
-    # Each distinct n-gram is looked up once: the representatives of the lower order's and their counts.
-    which, times, seen_at = back, guess, np.zeros(len(distinct), np.int64)
-    seen_at[back[::-1]] = np.arange(len(back))[::-1]
+    # Each distinct n-gram is looked up once; ``which`` and ``times`` are those of the lower order and their counts.
+    which, times = back, guess
     for n in range(2, ORDER + 1):
-        segment, rest = split_context(context_of(h, np.maximum(seen_at, n - 2), n - 1), bits)
-        followed = count(FOLLOWED + n, segment, rest)
-        followers = count(FOLLOWERS + n, segment, rest)
-        before = np.maximum(times, 1.0)
+        segment, key, at = keys_of(h, place, n, bits)
+        first, inverse = distinct_keys(segment, key, bits)
+        segment, key, first = segment[first], key[first], at[first]
+        context = key >> np.uint64(64 - CONTEXT_BITS)
+        new = np.r_[True, (context[1:] != context[:-1]) | (segment[1:] != segment[:-1])] if len(key) else np.zeros(0, bool)
+        own = np.cumsum(new) - 1
+        followed = count(FOLLOWED + n, segment[new], context[new])[own]
+        followers = count(FOLLOWERS + n, segment[new], context[new])[own]
+        before = np.maximum(times[which[first - 1]], 1.0)
         # A context without followers was found by chance.
         followed = np.where(followers > 0, np.minimum(followed, before), 0.0)
-        segment, key, at = keys_of(h, place, n, bits)
-        both, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        seen = count(n, segment[first], both)
-        own = which[at - 1]
-        p[at] = (np.minimum(seen[inverse], followed[own]) + (before[own] - followed[own] + followers[own]) * p[at]) / (before[own] + followers[own])
-        which, times, seen_at = np.zeros(len(h), np.int64), seen, at[first]
+        seen = count(n, segment, key)
+        # Words that share an n-gram's key keep their own P of the lower order.
+        p[at] = (np.minimum(seen, followed)[inverse] + (before - followed + followers)[inverse] * p[at]) / (before + followers)[inverse]
+        which, times = np.zeros(len(h), np.int64), seen
         which[at] = inverse
     return np.log10(p)
 
@@ -367,14 +406,28 @@ def per_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.cumsum(sizes) - sizes) if len(values) else np.zeros(0)
 
 
+def settled_alone(df: DataFrame) -> DataFrame:
+    """:func:`durable`; the shuffle files that led there are removed, as nothing reads them again."""
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        return durable(df.select("*"))
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def train(docs: DataFrame, folds: int = 10) -> tuple[Model, DataFrame]:
     """The model of the texts whose id is not held out, and its segments (exact counts and slices of the filter)."""
     training = docs.where(id_crc("doc_id", folds) != 0)
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = segment_bits(n_bytes)
-    segments = durable(segments_of(counted(training, ORDER, bits)))
+    segments = settled_alone(segments_of(counted(training, ORDER, bits)))
     total, vocabulary, size = segments.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("tokens"), F.col("n"), F.length("bits")))).first()
-    parts = [(np.frombuffer(bytes(r["k"]), "<u8"), np.frombuffer(bytes(r["c"]), "<i8")) for r in segments.select("keys", "counts").mapInArrow(heavy_in(total * HEAVY), "k binary, c binary").toLocalIterator()]
+    parts = [(np.frombuffer(bytes(r["k"]), "<u8"), np.frombuffer(bytes(r["c"]), "<i8")) for r in segments.select("keys", "counts").mapInArrow(heavy_in(total * HEAVY), "k binary, c binary").collect()]
     keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
     by = np.argsort(keys)
     bloom = None
@@ -388,7 +441,7 @@ def heavy_in(least: float):
         for b in batches:
             rows = []
             for keys, counts in zip(b.column("keys"), b.column("counts"), strict=True):
-                key, n = np.frombuffer(keys.as_buffer(), "<u8"), np.frombuffer(counts.as_buffer(), "<i8")
+                key, n = unpacked(keys.as_py()), unpacked(counts.as_py(), "<i8")
                 rows.append((key[n >= least].tobytes(), n[n >= least].tobytes()))
             if rows:
                 yield batch_of(rows, pa.schema([("k", pa.binary()), ("c", pa.binary())]))
@@ -396,13 +449,22 @@ def heavy_in(least: float):
     return pick
 
 
-#: A block's own row has segment -1 and its ids, sizes and sums; rows of other segments hold light
-#: words (hashes as keys, and their texts' numbers) and, for a filter that is not broadcast, asked keys.
+#: A block's own row has segment -1 and its ids, sizes and sums. If the filter is broadcast, ``tokens`` are its light tokens (as
+#: numbers of its light words); else all tokens, as numbers of its words, which ``keys`` holds. Rows of other segments hold the
+#: block's light words there and, for a filter that is not broadcast, its n-grams, ``n_asked`` of each order from 2 on.
 BLOCK = pa.schema([
-    ("part", pa.int32()), ("block", pa.int32()), ("segment", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("asked", pa.binary()), ("n_asked", pa.list_(pa.int64())),
-    ("doc_id", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("score", pa.list_(pa.float64())),
+    ("part", pa.int32()), ("block", pa.int32()), ("segment", pa.int32()), ("keys", pa.binary()), ("asked", pa.binary()), ("n_asked", pa.list_(pa.int64())), ("tokens", pa.binary()),
+    ("doc_id", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("n_light", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("score", pa.list_(pa.float64())),
 ])
-BLOCK_SQL = "part int, block int, segment int, keys binary, docs binary, asked binary, n_asked array<long>, doc_id array<long>, n_tokens array<long>, known array<long>, base array<double>, score array<double>"
+BLOCK_SQL = "part int, block int, segment int, keys binary, asked binary, n_asked array<long>, tokens binary, doc_id array<long>, n_tokens array<long>, n_light array<long>, known array<long>, base array<double>, score array<double>"
+
+
+def light_tokens(back: np.ndarray, sizes: np.ndarray, exact: np.ndarray, light: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that are light words, as numbers of those, and how many each text has."""
+    number = np.zeros(len(exact), np.int64)
+    number[light] = np.arange(len(light))
+    rare = exact[back] < 0
+    return number[back[rare]], per_text(rare.astype(np.int64), sizes)
 
 
 def block_rows(ids: list, column: pa.Array, part: int, block: int, model: Model) -> list[tuple]:
@@ -412,72 +474,97 @@ def block_rows(ids: list, column: pa.Array, part: int, block: int, model: Model)
     counts = model.exact(key)
     asked = Asked()
     score = per_text(logs(distinct, back, place, counts, model.denominator, model.bits, model.bloom.count if model.bloom else asked), sizes)
-    exact = counts[back]
-    heavy = exact >= 0
-    base = per_text(np.where(heavy, np.log10((np.maximum(exact, 0) + ADD) / model.denominator), 0.0), sizes)
-    known = per_text(heavy.astype(np.int64), sizes)
-    doc = np.repeat(np.arange(len(sizes), dtype="<u4"), sizes)[~heavy]
-    light = key[back[~heavy]]
-    segment = (light >> np.uint64(64 - model.bits)).astype(np.int64)
-    rows = {s: [part, block, s, planes(light[own]), doc[own].tobytes(), None, None, None, None, None, None, None] for s, _, own in by_segment(segment, light)}
+    heavy = counts >= 0
+    base = per_text(np.where(heavy, np.log10((np.maximum(counts, 0) + ADD) / model.denominator), 0.0)[back], sizes)
+    known = per_text(heavy.astype(np.int64)[back], sizes)
+    light = light_words(key, counts)
+    rare = key[light]
+    rows = {s: [part, block, s, packed(rare[i:j]), *[None] * 9] for s, i, j in runs((rare >> np.uint64(64 - model.bits)).astype(np.int64))}
     for s, keys in asked.keys.items():
-        row = rows.setdefault(s, [part, block, s, None, None, None, None, None, None, None, None, None])
-        row[5], row[6] = b"".join(planes(k) for _, k in keys), np.array([x for kind, k in keys for x in (kind, len(k))])
-    own = (part, block, -1, None, None, None, None, ids, sizes, known, base, score)
-    if not model.bloom:
+        row = rows.setdefault(s, [part, block, s, *[None] * 10])
+        keys = [keys.get(n, np.empty(0, np.uint64)) for n in range(2, ORDER + 1)]
+        row[4], row[5] = packed(np.concatenate(keys)), np.array([len(k) for k in keys])
+    if model.bloom:
+        some, n_light = light_tokens(back, sizes, counts, light)
+        own = (part, block, -1, None, None, None, packed(some.astype("<u4")), ids, sizes, n_light, known, base, score)
+    else:
         # What is needed to score the block when the answers are there.
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        own = (part, block, -1, distinct.astype("<u8").tobytes(), squeeze(back.astype("<u4").view("u1").reshape(-1, 4).T.tobytes()), None, None, ids, sizes, known, base, None)
+        own = (part, block, -1, packed(distinct), None, None, packed(back.astype("<u4")), ids, sizes, None, known, base, None)
     return [own, *rows.values()]
 
 
 def scored_blocks(docs: DataFrame, model: Model) -> DataFrame:
     """Per block of texts: its own row, and by segment what it needs from there."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, most = docs.sparkSession.sparkContext.broadcast(model), BLOCK_BYTES
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, block = TaskContext.get().partitionId(), 0
         for b in batches:
-            for first, some in slices(b.column("text"), BLOCK_BYTES):
+            for first, some in slices(b.column("text"), most):
                 yield batch_of(block_rows(b.column("doc_id").slice(first, len(some)).to_pylist(), some, part, block, shared.value), BLOCK)
                 block += 1
 
     return docs.mapInArrow(score, BLOCK_SQL)
 
 
-ANSWER_SQL = "part int, block int, segment int, base binary, known binary, levels binary"
+ANSWER_SQL = "part int, block int, segment int, counts binary, levels binary"
+
+
+def cut(values: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    """``values`` in pieces of ``sizes``."""
+    ends = np.cumsum(sizes).tolist()
+    return [values[j - n : j] for n, j in zip(sizes, ends, strict=True)]
+
+
+def answers_to(rows: list[tuple[np.ndarray, list[np.ndarray]]], keys: np.ndarray, counts: np.ndarray, bloom: LogBloom | None) -> list[tuple[bytes, bytes | None]]:
+    """One segment's answers to rows of blocks (light words; n-grams of each order from 2 on), all rows
+    looked up together: the words' exact counts, and levels: of the words, then, order by order, of
+    what follows the n-grams' contexts and of the n-grams."""
+    sizes = [len(words) for words, _ in rows]
+    words = np.concatenate([words for words, _ in rows])
+    exact = cut(looked_up(keys, counts, words, 0).astype("<i8"), sizes)
+    if bloom is None:
+        return [(packed(x), None) for x in exact]
+    levels = [cut(bloom.levels(1, None, words), sizes)]
+    for i in range(len(rows[0][1])):
+        sizes = [len(asked[i]) for _, asked in rows]
+        key = np.concatenate([asked[i] for _, asked in rows])
+        ends = np.cumsum(sizes)
+        context = key >> np.uint64(64 - CONTEXT_BITS)
+        new = np.zeros(len(key) + 1, bool)
+        new[1:-1] = context[1:] != context[:-1]
+        new[ends - sizes] = True
+        new = new[:-1]
+        upto = np.r_[0, np.cumsum(new)]
+        each = (upto[ends] - upto[ends - sizes]).tolist()
+        context = context[new]
+        levels += [cut(bloom.levels(FOLLOWED + i + 2, None, context), each), cut(bloom.levels(FOLLOWERS + i + 2, None, context), each), cut(bloom.levels(i + 2, None, key), sizes)]
+    return [(packed(x), packed(np.concatenate(own))) for x, own in zip(exact, zip(*levels, strict=True), strict=True)]
 
 
 def answered(blocks: DataFrame, segments: DataFrame, model: Model) -> DataFrame:
-    """Per block and segment: what its light words add to each text, and the levels of the keys it asks for."""
+    """Per block and segment: the exact counts of its light words there, and the levels of what it asks for."""
     import pandas as pd
 
-    denominator, with_filter = model.denominator, model.bloom is None
-    held = blocks.where("segment >= 0").select("part", "block", "segment", "keys", "docs", "asked", "n_asked")
+    with_filter, orders = model.bloom is None, ORDER - 1
+    held = blocks.where("segment >= 0").select("part", "block", "segment", "keys", "asked", "n_asked")
     table = segments.select("segment", F.col("keys").alias("known_keys"), "counts", *(["bits"] if with_filter else []))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        known = np.frombuffer(right["known_keys"].iloc[0], "<u8") if len(right) else np.empty(0, np.uint64)
-        counts = np.frombuffer(right["counts"].iloc[0], "<i8") if len(right) else np.empty(0, np.int64)
-        bloom = LogBloom({0: np.frombuffer(right["bits"].iloc[0], np.uint8)} if with_filter and len(right) else {}, 1)
-        out = []
-        for part, block, segment, keys, docs, asked, sizes in left.itertuples(index=False):
-            base = found = levels = None
-            if keys is not None:
-                doc = np.frombuffer(docs, "<u4")
-                n = looked_up(known, counts, unplaned(keys, len(doc)), 0)
-                base = np.bincount(doc, weights=np.log10((n + ADD) / denominator)).astype("<f8").tobytes()
-                found = np.bincount(doc, weights=n > 0).astype("<i8").tobytes()
-            if asked is not None:
-                at, parts = 0, []
-                for kind, size in np.asarray(sizes, np.int64).reshape(-1, 2).tolist():
-                    parts.append(bloom.levels(kind, np.zeros(size, np.int64), unplaned(asked[at : at + 8 * size], size)))
-                    at += 8 * size
-                levels = np.concatenate(parts).tobytes()
-            out.append((part, block, segment, base, found, levels))
-        return pd.DataFrame(out, columns=["part", "block", "segment", "base", "known", "levels"])
+        known, counts = (unpacked(right[c].iloc[0] if len(right) else None, kind) for c, kind in (("known_keys", "<u8"), ("counts", "<i8")))
+        bloom = LogBloom({0: np.frombuffer(right["bits"].iloc[0], np.uint8)} if len(right) else {}, 1) if with_filter else None
+        out, rows, n_held = [], [], 0
+        for keys, asked, sizes in zip(left["keys"], left["asked"], left["n_asked"], strict=True):
+            rows.append((unpacked(keys), cut(unpacked(asked), [0] * orders if asked is None else sizes.tolist())))
+            n_held += len(rows[-1][0]) + sum(map(len, rows[-1][1]))
+            if n_held >= ANSWERED:
+                out += answers_to(rows, known, counts, bloom)
+                rows, n_held = [], 0
+        if rows:
+            out += answers_to(rows, known, counts, bloom)
+        return pd.DataFrame({"part": left["part"], "block": left["block"], "segment": left["segment"], "counts": [x for x, _ in out], "levels": [x for _, x in out]})
 
     return held.groupBy("segment").cogroup(table.groupBy("segment")).applyInPandas(meet, ANSWER_SQL)
 
@@ -491,25 +578,25 @@ def finished(blocks: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
 
     late, denominator, bits = model.bloom is None, model.denominator, model.bits
     shared = blocks.sparkSession.sparkContext.broadcast((model.keys, model.counts) if late else None)
-    own = blocks.where("segment = -1").select("part", "block", "segment", F.col("keys").alias("distinct"), F.col("docs").alias("back"), "doc_id", "n_tokens", F.col("known").alias("sure"), F.col("base").alias("part_base"), "score")
+    own = blocks.where("segment = -1").select("part", "block", "keys", "tokens", "doc_id", "n_tokens", "n_light", F.col("known").alias("sure"), F.col("base").alias("part_base"), "score")
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         block = left.iloc[0]
         base, known, sizes = np.array(block["part_base"], np.float64), np.array(block["sure"], np.int64), np.asarray(block["n_tokens"], np.int64)
-        # In order of segment, so that sums of floats agree at every run.
         right = right.sort_values("segment")
-        for b, k in zip(right["base"], right["known"], strict=True):
-            if b is not None:
-                base[: len(b) // 8] += np.frombuffer(b, "<f8")
-                known[: len(k) // 8] += np.frombuffer(k, "<i8")
-        score = block["score"]
+        found = np.concatenate([np.empty(0, np.int64), *(unpacked(x, "<i8") for x in right["counts"])])
+        score, some, n_light = block["score"], unpacked(block["tokens"], "<u4").astype(np.int64), block["n_light"]
         if late:
-            heavy = Model(*shared.value, 0, 0, bits, None)
-            distinct = np.frombuffer(block["distinct"], "<u8")
-            back = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(block["back"]), "u1").reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+            heavy, distinct, back = Model(*shared.value, 0, 0, bits, None), unpacked(block["keys"]), some
+            key = mixed(distinct + STEP)
+            exact = heavy.exact(key)
             place = np.arange(len(back)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            given = Given({s: np.frombuffer(x, "u1") for s, x in zip(right["segment"], right["levels"], strict=True) if x is not None})
-            score = per_text(logs(distinct, back, place, heavy.exact(mixed(distinct + STEP)), denominator, bits, given), sizes)
+            given = Given({s: unpacked(x, "u1") for s, x in zip(right["segment"], right["levels"], strict=True)})
+            score = per_text(logs(distinct, back, place, exact, denominator, bits, given), sizes)
+            some, n_light = light_tokens(back, sizes, exact, light_words(key, exact))
+        doc = np.repeat(np.arange(len(sizes)), n_light)
+        base += np.bincount(doc, np.log10((found + ADD) / denominator)[some], len(sizes))
+        known += np.bincount(doc[found[some] > 0], minlength=len(sizes))
         ids = pd.array([None if x is None or x != x else int(x) for x in block["doc_id"]], dtype="Int64")
         return pd.DataFrame({"doc_id": ids, "n_tokens": sizes, "n_known": known, "base_score": base, "score": np.asarray(score, np.float64)})
 
@@ -521,7 +608,7 @@ def score_documents(docs: DataFrame, folds: int = 10) -> DataFrame:
     docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     model, segments = train(docs, folds)
     blocks = durable(scored_blocks(docs, model))
-    rows = finished(blocks, answered(blocks, segments, model), model)
+    rows = finished(blocks, settled_alone(answered(blocks, segments, model)), model)
     return rows.select("doc_id", (id_crc("doc_id", folds) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -664,6 +664,43 @@ def test_lm_scores_alike_where_the_filter_is_not_broadcast(spark, monkeypatch):
     assert len(got) == len(rows) and all(x["score"] == pytest.approx(want[x["doc_id"]][-1], rel=0.1) for x in got if x["n_tokens"] > 20)
 
 
+def test_lm_segments_answer_many_blocks_at_once(monkeypatch):
+    r = np.random.default_rng(2)
+    key = np.unique(lm.mixed(r.integers(0, 3000, 20_000).astype(np.uint64)))
+    n = r.integers(1, 200, len(key))
+    bits = lm.bits_of([(kind, k, lm.level_of(n)) for kind, k in ((1, key), (2, key), (lm.FOLLOWED + 2, key >> np.uint64(24)), (lm.FOLLOWERS + 2, key >> np.uint64(24)))])
+    bloom = lm.LogBloom({0: bits}, 1)
+    rows = [(np.sort(r.choice(key, k % 9, False)), [np.sort(r.choice(key, k % 7, False))]) for k in range(1000)]
+    one_by_one = [lm.answers_to([row], key, n, bloom)[0] for row in rows]
+    calls, has = [], lm.LogBloom.has
+    monkeypatch.setattr(lm.LogBloom, "has", lambda *a: calls.append(1) or has(*a))
+    assert lm.answers_to(rows, key, n, bloom) == one_by_one
+    assert len(calls) < 100  # and not some for each row
+    words, counts = rows[8][0], lm.unpacked(one_by_one[8][0], "<i8")
+    assert counts.tolist() == n[np.searchsorted(key, words)].tolist()
+
+
+def test_lm_traffic_does_not_grow_with_segments_times_texts(spark, monkeypatch):
+    r = random.Random(15)
+    rows = [(i, " ".join(f"w{min(int(r.paretovariate(0.7)), 5000)}" for _ in range(r.randint(0, 60))), "s") for i in range(500)] + [(None, None, "s")]
+    docs = docs_of(spark, rows).repartition(2, "doc_id")
+    monkeypatch.setattr(lm, "HEAVY", 1e-2)  # most words are light here, as in a large corpus
+    monkeypatch.setattr(lm, "SEGMENT_BYTES", 64)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 20_000)
+    read = lambda: {x["doc_id"]: tuple(x) for x in lm.score_documents(docs).collect()}
+    want = read()
+    monkeypatch.setattr(lm, "FILTER_BYTES", 0)
+    model, segments = lm.train(docs)
+    assert model.bloom is None and 1 << model.bits >= 1024
+    blocks = lm.durable(lm.scored_blocks(docs, model))
+    assert blocks.where("segment = -1").count() > 2
+    answers = lm.answered(blocks, segments, model)
+    sizes = [F.coalesce(F.length(f.name), F.lit(0)) for f in answers.schema if f.dataType.typeName() == "binary"]
+    n_bytes = answers.agg(F.sum(sum(sizes[1:], sizes[0]))).first()[0]
+    assert n_bytes < 40 * sum(x[2] for x in want.values())
+    assert read() == want
+
+
 def test_word_hashes_tell_words_apart(monkeypatch):
     r = random.Random(14)
     texts = [None, "", " ", "a", "x" * 500] + ["".join(r.choice("abAé \n\t\x1c\U0001f600") for _ in range(r.randint(0, 40))) for _ in range(300)]
