@@ -495,7 +495,8 @@ def block_rows(ids: list, column: pa.Array, part: int, block: int, model: Model)
 
 def scored_blocks(docs: DataFrame, model: Model) -> DataFrame:
     """Per block of texts: its own row, and by segment what it needs from there."""
-    shared, most = docs.sparkSession.sparkContext.broadcast(model), BLOCK_BYTES
+    # A broadcast filter needs memory that blocks then leave to it.
+    shared, most = docs.sparkSession.sparkContext.broadcast(model), BLOCK_BYTES // 2 if model.bloom else BLOCK_BYTES
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
